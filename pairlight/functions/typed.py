@@ -1,4 +1,7 @@
-"""Reading typed values out of unevenly written text: null means that the text holds no usable value of the type."""
+"""Reading typed values out of unevenly written text: null means that the text holds no usable value of the type.
+
+The readers other than ``to_text`` take text that went through ``to_text``.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,8 @@ FALSE_WORDS = ("false", "f", "no", "n", "0")
 _NUMBER = r"[+-]?(?:[0-9]+[.,]?[0-9]*|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?"
 
 
-def _clean(c: str | Column) -> Column:
+def to_text(c: str | Column) -> Column:
+    """Text without outer white space; blank text is not usable."""
     return blank_to_null(F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", ""))
 
 
@@ -25,7 +29,7 @@ def _number(text: Column) -> Column:
 
 def to_double(c: str | Column) -> Column:
     """Numbers, percentages (``12.5 %`` is 0.125) and fractions (``3/8``); a fraction over 0 is not usable."""
-    t = _clean(c)
+    t = as_col(c)
     percent = _number(F.regexp_extract(t, rf"^({_NUMBER})\s*%$", 1)) / 100
     over, under = (_number(F.regexp_extract(t, rf"^({_NUMBER})\s*/\s*({_NUMBER})$", i)) for i in (1, 2))
     return F.coalesce(_number(t), percent, F.when(under != 0, over / under))
@@ -33,18 +37,18 @@ def to_double(c: str | Column) -> Column:
 
 def to_int(c: str | Column) -> Column:
     """A whole number that fits 32 bits, also written ``016``, ``+16``, ``16.0`` or ``1.6e+01``."""
-    value = _number(_clean(c))
+    value = _number(as_col(c))
     return F.when((value == F.floor(value)) & (F.abs(value) <= 2**31 - 1), value.cast("int"))
 
 
 def to_bool(c: str | Column) -> Column:
-    t = F.lower(_clean(c))
+    t = F.lower(as_col(c))
     return F.when(t.isin(*TRUE_WORDS), F.lit(True)).when(t.isin(*FALSE_WORDS), F.lit(False))
 
 
 def to_date_any(c: str | Column) -> Column:
     """Dates that exist, as 2025-06-19, 2025/06/19, 20250619, 19.06.2025, 19 Jun 2025 or with a time after the day."""
-    t = _clean(c)
+    t = as_col(c)
     iso = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$", 1)
     read = lambda text, form: F.try_to_timestamp(F.when(F.length(text) > 0, text), F.lit(form)).cast("date")
     forms = ("yyyy/M/d", "yyyyMMdd", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy")
@@ -52,9 +56,5 @@ def to_date_any(c: str | Column) -> Column:
     return F.when(F.year(day) >= 1, day)
 
 
-def to_text(c: str | Column) -> Column:
-    return _clean(c)
-
-
 #: How a catalogue's type names are read, and the Spark type of the column.
 READERS = {"double": (to_double, "double"), "int": (to_int, "int"), "boolean": (to_bool, "boolean"), "date": (to_date_any, "date"), "string": (to_text, "string")}

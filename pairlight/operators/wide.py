@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlight.functions.names import trimmed_lower
-from pairlight.functions.typed import READERS
+from pairlight.functions.typed import READERS, to_text
 from pairlight.storage import materialize
 
 #: A catalogue beyond this many attributes is refused: every one becomes a column and a register slot.
 MAX_ATTRIBUTES = 10_000
+#: Stands for a null time or record number: it ranks before all others.
+NONE = -(2**63)
 
 
 def read_catalog(catalog: DataFrame) -> dict[str, str]:
@@ -64,25 +66,28 @@ def resolve_cells(facts: DataFrame, catalog: dict[str, str], entity: Sequence[st
     spark = facts.sparkSession
     names = list(catalog)
     slots = {a: i for i, a in enumerate(names)}
-    a = trimmed_lower(attr)
+    a = F.col("_attr")
     usable: Column = F.lit(None).cast("string")
     for kind in sorted(set(catalog.values())):
         members = [n for n in names if catalog[n] == kind]
-        usable = F.when(a.isin(*members), READERS[kind][0](value).cast("string")).otherwise(usable)
+        read = F.col("_raw") if kind == "string" else READERS[kind][0]("_raw").cast("string")
+        usable = F.when(a.isin(*members), read).otherwise(usable)
     slot = F.create_map(*[F.lit(x) for kv in slots.items() for x in kv])[a] if slots else F.lit(None).cast("int")
-    cells = facts.select(*entity, slot.alias("_slot"), F.coalesce(F.unix_micros(time), F.lit(-(2**63))).alias("_time"), F.coalesce(F.col(record), F.lit(-(2**63))).alias("_record"), usable.alias("_text"))
-    cells = cells.where(F.col("_slot").isNotNull() & F.col("_text").isNotNull() & F.coalesce(*[F.col(e).cast("string") for e in entity]).isNotNull())
+    micros = F.coalesce(F.unix_micros(time), F.lit(NONE))
+    cells = facts.select(*entity, trimmed_lower(attr).alias("_attr"), micros.alias("_time"), F.coalesce(F.col(record), F.lit(NONE)).alias("_record"), to_text(value).alias("_raw"))
+    cells = cells.where(F.coalesce(*[F.col(e).cast("string") for e in entity]).isNotNull())
+    cells = cells.select(*entity, slot.alias("_slot"), "_time", "_record", usable.alias("_text"))
     width = len(entity)
 
-    def keyed(row: tuple) -> tuple[tuple, tuple]:
-        return tuple(row[:width]), tuple(row[width:])
+    def keyed(row: tuple) -> list[tuple[tuple, tuple]]:
+        return [(tuple(row[:width]), tuple(row[width:]))] if row[width] is not None and row[-1] is not None else []
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    registers = cells.rdd.map(keyed).combineByKey(_first, _add, _merge, numPartitions=parts)
+    registers = cells.rdd.flatMap(keyed).combineByKey(_first, _add, _merge, numPartitions=parts)
 
     def encoded(pair: tuple) -> tuple:
         key, register = pair
-        return (*key, {names[s]: (None if r == -(2**63) else r, text) for s, (_, r, text) in register.items()})
+        return (*key, {names[s]: (None if r == NONE else r, text) for s, (_, r, text) in register.items()})
 
     cell_type = T.StructType([T.StructField("record_id", facts.schema[record].dataType), T.StructField("text", T.StringType())])
     schema = T.StructType([*[facts.schema[e] for e in entity], T.StructField("cells", T.MapType(T.StringType(), cell_type), False)])
