@@ -125,15 +125,14 @@ def top_terms(counts: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 
 def lexical_summary(records: DataFrame, keys: Sequence[str], order: str, n: int = 5) -> DataFrame:
-    """Unique counts, top lists as JSON text and the share of the top pattern, by ``keys``."""
+    """Unique counts, top lists as JSON text and the share of the top pattern, by ``keys`` (one at least)."""
     counts = lexical_counts(records, keys, order)
     unique = lambda k: F.count_if(F.col("kind") == k)
     u = counts.groupBy(*keys).agg(F.sum(F.when(F.col("kind") == "patterns", F.col("n"))).alias("total"), unique("nouns").alias("unique_nouns"), unique("verbs").alias("unique_verbs"), unique("prepositions").alias("unique_prepositions"), F.max(F.when(F.col("kind") == "patterns", F.col("n"))).alias("_top"))
     pair = F.concat(F.lit('["'), F.col("term"), F.lit('", '), F.col("n").cast("string"), F.lit("]"))
     listed = lambda k: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", pair.alias("p"))))), lambda x: x["p"]), ", "), F.lit("]"))
     tops = top_terms(counts, keys, n).groupBy(*keys).agg(listed("nouns").alias("top_nouns"), listed("verbs").alias("top_verbs"), listed("patterns").alias("top_patterns"))
-    joined = u.join(tops, list(keys)) if keys else u.crossJoin(F.broadcast(tops))
-    return joined.withColumn("top_pattern_share", safe_ratio(F.col("_top"), F.col("total"))).drop("_top")
+    return u.join(tops, list(keys)).withColumn("top_pattern_share", safe_ratio(F.col("_top"), F.col("total"))).drop("_top")
 
 
 def disagreement(results: DataFrame) -> DataFrame:
@@ -207,10 +206,10 @@ def collapse_flags(records: DataFrame, results: DataFrame, order: str = "uid") -
     dup = dup.agg(F.coalesce(F.max(F.when(F.col("kind") == "pair", F.col("duplicated"))), F.lit(0)).alias("duplicate_pair_count"), F.coalesce(F.max(F.when(F.col("kind") == "good", F.col("most"))), F.lit(0)).alias("max_good_sentence_repetition"))
     invalid = validate(rl).agg(F.count_if(~F.col("valid")).alias("validation_error_count"))
     tiny = disagreement(results).agg(F.count_if((F.col("dataset") == "rl") & (F.col("category") == "tiny_fails_stronger_succeed")).alias("tiny_only_failures"))
-    one = top
-    for part in (shares, dup, invalid, tiny):
-        one = one.join(F.broadcast(part))  # single rows
-    return one.select(
+    one = top.withColumn("_one", F.lit(1))
+    for part in (shares, dup, invalid, tiny):  # single rows
+        one = one.join(F.broadcast(part.withColumn("_one", F.lit(1))), "_one")
+    return one.drop("_one").select(
         "*", (F.col("top_rl_subtype_share") > 0.25).alias("subtype_collapse"),
         (F.col("rl_top_pattern_share") > F.greatest(F.col("benchmark_top_pattern_share") * 2, F.lit(0.15))).alias("lexical_collapse"),
         ((F.col("duplicate_pair_count") > 0) | (F.col("max_good_sentence_repetition") > 2)).alias("duplicate_evidence"),

@@ -123,12 +123,16 @@ def build_scorer(options: ScorerOptions) -> Scorer:
 
 
 def add_scores(pairs: DataFrame, scorer: Scorer, near: float = NEAR_FAILURE_MARGIN) -> DataFrame:
-    """Scores of both sides, margin and the three flags.
+    """Scores of both sides, and ``with_flags``."""
+    return with_flags(pairs.withColumn("grammatical_score", scorer(F.col("grammatical"))).withColumn("ungrammatical_score", scorer(F.col("ungrammatical"))), near)
+
+
+def with_flags(scored: DataFrame, near: float = NEAR_FAILURE_MARGIN) -> DataFrame:
+    """Margin and flags of scored rows.
 
     Correct: margin above 0, never NaN; a tie is a failure. Near failure: margin within ``near`` of 0, whatever the other
     flags. ``model_failed`` (bad side strictly above): a tie is none. Null scores are not correct.
     """
-    scored = pairs.withColumn("grammatical_score", scorer(F.col("grammatical"))).withColumn("ungrammatical_score", scorer(F.col("ungrammatical")))
     m = F.col("preference_margin")
     scored = scored.withColumn("preference_margin", F.col("grammatical_score") - F.col("ungrammatical_score"))
     scored = scored.withColumn("correct", F.coalesce((m > 0) & ~F.isnan(m), F.lit(False))).withColumn("failure", ~F.col("correct"))
@@ -140,20 +144,18 @@ def add_scores(pairs: DataFrame, scorer: Scorer, near: float = NEAR_FAILURE_MARG
 def score_pairs(pairs: DataFrame, scorers: dict[str, Scorer], near: float = NEAR_FAILURE_MARGIN, max_examples: int | None = None) -> DataFrame:
     """Result rows of every pair under every model.
 
-    ``pairs``: ``dataset, pair_id, grammatical, ungrammatical`` and metadata. One projection a model over the same rows,
-    joined by union: no join is needed to bring models and pairs together. ``max_examples``: the first of each dataset
-    by ``pair_id``.
+    ``pairs``: ``dataset, pair_id, grammatical, ungrammatical`` and metadata. All models' scores are computed in one scan
+    of the pairs and exploded into rows: models and pairs need no join. ``max_examples``: the first of each dataset by
+    ``pair_id``.
     """
+    if not scorers:
+        raise ValueError("no enabled model")
     if max_examples is not None:
         pairs = head_per_group(pairs, ["dataset"], ["pair_id"], max_examples)
     pairs = pairs.withColumn("dependency_distance_bucket", distance_bucket("dependency_distance"))
-    out = None
-    for model_id, scorer in scorers.items():
-        part = add_scores(pairs.withColumn("model_id", F.lit(model_id)), scorer, near)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no enabled model")
-    return out
+    each = [F.struct(F.lit(m).alias("model_id"), s(F.col("grammatical")).alias("good"), s(F.col("ungrammatical")).alias("bad")) for m, s in scorers.items()]
+    rows = pairs.select("*", F.explode(F.array(*each)).alias("_s")).select(*pairs.columns, "_s.model_id", F.col("_s.good").alias("grammatical_score"), F.col("_s.bad").alias("ungrammatical_score"))
+    return with_flags(rows, near)
 
 
 def score_each_model(pairs: DataFrame, scorers: dict[str, Scorer], near: float = NEAR_FAILURE_MARGIN, keep_going: bool = True) -> tuple[DataFrame | None, list[dict[str, str]]]:

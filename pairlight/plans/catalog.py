@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.plans import wide_queries
+from pairlight.plans import reference_queries, wide_queries
 
-MODULES = (wide_queries,)
-FLAGSHIP = "p5_wide"
+MODULES = (reference_queries, wide_queries)
+FLAGSHIP = "overall_summary"
