@@ -159,12 +159,30 @@ def _stretch(path: list[tuple[int, int]], doc: list[str], item: list[str], count
     return best
 
 
+def own_places(length: int, sharing: list[tuple[int, int]], shared_words: int = SHARED_WORDS) -> np.ndarray:
+    """Which of an item's words are its own. ``sharing``: (place, texts that share a run through it), absent where none.
+
+    Shared wording is ``shared_words`` words in a row that about as many texts share (within a factor of two). So an
+    opening that half of all items have does not take along the two or three words after it that some of them happen to
+    go on with: by themselves those are too short to be shared wording.
+    """
+    texts = np.ones(length)
+    for place, n in sharing:
+        texts[place] = n
+    own = np.ones(length, dtype=bool)
+    for a in range(length - shared_words + 1):
+        window = texts[a : a + shared_words]
+        if window.min() > 1 and window.max() <= 2 * window.min():
+            own[a : a + shared_words] = False
+    return own
+
+
 class ItemIndex:
     """The items' n-grams as a hash map, with each item's words and which of them are its own."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[int]]], seed_words: int = SEED_WORDS) -> None:
+    def __init__(self, items: list[tuple[int, list[str], list[tuple[int, int]]]], seed_words: int = SEED_WORDS) -> None:
         self.seed_words = seed_words
-        self.items = {i: (words, np.isin(np.arange(len(words)), shared, invert=True)) for i, words, shared in items}
+        self.items = {i: (words, own_places(len(words), sharing)) for i, words, sharing in items}
         self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, (words, own) in self.items.items():
             for k in range(len(words) - seed_words + 1):
@@ -229,7 +247,8 @@ def normal_words(texts: pd.Series) -> pd.Series:
 
 
 def item_words(items: DataFrame, item_id: str, text: str, shared_words: int = SHARED_WORDS) -> DataFrame:
-    """``item_id, words, shared``: normalised words and the places that stand in wording shared by two or more items.
+    """``item_id, words, sharing``: normalised words, and for each place in a run of ``shared_words`` words that other
+    items have too the number of texts that share it (the most of the runs through it).
 
     Repeated rows of an item count once; items with equal text count as one item for sharing, else a text that is listed
     twice would have no words of its own. Null ids and empty texts are left out.
@@ -239,10 +258,11 @@ def item_words(items: DataFrame, item_id: str, text: str, shared_words: int = SH
     grams = base.where(F.size("words") >= shared_words).select(
         "item_id", F.xxhash64("words").alias("text_key"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - shared_words + 1), lambda k: F.array_join(F.slice("words", k, shared_words), " "))).alias("at", "gram")
     )
-    shared = grams.groupBy("gram").agg(F.countDistinct("text_key").alias("texts")).where("texts > 1").select("gram")
-    places = grams.join(shared, "gram", "left_semi").select("item_id", F.explode(F.sequence("at", F.col("at") + shared_words - 1)).alias("place"))
-    marked = places.groupBy("item_id").agg(F.sort_array(F.collect_set("place")).alias("shared"))
-    return base.join(marked, "item_id", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    shared = grams.groupBy("gram").agg(F.countDistinct("text_key").alias("texts")).where("texts > 1")
+    places = grams.join(shared, "gram").select("item_id", "texts", F.explode(F.sequence("at", F.col("at") + shared_words - 1)).alias("place"))
+    most = places.groupBy("item_id", "place").agg(F.max("texts").alias("texts"))
+    listed = most.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("place", "texts"))).alias("sharing"))
+    return base.join(listed, "item_id", "left")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, changed_in: int = CHANGED_IN) -> DataFrame:
@@ -261,7 +281,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     out = None
     for block in range(blocks):
         part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        listed = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.words, r.shared) for r in part.collect()])
+        listed = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.words, [tuple(x) for x in r.sharing or ()]) for r in part.collect()])
 
         def scan(batches: Iterator[pd.DataFrame], listed=listed) -> Iterator[pd.DataFrame]:
             index = ItemIndex(listed.value)

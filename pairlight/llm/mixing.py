@@ -54,12 +54,12 @@ def vocabulary_bytes(path: str = VOCABULARY) -> bytes:
     return data
 
 
-def pack_blocks(docs: DataFrame, source: Column, text: str = "text", order: str = "doc_id", block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_blocks(docs: DataFrame, source: Column, text: str = "text", block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY, with_tokens: bool = True) -> DataFrame:
     """``source, part, local, n_tokens, tokens``: the texts' tokens, joined per source and cut into blocks.
 
     Every task packs the documents of its own partition in their given order, each followed by nothing; what is left of
     a source at a task's end is a shorter last block, so no token is lost. A null source is a source of its own, which
-    no target names. Empty and null texts have no tokens.
+    no target names. Empty and null texts have no tokens. Without ``with_tokens`` the blocks' contents are left out.
     """
     spark = docs.sparkSession
     data = spark.sparkContext.broadcast(vocabulary_bytes(vocabulary))
@@ -72,7 +72,7 @@ def pack_blocks(docs: DataFrame, source: Column, text: str = "text", order: str
             got, out, at = open_blocks[source], [], 0
             while len(got) - at >= block_tokens or (whole and at < len(got)):
                 piece = got[at : at + block_tokens]
-                out.append((source, numbers.get(source, 0), len(piece), piece))
+                out.append((source, numbers.get(source, 0), len(piece), piece if with_tokens else None))
                 numbers[source] = numbers.get(source, 0) + 1
                 at += len(piece)
             open_blocks[source] = got[at:]
@@ -200,13 +200,12 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     less than its share of the size of all documents. The packed blocks are written once to the shared folder and read
     by all mixes; slots meet blocks in a join by source and block number, which spreads a large source over all tasks.
     """
-    packed = materialize(index_blocks(materialize(pack_blocks(docs, source, text, block_tokens=block_tokens, vocabulary=vocabulary))))
+    packed = index_blocks(materialize(pack_blocks(docs, source, text, block_tokens, vocabulary, with_tokens)))
     sizes = materialize(packed.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens")))
     total = int(sizes.agg(F.sum("tokens")).first()[0] or 0)
     plan = plan_mixes(targets, sizes, total, block_tokens)
     slots = draw_slots(plan, total, max(1, -(-total // shard_tokens)), seed)
-    blocks = packed if with_tokens else packed.drop("tokens")
-    mixed = slots.join(blocks, ["source", "block"])
+    mixed = slots.join(packed if with_tokens else packed.drop("tokens"), ["source", "block"])
     used = mixed.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("actual_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
     report = plan.join(used, ["mix_id", "source"], "left").fillna(0, ["actual_tokens", "most_repeats"])
     whole = F.sum("actual_tokens").over(W.partitionBy("mix_id"))
