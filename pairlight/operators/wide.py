@@ -64,11 +64,14 @@ def resolve_cells(facts: DataFrame, catalog: dict[str, str], entity: Sequence[st
     spill to disk when they outgrow Python's memory.
     """
     spark = facts.sparkSession
-    names = list(catalog)
+    # one scan of the attribute column: registers have slots only for catalogue attributes that occur
+    a = trimmed_lower(attr)
+    seen = {r[0] for r in facts.select(a.alias("a")).where(F.col("a").isin(*catalog)).distinct().collect()} if catalog else set()
+    names = [n for n in catalog if n in seen]
     slots = {a: i for i, a in enumerate(names)}
     a = F.col("_attr")
     usable: Column = F.lit(None).cast("string")
-    for kind in sorted(set(catalog.values())):
+    for kind in sorted({catalog[n] for n in names}):
         members = [n for n in names if catalog[n] == kind]
         read = F.col("_raw") if kind == "string" else READERS[kind][0]("_raw").cast("string")
         usable = F.when(a.isin(*members), read).otherwise(usable)
