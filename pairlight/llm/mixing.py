@@ -199,6 +199,7 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     with target and actual share, tokens, the most often any block is used, and ``capped``: all its repeats together are
     less than its share of the size of all documents. The packed blocks are written once to the shared folder and read
     by all mixes; slots meet blocks in a join by source and block number, which spreads a large source over all tasks.
+    The report is made from the drawn blocks at once, so asking for its plan columns alone draws the mix all the same.
     """
     packed = index_blocks(materialize(pack_blocks(docs, source, text, block_tokens, vocabulary, with_tokens)))
     sizes = materialize(packed.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens")))
@@ -211,4 +212,4 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     whole = F.sum("actual_tokens").over(W.partitionBy("mix_id"))
     report = report.withColumn("actual_share", F.when(whole > 0, F.col("actual_tokens") / whole).otherwise(0.0))
     columns = ["mix_id", "shard", "source", "slot", "repeat", "block", "n_tokens", *(["tokens"] if with_tokens else [])]
-    return mixed.select(*columns), report
+    return mixed.select(*columns), materialize(report)
