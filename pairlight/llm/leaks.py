@@ -48,8 +48,8 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
         value = html.unescape(found) if found[0] == "&" else " "
         if found[0] == "&" and value == found:
             value = "&"
-        if value not in ("­", "​"):
-            for ch in unicodedata.normalize("NFKC", value).lower():
+        for ch in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", value).lower()):
+            if unicodedata.category(ch) not in ("Cf", "Mn"):
                 chars.append(ch)
                 places.append(m.start())
         at = m.end()
@@ -99,17 +99,18 @@ def _fold(text: str, start: int, end: int, plain: bool, chars: list[str], places
                     places.append(i)
 
 
-def _align(doc: list[str], item: list[str]) -> list[tuple[int, int]]:
-    """A cheapest alignment of ``item`` with any stretch of ``doc``: pairs (place in doc or -1, place in item or -1)."""
+def _align(doc: list[str], item: list[str], gain: int) -> list[tuple[int, int]]:
+    """The best local alignment of ``item`` with ``doc``, a match worth ``gain`` and a change -1, as pairs (place in doc
+    or -1, place in item or -1). With a gain of 1 it keeps to dense stretches, with a large one it crosses changes that
+    follow each other."""
     n, m = len(doc), len(item)
     ids: dict[str, int] = {}
     d = np.array([ids.setdefault(w, len(ids)) for w in doc], dtype=np.int32)
     q = np.array([ids.setdefault(w, len(ids)) for w in item], dtype=np.int32)
-    # score[j] over places in doc: match +1, change -1; free ends on both sides (local alignment)
     score = np.zeros((m + 1, n + 1), dtype=np.int32)
     steps = np.arange(n + 1)
     for i in range(1, m + 1):
-        diagonal = score[i - 1, :-1] + np.where(d == q[i - 1], 1, -1)
+        diagonal = score[i - 1, :-1] + np.where(d == q[i - 1], gain, -1)
         best = np.maximum(np.maximum(diagonal, score[i - 1, 1:] - 1), 0)
         row = np.concatenate([[0], best])
         # a gap in the item: carried along the row with cost 1 a word
@@ -119,7 +120,7 @@ def _align(doc: list[str], item: list[str]) -> list[tuple[int, int]]:
     while i and j and score[i, j] > 0:
         s = score[i, j]
         same = d[j - 1] == q[i - 1]
-        if s == score[i - 1, j - 1] + (1 if same else -1):
+        if s == score[i - 1, j - 1] + (gain if same else -1):
             i, j = i - 1, j - 1
             path.append((j, i))
         elif s == score[i - 1, j] - 1:
@@ -228,14 +229,18 @@ class ItemIndex:
                     a, b = stack.pop()
                     if b - a < min_words - min_words // changed_in:
                         continue
-                    path = _align(words[a:b], item)
-                    if len(path) < n:
+                    # what lies beside a passage may hold the item again; by the lemma only where enough hits are
+                    if sum(a <= j <= b - n for j, _ in places) < needed:
                         continue
+                    path = _align(words[a:b], item, 1)
                     got = _stretch(path, words[a:b], item, own, changed_in)
                     first, last = a + min(j for j, _ in path if j >= 0), a + max(j for j, _ in path if j >= 0)
+                    if got is None or got[0] < min_words:
+                        wide = _stretch(_align(words[a:b], item, changed_in), words[a:b], item, own, changed_in)
+                        if wide and wide[0] >= min_words:
+                            got, first, last = wide, a + wide[2], a + wide[3]
                     if got and got[0] >= min_words:
                         found.append((i, got[0], got[1], spans[a + got[2]][0], spans[a + got[3]][1]))
-                    # what lies beside the best alignment may hold the item again, or another part of it
                     stack += [(a, first), (last + 1, b)]
         return sorted(set(found), key=lambda x: (x[3], x[0]))
 
