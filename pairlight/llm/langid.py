@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlight.functions.names import trimmed_lower
+from pairlight.storage import spread
 
 #: Language codes with the names and three-letter codes under which labels also appear.
 NAMES = {
@@ -200,8 +201,68 @@ class LanguageModel:
         return out
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 25, clean: bool = True) -> LanguageModel:
-    """Learns the binary classifiers by logistic regression over mean n-gram weights of sentences.
+@dataclass
+class Sample:
+    """Hashed n-grams of the sampled sentences in one array; row i starts at ``starts[i]`` and has ``sizes[i]``."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    y: np.ndarray
+
+    @staticmethod
+    def of(grams: list[np.ndarray], y: np.ndarray) -> Sample:
+        sizes = np.array([len(g) for g in grams], dtype=np.int64)
+        flat = np.concatenate(grams).astype(np.int32) if grams else np.empty(0, np.int32)
+        return Sample(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes, y)
+
+    def learn(self, code: np.ndarray, bit: int, rounds: int) -> np.ndarray:
+        """Weights of one bit's classifier, the bias last: logistic regression on mean n-gram weights, by Adagrad."""
+        target = code[self.y, bit]
+        # languages count alike, as labels are unevenly frequent
+        even = 1.0 / np.bincount(self.y, minlength=len(code))[self.y]
+        even /= even.mean()
+        rows = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        w, bias, g2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
+        for _ in range(rounds):
+            f = np.add.reduceat(w[self.flat], self.starts) / self.sizes + bias
+            pull = even * target / (1.0 + np.exp(np.clip(target * f, -30, 30)))
+            grad = np.bincount(self.flat, weights=(pull / self.sizes)[rows], minlength=BUCKETS)
+            g2 += grad * grad
+            w += 3.0 * grad / np.sqrt(g2)
+            bias += 0.1 * pull.mean()
+        return np.append(w, bias)
+
+
+#: Learns all bits of a code: (sample, code, rounds) to weights, one column a bit.
+Learner = Callable[[Sample, np.ndarray, int], np.ndarray]
+
+
+def learn_here(sample: Sample, code: np.ndarray, rounds: int) -> np.ndarray:
+    return np.stack([sample.learn(code, bit, rounds) for bit in range(code.shape[1])], axis=1)
+
+
+def learn_on(spark: SparkSession) -> Learner:
+    """The bits are independent problems: one task each. The sample, whose size SAMPLE_DOCS and SAMPLE_CHARS bound, is
+    broadcast."""
+
+    def learn(sample: Sample, code: np.ndarray, rounds: int) -> np.ndarray:
+        bits = code.shape[1]
+        sent = spark.sparkContext.broadcast((sample, code))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own, codes = sent.value
+                yield pd.DataFrame({"bit": pdf["id"], "w": [own.learn(codes, int(b), rounds).tobytes() for b in pdf["id"]]})
+
+        rows = spark.range(0, bits, 1, bits).mapInPandas(run, "bit long, w binary").collect()
+        return np.stack([np.frombuffer(r.w) for r in sorted(rows, key=lambda r: r.bit)], axis=1)
+
+    return learn
+
+
+def fit(texts: list[str], labels: list[str], rounds: int = 25, clean: bool = True, learn: Learner = learn_here) -> LanguageModel:
+    """Learns the binary classifiers from the sentences of labelled texts.
 
     Labels may be wrong for some documents: after a first fit, sentences that it gives to another language are left out
     and the classifiers are learned again.
@@ -212,36 +273,19 @@ def fit(texts: list[str], labels: list[str], rounds: int = 25, clean: bool = Tru
     for t, lab in zip(texts, labels, strict=True):
         for a, b, aside in sentences(t[:SAMPLE_CHARS]):
             if not aside and b - a >= 20:
-                pieces.append(t[a:b])
+                pieces.append(_grams(t[a:b])[0])
                 y.append(languages.index(lab))
     y = np.array(y, dtype=int)
-    grams = [_grams(x)[0] for x in pieces]
-    keep = np.array([len(g) > 0 for g in grams], dtype=bool)
+    keep = np.array([len(g) > 0 for g in pieces], dtype=bool)
     model = LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1]))
     for step in range(2 if clean else 1):
         at = np.flatnonzero(keep)
         if not len(at) or len(languages) < 2:
             break
-        sizes = np.array([len(grams[i]) for i in at])
-        flat = np.concatenate([grams[i] for i in at])
-        row_start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        rows = np.repeat(np.arange(len(at)), sizes)
-        # a document's weight is evened out over languages, as labels are unevenly frequent
-        even = 1.0 / np.bincount(y[at], minlength=len(languages))[y[at]]
-        even /= even.mean()
-        for bit in range(code.shape[1]):
-            target = code[y[at], bit]
-            w, b, g2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
-            for _ in range(rounds):
-                f = np.add.reduceat(w[flat], row_start) / sizes + b
-                pull = even * target / (1.0 + np.exp(np.clip(target * f, -30, 30)))
-                grad = np.bincount(flat, weights=(pull / sizes)[rows], minlength=BUCKETS)
-                g2 += grad * grad
-                w += 3.0 * grad / np.sqrt(g2)
-                b += 0.1 * pull.mean()
-            model.weights[:, bit], model.bias[bit] = w, b
+        w = learn(Sample.of([pieces[i] for i in at], y[at]), code, rounds)
+        model.weights, model.bias = w[:-1].astype(np.float32), w[-1]
         if step == 0 and clean:
-            bits = np.stack([model.weights[grams[i]].sum(axis=0) / max(1, len(grams[i])) + model.bias for i in range(len(grams))])
+            bits = np.stack([model.weights[g].sum(axis=0) / max(1, len(g)) + model.bias for g in pieces])
             keep &= model._decode(bits).argmax(axis=1) == y
     return model
 
@@ -269,7 +313,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
     sample = merged.orderBy("label", "h", "text").select("text", "label").toPandas()
     often = sample["label"].value_counts()
     sample = sample[sample["label"].isin(often[often >= LEAST_DOCS].index)]
-    return fit(list(sample["text"]), list(sample["label"]))
+    return fit(list(sample["text"]), list(sample["label"]), learn=learn_on(docs.sparkSession))
 
 
 def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,7 +331,7 @@ def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
                 yield pd.DataFrame(rows, columns=["doc_id", "segment", "start", "end", "lang", "confidence", "sentences", "ambiguous"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
-    return rows.mapInPandas(scan, f"doc_id {kind}, segment int, start int, end int, lang string, confidence double, sentences int, ambiguous boolean")
+    return spread(rows).mapInPandas(scan, f"doc_id {kind}, segment int, start int, end int, lang string, confidence double, sentences int, ambiguous boolean")
 
 
 def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", label: str = "lang", passage: int = 2) -> DataFrame:
@@ -320,4 +364,4 @@ def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id"
                 yield pd.DataFrame(rows, columns=["doc_id", "found_lang", "main", "confidence", "chars", "sentences", "label_state"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label_code(label).alias("label")).where("text is not null and doc_id is not null")
-    return rows.mapInPandas(scan, f"doc_id {kind}, found_lang string, main boolean, confidence double, chars int, sentences int, label_state string")
+    return spread(rows).mapInPandas(scan, f"doc_id {kind}, found_lang string, main boolean, confidence double, chars int, sentences int, label_state string")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlight.storage import spread
+
 #: Words of an index n-gram. Of 14 words with two changed, the 12 others stand in at most three runs: one has four or more.
 SEED_WORDS = 4
 #: A run of so many words found in two or more items is wording that they share.
@@ -283,6 +285,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     blocks = max(1, -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS))
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     item_kind = dict(words.dtypes)["item_id"]
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null"))
     out = None
     for block in range(blocks):
         part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
@@ -291,11 +294,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         def scan(batches: Iterator[pd.DataFrame], listed=listed) -> Iterator[pd.DataFrame]:
             index = ItemIndex(listed.value)
             for pdf in batches:
-                rows = [(d, *f) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for f in index.find(t, min_words, changed_in)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "changes", "start", "end"])
+                hits = [(d, *f) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for f in index.find(t, min_words, changed_in)]
+                if hits:
+                    yield pd.DataFrame(hits, columns=["doc_id", "item_id", "words", "changes", "start", "end"])
 
-        found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null").mapInPandas(scan, f"doc_id {kind}, item_id {item_kind}, words int, changes int, start int, end int")
+        found = rows.mapInPandas(scan, f"doc_id {kind}, item_id {item_kind}, words int, changes int, start int, end int")
         out = found if out is None else out.unionByName(found)
     return out
 

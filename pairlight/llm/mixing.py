@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlight.storage import materialize
+from pairlight.storage import materialize, spread
 
 #: Ranks of a public byte-level BPE vocabulary: one line "base64 token, rank" each. Read by the driver, sent to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -201,7 +201,8 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     by all mixes; slots meet blocks in a join by source and block number, which spreads a large source over all tasks.
     The report is made from the drawn blocks at once, so asking for its plan columns alone draws the mix all the same.
     """
-    packed = index_blocks(materialize(pack_blocks(docs, source, text, block_tokens, vocabulary, with_tokens)))
+    texts = spread(docs.select(source.alias("source"), F.col(text).alias("text")))
+    packed = index_blocks(materialize(pack_blocks(texts, F.col("source"), "text", block_tokens, vocabulary, with_tokens)))
     sizes = materialize(packed.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens")))
     total = int(sizes.agg(F.sum("tokens")).first()[0] or 0)
     plan = plan_mixes(targets, sizes, total, block_tokens)
