@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +47,11 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: A segment is ambiguous where the nearest codeword's probability is under this.
 SURE = 0.8
+#: Texts are classified together up to so many characters.
+CHUNK_CHARS = 60_000
+
+#: (start, end, language, confidence, sentences, ambiguous)
+Segment = tuple[int, int, str, float, int, bool]
 
 _END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
 #: Line starts of headings, list items and log lines; such lines carry no running text of the author.
@@ -98,30 +103,35 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of a text: (bucket, start) of each. Digits and white space are folded, case is ignored."""
+def _codes(text: str) -> np.ndarray:
+    """Code points in lower case, with everything that is no letter or apostrophe as a space."""
     low = text.lower()
     if len(low) != len(text):  # a few letters grow in lower case; places must stay true
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     c = np.frombuffer(low.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     letter = (c > 127) | ((c >= 97) & (c <= 122)) | (c == 39)
-    c = np.where(letter & (c != 0x200B), c, np.uint64(32))
-    buckets, starts = [], []
+    return np.where(letter & (c != 0x200B), c, np.uint64(32))
+
+
+def _hashed(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(starts, buckets, n) of the n-grams of each order; runs of spaces give no short n-grams."""
     h = np.zeros(len(c), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, max(ORDERS) + 1):
             size = len(c) - n + 1
             if size <= 0:
-                break
+                return
             h = h[:size] * np.uint64(1_000_003) + c[n - 1 : n - 1 + size] + np.uint64(n)
             if n in ORDERS:
-                mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                keep = ~((c[:size] == 32) & (c[n - 1 : n - 1 + size] == 32) & (n < 3))
-                buckets.append(((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[keep])
-                starts.append(np.arange(size)[keep])
-    if not buckets:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(starts)
+                starts = np.flatnonzero(~((c[:size] == 32) & (c[n - 1 : n - 1 + size] == 32) & (n < 3)))
+                mixed = h[starts]
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield starts, ((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), n
+
+
+def _grams(text: str) -> np.ndarray:
+    """Buckets of all n-grams of a text."""
+    return np.concatenate([np.empty(0, np.int64), *[b for _, b, _ in _hashed(_codes(text))]])
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
@@ -154,18 +164,22 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
 
-    def scores(self, text: str, spans: list[tuple[int, int, bool]]) -> np.ndarray:
-        """Probability of each language for each span."""
-        if not spans or not self.languages:
-            return np.zeros((len(spans), len(self.languages)))
-        bits = np.stack([self._bits(text[a:b]) for a, b, _ in spans])
-        return self._decode(bits)
-
-    def _bits(self, piece: str) -> np.ndarray:
-        buckets, _ = _grams(piece)
-        if not len(buckets):
-            return self.bias
-        return self.weights[buckets].sum(axis=0) / len(buckets) + self.bias
+    def bits(self, text: str, spans: list[tuple[int, int, bool]]) -> np.ndarray:
+        """What the classifiers say of each span (in order, apart from each other): mean n-gram weights and bias."""
+        total = np.zeros((len(spans), self.code.shape[1]))
+        count = np.zeros(len(spans))
+        ends = np.array([b for _, b, _ in spans])
+        begins = np.array([a for a, _, _ in spans])
+        for starts, buckets, n in _hashed(_codes(text)):
+            own = np.searchsorted(begins, starts, side="right") - 1
+            inside = (own >= 0) & (starts + n <= ends[own])
+            own, buckets = own[inside], buckets[inside]
+            if not len(own):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            total[own[first]] += np.add.reduceat(self.weights[buckets], first, axis=0)
+            count += np.bincount(own, minlength=len(spans))
+        return total / np.maximum(count, 1)[:, None] + self.bias
 
     def _decode(self, bits: np.ndarray) -> np.ndarray:
         """Loss-weighted decoding: the codeword with the smallest sum of the bits' logistic losses is nearest."""
@@ -173,23 +187,49 @@ class LanguageModel:
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return p / p.sum(axis=1, keepdims=True)
 
-    def segments(self, text: str | None) -> list[tuple[int, int, str, float, int, bool]]:
-        """(start, end, language, confidence, sentences, ambiguous): runs of sentences of one language.
+    def segments(self, text: str | None) -> list[Segment]:
+        return next(self.segments_of([text]))
+
+    def segments_of(self, texts: Iterable[str | None]) -> Iterator[list[Segment]]:
+        """(start, end, language, confidence, sentences, ambiguous) for each text: runs of sentences of one language.
 
         Asides belong to the run around them and do not count as its sentences, unless the text holds nothing else. A
-        sentence that is ambiguous by itself takes the language of its neighbours where both sides agree.
+        sentence that is ambiguous by itself takes the language of its neighbours where both sides agree. Texts are
+        joined up to CHUNK_CHARS characters, so that many short ones cost one pass over arrays; the joins are no part of
+        any span.
         """
-        spans = sentences(text)
-        if not spans or not self.languages:
+        held: list[tuple[list, int]] = []
+        joined: list[str] = []
+        size = 0
+
+        def flush() -> Iterator[list[Segment]]:
+            whole = "\n".join(joined)
+            spans = [(a + at, b + at, aside) for body, at in held for a, b, aside in body]
+            p = self._decode(self.bits(whole, spans)) if spans else np.zeros((0, len(self.languages)))
+            row = 0
+            for body, _ in held:
+                yield self._runs(body, p[row : row + len(body)])
+                row += len(body)
+
+        for text in texts:
+            spans = sentences(text) if self.languages else []
+            body = [s for s in spans if not s[2]] or spans
+            held.append((body, size))
+            joined.append(text if isinstance(text, str) and body else "")
+            size += len(joined[-1]) + 1
+            if size >= CHUNK_CHARS:
+                yield from flush()
+                held, joined, size = [], [], 0
+        yield from flush()
+
+    def _runs(self, body: list[tuple[int, int, bool]], p: np.ndarray) -> list[Segment]:
+        if not body:
             return []
-        body = [s for s in spans if not s[2]] or spans
-        p = self.scores(text, body)
         pick = p.argmax(axis=1)
-        for i in range(len(pick)):
-            if p[i].max() < SURE:
-                near = {int(pick[j]) for j in (i - 1, i + 1) if 0 <= j < len(pick)}
-                if len(near) == 1:
-                    pick[i] = near.pop()
+        for i in np.flatnonzero(p.max(axis=1) < SURE):
+            near = {int(pick[j]) for j in (i - 1, i + 1) if 0 <= j < len(pick)}
+            if len(near) == 1:
+                pick[i] = near.pop()
         out = []
         a = 0
         for b in range(1, len(body) + 1):
@@ -273,7 +313,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 25, clean: bool = Tru
     for t, lab in zip(texts, labels, strict=True):
         for a, b, aside in sentences(t[:SAMPLE_CHARS]):
             if not aside and b - a >= 20:
-                pieces.append(_grams(t[a:b])[0])
+                pieces.append(_grams(t[a:b]))
                 y.append(languages.index(lab))
     y = np.array(y, dtype=int)
     keep = np.array([len(g) > 0 for g in pieces], dtype=bool)
@@ -326,7 +366,7 @@ def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, i, *s) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, s in enumerate(sent.value.segments(t))]
+            rows = [(d, i, *s) for d, found in zip(pdf["doc_id"], sent.value.segments_of(pdf["text"]), strict=True) for i, s in enumerate(found)]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "segment", "start", "end", "lang", "confidence", "sentences", "ambiguous"])
 
@@ -347,9 +387,9 @@ def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id"
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t, lab in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True):
+            for d, segments, lab in zip(pdf["doc_id"], sent.value.segments_of(pdf["text"]), pdf["label"], strict=True):
                 by: dict[str, list[float]] = {}
-                for start, end, lang, sure, n, _ in sent.value.segments(t):
+                for start, end, lang, sure, n, _ in segments:
                     x = by.setdefault(lang, [0, 0.0, 0])
                     x[0] += end - start
                     x[1] += sure * (end - start)
