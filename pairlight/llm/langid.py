@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,16 +38,19 @@ NAMES = {
 }
 _CODE_OF = {name: code for code, names in NAMES.items() for name in [code, *names.split()]}
 
-#: Labelled documents a language is learned from, at most: the bound of the training sample on the driver.
-SAMPLE_DOCS = 150
+#: Labelled documents a language is learned from, at most, and sentences of each: the bound of the training sample.
+SAMPLE_DOCS = 300
+SAMPLE_SENTENCES = 10
+#: Sentences of other lengths in characters are not learned from.
+LEARNED_LENGTH = (20, 1000)
 #: A label with fewer sampled documents is not learned.
 LEAST_DOCS = 5
-#: Characters of a sampled document used to learn; classification always reads whole texts.
-SAMPLE_CHARS = 1500
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: A segment is ambiguous where the nearest codeword's probability is under this.
 SURE = 0.8
+#: A passage beside the main language must be this sure: sentences of unknown words are doubtful one by one.
+SURE_PASSAGE = 0.93
 #: Texts are classified together up to so many characters.
 CHUNK_CHARS = 60_000
 
@@ -103,14 +107,17 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     return out
 
 
+#: Which code points of the basic plane are letters; those beyond it are taken as letters.
+_IS_LETTER = np.array([chr(c).isalpha() or c == 39 for c in range(0x10000)] + [True])
+
+
 def _codes(text: str) -> np.ndarray:
     """Code points in lower case, with everything that is no letter or apostrophe as a space."""
     low = text.lower()
     if len(low) != len(text):  # a few letters grow in lower case; places must stay true
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     c = np.frombuffer(low.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    letter = (c > 127) | ((c >= 97) & (c <= 122)) | (c == 39)
-    return np.where(letter & (c != 0x200B), c, np.uint64(32))
+    return np.where(_IS_LETTER[np.minimum(c, 0x10000).astype(np.int64)], c, np.uint64(32))
 
 
 def _hashed(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -283,7 +290,7 @@ def learn_here(sample: Sample, code: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def learn_on(spark: SparkSession) -> Learner:
-    """The bits are independent problems: one task each. The sample, whose size SAMPLE_DOCS and SAMPLE_CHARS bound, is
+    """The bits are independent problems: one task each. The sample, which SAMPLE_DOCS and SAMPLE_SENTENCES bound, is
     broadcast."""
 
     def learn(sample: Sample, code: np.ndarray, rounds: int) -> np.ndarray:
@@ -301,21 +308,23 @@ def learn_on(spark: SparkSession) -> Learner:
     return learn
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 25, clean: bool = True, learn: Learner = learn_here) -> LanguageModel:
-    """Learns the binary classifiers from the sentences of labelled texts.
+def sample_sentences(text: str | None, n: int = SAMPLE_SENTENCES) -> list[str]:
+    """Up to ``n`` sentences out of the whole text: those with the smallest checksums, so they are spread over it."""
+    low, high = LEARNED_LENGTH
+    found = {text[a:b] for a, b, aside in sentences(text) if not aside and low <= b - a <= high}
+    return sorted(found, key=lambda s: (zlib.crc32(s.encode("utf-8", "replace")), s))[:n]
+
+
+def fit(samples: list[list[str]], labels: list[str], rounds: int = 25, clean: bool = True, learn: Learner = learn_here) -> LanguageModel:
+    """Learns the binary classifiers from the sentences of labelled documents.
 
     Labels may be wrong for some documents: after a first fit, sentences that it gives to another language are left out
     and the classifiers are learned again.
     """
     languages = sorted(set(labels))
     code = codewords(len(languages))
-    pieces, y = [], []
-    for t, lab in zip(texts, labels, strict=True):
-        for a, b, aside in sentences(t[:SAMPLE_CHARS]):
-            if not aside and b - a >= 20:
-                pieces.append(_grams(t[a:b]))
-                y.append(languages.index(lab))
-    y = np.array(y, dtype=int)
+    pieces = [_grams(s) for sample in samples for s in sample]
+    y = np.array([languages.index(lab) for sample, lab in zip(samples, labels, strict=True) for _ in sample], dtype=int)
     keep = np.array([len(g) > 0 for g in pieces], dtype=bool)
     model = LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1]))
     for step in range(2 if clean else 1):
@@ -333,27 +342,36 @@ def fit(texts: list[str], labels: list[str], rounds: int = 25, clean: bool = Tru
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """A model from at most ``sample_docs`` labelled documents a language: those with the smallest hash of their id.
 
-    The sample is drawn per task first (a map-side combine of the smallest hashes), so no language's documents are ever
-    gathered. Documents without a usable label or text are left out.
+    The first pass finds each language's largest hash of the sample, from ids and labels alone and per task first (a
+    map-side combine), so no language's documents are gathered; the second takes sentences from the sampled documents'
+    whole texts. Repeated rows of a document count once. Documents without a usable label or text are left out.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), label_code(label).alias("label")).where("label is not null and length(text) >= 40")
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    rows = docs.select(F.xxhash64(doc_id).alias("h"), label_code(label).alias("label"), F.col(text).alias("text")).where("label is not null and length(text) >= 40")
 
     def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for pdf in batches:
             kept = pd.concat([kept, pdf]) if kept is not None else pdf
-            kept = kept.sort_values(["h", "text"]).groupby("label", sort=False).head(sample_docs)
+            kept = kept.drop_duplicates().sort_values("h").groupby("label", sort=False).head(sample_docs)
         if kept is not None:
             yield kept
 
-    schema = rows.schema
-    part = rows.mapInPandas(smallest, schema)
-    merged = part.groupBy("label").applyInPandas(lambda pdf: pdf.sort_values(["h", "text"]).head(sample_docs), schema)
-    sample = merged.orderBy("label", "h", "text").select("text", "label").toPandas()
-    often = sample["label"].value_counts()
-    sample = sample[sample["label"].isin(often[often >= LEAST_DOCS].index)]
-    return fit(list(sample["text"]), list(sample["label"]), learn=learn_on(docs.sparkSession))
+    hashes = rows.select("label", "h").mapInPandas(smallest, "label string, h long")
+    merged = hashes.groupBy("label").applyInPandas(lambda pdf: pdf.drop_duplicates().sort_values("h").head(sample_docs), "label string, h long")
+    bounds = merged.groupBy("label").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS).collect()
+    if not bounds:
+        return fit([], [])
+    sampled = F.lit(False)
+    for r in bounds:  # one a language
+        sampled = sampled | ((F.col("label") == r.label) & (F.col("h") <= r.top))
+
+    @F.pandas_udf("array<string>")
+    def chosen(texts: pd.Series) -> pd.Series:
+        return texts.map(sample_sentences)
+
+    one = rows.where(sampled).groupBy("label", "h").agg(F.max("text").alias("text"))
+    sample = one.select("label", "h", chosen("text").alias("s")).orderBy("label", "h").collect()
+    return fit([list(r.s) for r in sample], [r.label for r in sample], learn=learn_on(docs.sparkSession))
 
 
 def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +395,7 @@ def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
 def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", label: str = "lang", passage: int = 2) -> DataFrame:
     """``doc_id, found_lang, main, confidence, chars, sentences, label_state``: every language with a passage in a document.
 
-    A passage is a segment of at least ``passage`` sentences. The main language, that with the most characters, always
+    A passage is a segment of at least ``passage`` sentences with a confidence of ``SURE_PASSAGE``. The main language, that with the most characters, always
     counts. ``label_state``: ``missing`` (no language named), ``wrong`` (not the main one), ``mixed`` (several found) or
     ``right``; a label is taken as wrong before it is taken as mixed.
     """
@@ -393,7 +411,7 @@ def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id"
                     x = by.setdefault(lang, [0, 0.0, 0])
                     x[0] += end - start
                     x[1] += sure * (end - start)
-                    x[2] = max(x[2], n)
+                    x[2] = max(x[2], n if sure >= SURE_PASSAGE else 0)
                 if not by:
                     continue
                 main = max(sorted(by), key=lambda k: by[k][0])

@@ -5,11 +5,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +29,16 @@ CHANGED_IN = 7
 BLOCK_WORDS = 400_000
 
 _WORD = re.compile(r"\w+")
-#: Tags and character references; both become spaces of the same length, so that places in the text stay true.
-_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>|<!--.*?-->|&#?\w{1,10};", re.S)
+#: Numbers of lines, as in a listing.
+_LINE_NUMBER = re.compile(r"^[ \t>]*\d{1,4}[:.)|](?=[ \t])", re.M)
+#: Tags, comments, character references and numbers of lines.
+_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>|<!--.*?-->|&#?\w{1,10};|" + f"(?m:{_LINE_NUMBER.pattern})", re.S)
 
 
 def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
     """Normalised words of a text and their places in it.
 
-    Markup tags and zero-width or other format characters are dropped, character references resolved, compatibility
+    Markup tags, numbers of lines and zero-width or other format characters are dropped, references resolved, compatibility
     characters (ligatures, full-width letters, odd spaces) and case folded; words are runs of letters and digits, with
     underscores, punctuation and accents' encoding ignored.
     """
@@ -74,6 +78,7 @@ def quick_words(text: str | None) -> list[str]:
         return []
     if "<" in text or "&" in text:
         return words_of(text)[0]
+    text = _LINE_NUMBER.sub(" ", text)
     if not text.isascii():
         text = _DROPPED.sub("", unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).lower()))
         if not text.isascii() and any(unicodedata.category(c) in ("Mn", "Cf") for c in set(text) if not c.isascii()):
@@ -272,6 +277,17 @@ def item_words(items: DataFrame, item_id: str, text: str, shared_words: int = SH
     return base.join(listed, "item_id", "left")
 
 
+_INDEXES: dict[str, ItemIndex] = {}
+
+
+def _cached_index(key: str, listed: Broadcast) -> ItemIndex:
+    """The index of a block, built once a worker process and not once a task; only the last one is kept."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = ItemIndex(listed.value)
+    return _INDEXES[key]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, changed_in: int = CHANGED_IN) -> DataFrame:
     """``doc_id, item_id, words, changes, start, end``: each passage of an item in a document.
 
@@ -291,8 +307,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         listed = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.words, [tuple(x) for x in r.sharing or ()]) for r in part.collect()])
 
-        def scan(batches: Iterator[pd.DataFrame], listed=listed) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(listed.value)
+        def scan(batches: Iterator[pd.DataFrame], listed=listed, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            index = _cached_index(key, listed)
             for pdf in batches:
                 hits = [(d, *f) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for f in index.find(t, min_words, changed_in)]
                 if hits:

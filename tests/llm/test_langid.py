@@ -41,7 +41,7 @@ def test_codewords():
 def test_held_out_accuracy_with_wrong_labels():
     docs = corpus()
     labels = [lab if i % 12 else "es" for i, (_, _, lab) in enumerate(docs)]
-    m = langid.fit([t for _, t, _ in docs], labels)
+    m = langid.fit([langid.sample_sentences(t) for _, t, _ in docs], labels)
     tests = [(lang, sentence(lang)) for lang in WORDS for _ in range(50)]
     right = sum(m.segments(t)[0][2] == lang for lang, t in tests)
     assert right >= 0.97 * len(tests)
@@ -49,7 +49,7 @@ def test_held_out_accuracy_with_wrong_labels():
 
 def test_segments_and_asides():
     docs = corpus()
-    m = langid.fit([t for _, t, _ in docs], [x for _, _, x in docs])
+    m = langid.fit([langid.sample_sentences(t) for _, t, _ in docs], [x for _, _, x in docs])
     t = "# Titel\n" + passage("en", 3) + "\n" + passage("de", 2) + "\n* The house of people.\n" + passage("fr", 1) + " " + passage("en", 2)
     assert [(s[2], s[4]) for s in m.segments(t)] == [("en", 3), ("de", 2), ("fr", 1), ("en", 2)]
     assert m.segments(None) == [] and m.segments("") == [] and m.segments("42 …") == []
@@ -73,6 +73,13 @@ def test_found_languages(spark):
     assert langid.find_segments(d.limit(0), m).isEmpty()
 
 
+def test_sample_takes_sentences_from_the_whole_text():
+    t = passage("en", 400)
+    got = langid.sample_sentences(t)
+    assert len(got) == langid.SAMPLE_SENTENCES and max(t.index(s) for s in got) > len(t) // 2
+    assert langid.sample_sentences(None) == [] and langid.sample_sentences("x" * 5000) == []
+
+
 def test_no_labels_at_all(spark):
     d = spark.createDataFrame([(1, "Some text without any label at all, long enough.", None)], "doc_id long, text string, lang string")
     m = langid.train(d)

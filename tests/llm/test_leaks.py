@@ -83,7 +83,8 @@ def test_two_places_and_spans():
 
 def test_words():
     assert words_of("A­-B <br/>c&eacute;d_e ﬁx Ｆull")[0] == ["a", "b", "ced", "e", "fix", "full"]
-    for t in ("Ünï​code text", "plain", "a < b & c", "été"):
+    assert words_of("01: one two\n> 02: three 26 four\n 3) five 4: x")[0] == ["one", "two", "three", "26", "four", "five", "4", "x"]
+    for t in ("01: a\n02: b", "Ünï​code text", "plain", "a < b & c", "été"):
         assert quick_words(t) == words_of(t)[0]
 
 
