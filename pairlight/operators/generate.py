@@ -77,7 +77,8 @@ def realize(numbered: DataFrame, key: str | Column, seed: str = "42") -> DataFra
 def generate_pairs(spark: SparkSession, count: int, balanced: bool = False, seed: str = "42") -> DataFrame:
     """``count`` pairs at any scale; an invalid pair is an error, as the generator must only make valid ones."""
     rows = realize(schedule(spark, count, balanced), "i", seed)
-    rows = rows.withColumn("uid", F.concat("template_type", F.lit("-"), F.lpad((F.col("i") + 1).cast("string"), 4, "0")))
+    number = (F.col("i") + 1).cast("string")
+    rows = rows.withColumn("uid", F.concat("template_type", F.lit("-"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)))
     gate = F.assert_true(pair_is_valid("sentence_good", "sentence_bad", "dependency_distance", "attractor_count", "clause_depth"), F.lit("invalid generated pair"))
     return rows.where(gate.isNull()).select(*PAIR_FIELDS)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions.text import md5_number
+from pairlight.operators.ranking import first_of_each, running_index
 from pairlight.operators.summaries import safe_ratio
 
 
@@ -65,8 +66,8 @@ def matched_sample(pairs: DataFrame, plan: DataFrame, group: str, seed: str = "4
     """``sampled`` pairs of each dataset and group: those with the smallest MD5 of seed and id. The same rows at any
     partitioning; exact replay of a sequential generator needs that generator."""
     rows = pairs.join(F.broadcast(plan.select(F.col("group_name").alias(group), "sampled")), group)  # one row a group
-    at = F.row_number().over(W.partitionBy("dataset", group).orderBy(md5_number(F.lit(seed), "pair_id"), "pair_id"))
-    return rows.withColumn("_at", at).where(F.col("_at") <= F.col("sampled")).drop("_at", "sampled")
+    most = plan.agg(F.max("sampled")).first()[0] or 0
+    return first_of_each(rows, ["dataset", group], [md5_number(F.lit(seed), "pair_id"), F.col("pair_id")], "sampled", most).drop("rank", "sampled")
 
 
 def matched_summary(plan: DataFrame) -> DataFrame:
@@ -90,10 +91,9 @@ def candidate_hardness(candidates: DataFrame, quotas: DataFrame, order: Sequence
 
     The place in the pool, counted before insertion, drives the bonus for thin pools and the penalty for full ones.
     """
-    first = F.row_number().over(W.partitionBy("subtype", "grammatical", "ungrammatical").orderBy(*order))
-    rows = candidates.withColumn("_first", first).where("_first = 1").drop("_first")
-    at = (F.row_number().over(W.partitionBy("subtype").orderBy(*order)) - 1).cast("long")
-    rows = rows.join(F.broadcast(quotas.select("subtype", "target_count")), "subtype").withColumn("pool_index", at)  # one row a subtype
+    rows = first_of_each(candidates, ["subtype", "grammatical", "ungrammatical"], order, 1).drop("rank")
+    rows = rows.join(F.broadcast(quotas.select("subtype", "target_count")), "subtype")  # one row a subtype
+    rows = running_index(rows, ["subtype"], order, "pool_index")
     progress = F.col("pool_index") / F.greatest(F.col("target_count"), F.lit(1))
     m = F.col("preference_margin")
     edge = F.greatest(F.lit(0.0), near - F.abs(m)) / near if near > 0 else F.lit(0.0)
@@ -104,5 +104,5 @@ def candidate_hardness(candidates: DataFrame, quotas: DataFrame, order: Sequence
 
 def select_candidates(scored: DataFrame) -> DataFrame:
     """The ``target_count`` hardest candidates of each subtype; ties by lower margin, then sentence."""
-    at = F.row_number().over(W.partitionBy("subtype").orderBy(F.desc("hardness_score"), F.asc("preference_margin"), F.asc("grammatical")))
-    return scored.withColumn("rank", at.cast("long")).where(F.col("rank") <= F.col("target_count"))
+    most = scored.agg(F.max("target_count")).first()[0] or 0
+    return first_of_each(scored, ["subtype"], [F.desc("hardness_score"), F.asc("preference_margin"), F.asc("grammatical")], "target_count", most)

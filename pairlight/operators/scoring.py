@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.functions.text import distance_bucket, length_score, md5_number, parse_judgement
+from pairlight.operators.ranking import first_of_each
+from pairlight.storage import materialize
 
 #: A scorer turns a sentence column into a score column.
 Scorer = Callable[[Column], Column]
@@ -160,8 +162,6 @@ def score_pairs(pairs: DataFrame, scorers: dict[str, Scorer], near: float = NEAR
 
 def score_each_model(pairs: DataFrame, scorers: dict[str, Scorer], near: float = NEAR_FAILURE_MARGIN, keep_going: bool = True) -> tuple[DataFrame | None, list[dict[str, str]]]:
     """As ``score_pairs``, but each model is run for itself: one that fails is listed with its error and adds no row."""
-    from pairlight.storage import materialize
-
     out, errors = None, []
     for model_id, scorer in scorers.items():
         try:
@@ -177,7 +177,4 @@ def score_each_model(pairs: DataFrame, scorers: dict[str, Scorer], near: float =
 
 def head_per_group(df: DataFrame, groups: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group in the given order (Spark limits each group before the shuffle)."""
-    from pyspark.sql import Window as W
-
-    at = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
-    return df.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
+    return first_of_each(df, groups, order, n).drop("rank")

@@ -8,6 +8,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions.rewards import RewardWeights
@@ -244,11 +245,12 @@ def run_quota_generation(spark: SparkSession, config: str | Config) -> Paths:
     w = config.get("scoring", {})
     hard = quotas.candidate_hardness(scored, targets, ["attempt"], near, w.get("model_failure_weight", 1.0), w.get("boundary_weight", 0.5), w.get("margin_weight", 0.1), w.get("underrepresented_subtype_bonus", 0.25), w.get("overrepresented_subtype_penalty", 0.5))
     chosen = materialize(quotas.select_candidates(hard))
-    from pyspark.sql import Window as W
-
-    # the uid numbers run over all chosen pairs; their number is the sum of the quotas
-    at = F.row_number().over(W.orderBy("subtype", "rank"))
-    chosen = chosen.withColumn("uid", F.concat(F.lit("rl_dist_"), F.lpad(at.cast("string"), 4, "0"))).withColumnsRenamed({"grammatical": "sentence_good", "ungrammatical": "sentence_bad"})
+    # uid numbers run over all chosen pairs: a subtype's rank and the chosen of the subtypes before it (a row a subtype)
+    sizes = chosen.groupBy("subtype").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("subtype").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chosen = chosen.join(F.broadcast(sizes.select("subtype", before.alias("_before"))), "subtype")
+    number = (F.col("_before") + F.col("rank")).cast("string")
+    chosen = chosen.withColumn("uid", F.concat(F.lit("rl_dist_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))).withColumnsRenamed({"grammatical": "sentence_good", "ungrammatical": "sentence_bad"})
     achieved = chosen.groupBy("subtype").agg(F.count(F.lit(1)).alias("achieved_count"))
     extra = ["grammatical_score", "ungrammatical_score", "preference_margin", "model_failed", "boundary_score", "diversity_bonus", "over_quota_penalty", "hardness_score"]
     paths = {
