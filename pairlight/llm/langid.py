@@ -49,6 +49,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: A segment is ambiguous where the nearest codeword's probability is under this.
 SURE = 0.8
+#: Sentences of one step of learning.
+BATCH = 1024
 #: A passage beside the main language must be this sure: sentences of unknown words are doubtful one by one.
 SURE_PASSAGE = 0.93
 #: Texts are classified together up to so many characters.
@@ -259,25 +261,34 @@ class Sample:
 
     @staticmethod
     def of(grams: list[np.ndarray], y: np.ndarray) -> Sample:
+        order = np.random.default_rng(1).permutation(len(grams))
+        grams, y = [grams[i] for i in order], y[order]
         sizes = np.array([len(g) for g in grams], dtype=np.int64)
         flat = np.concatenate(grams).astype(np.int32) if grams else np.empty(0, np.int32)
         return Sample(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes, y)
 
     def learn(self, code: np.ndarray, bit: int, rounds: int) -> np.ndarray:
-        """Weights of one bit's classifier, the bias last: logistic regression on mean n-gram weights, by Adagrad."""
+        """Weights of one bit's classifier, the bias last: logistic regression on mean n-gram weights, by Adagrad over
+        batches of sentences in mixed order."""
         target = code[self.y, bit]
         # languages count alike, as labels are unevenly frequent
         even = 1.0 / np.bincount(self.y, minlength=len(code))[self.y]
         even /= even.mean()
-        rows = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         w, bias, g2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
+        batches = []
+        for a in range(0, len(self.sizes), BATCH):
+            b = min(a + BATCH, len(self.sizes))
+            first, last = self.starts[a], self.starts[b - 1] + self.sizes[b - 1]
+            rows = np.repeat(np.arange(b - a, dtype=np.int32), self.sizes[a:b])
+            batches.append((a, b, self.flat[first:last], self.starts[a:b] - first, rows))
         for _ in range(rounds):
-            f = np.add.reduceat(w[self.flat], self.starts) / self.sizes + bias
-            pull = even * target / (1.0 + np.exp(np.clip(target * f, -30, 30)))
-            grad = np.bincount(self.flat, weights=(pull / self.sizes)[rows], minlength=BUCKETS)
-            g2 += grad * grad
-            w += 3.0 * grad / np.sqrt(g2)
-            bias += 0.1 * pull.mean()
+            for a, b, flat, starts, rows in batches:
+                f = np.add.reduceat(w[flat], starts) / self.sizes[a:b] + bias
+                pull = even[a:b] * target[a:b] / (1.0 + np.exp(np.clip(target[a:b] * f, -30, 30)))
+                grad = np.bincount(flat, weights=(pull / self.sizes[a:b])[rows], minlength=BUCKETS)
+                g2 += grad * grad
+                w += 1.5 * grad / np.sqrt(g2)
+                bias += 0.05 * pull.mean()
         return np.append(w, bias)
 
 
@@ -315,7 +326,7 @@ def sample_sentences(text: str | None, n: int = SAMPLE_SENTENCES) -> list[str]:
     return sorted(found, key=lambda s: (zlib.crc32(s.encode("utf-8", "replace")), s))[:n]
 
 
-def fit(samples: list[list[str]], labels: list[str], rounds: int = 25, clean: bool = True, learn: Learner = learn_here) -> LanguageModel:
+def fit(samples: list[list[str]], labels: list[str], rounds: int = 5, clean: bool = True, learn: Learner = learn_here) -> LanguageModel:
     """Learns the binary classifiers from the sentences of labelled documents.
 
     Labels may be wrong for some documents: after a first fit, sentences that it gives to another language are left out
