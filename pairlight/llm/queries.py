@@ -188,7 +188,38 @@ _P4 = f"""WITH latest AS (
   SELECT {_name("model_id")} AS model_id, {_name("subtype")} AS subtype, preference_margin AS m FROM latest WHERE rn = 1
 )"""
 
+_P1_ITEMS = f"""items AS (
+  SELECT DISTINCT run_id, {_name("subtype")} AS subtype, regexp_replace(lower(sentence_good), '\\s+', '', 'g') || chr(1) || regexp_replace(lower(sentence_bad), '\\s+', '', 'g') AS pair_key
+  FROM sanity_check_pair_validation WHERE valid AND sentence_good IS NOT NULL AND sentence_bad IS NOT NULL
+), ranked AS (
+  SELECT i.*, least(quota, available) AS achieved, row_number() OVER (PARTITION BY run_id, subtype ORDER BY md5('42|' || run_id || '|' || subtype || '|' || pair_key), pair_key) AS rn
+  FROM items i JOIN report USING (run_id, subtype)
+)"""
+
+
+def _list_cells(field: str) -> str:
+    return f"SELECT record_id, '{field}' AS field_name, {field} AS cell FROM sanity_check_lexical_by_subtype WHERE record_id IS NOT NULL"
+
+
+_P3 = f"""WITH cells AS ({" UNION ALL ".join(_list_cells(f) for f in LISTS)}
+), plain AS (
+  SELECT record_id, field_name, CASE WHEN cell LIKE '"%' AND json_valid(cell) THEN json_extract_string(cell, '$') WHEN cell LIKE '[[''%' THEN replace(cell, '''', '"') ELSE cell END AS cell FROM cells
+), lists AS (
+  SELECT record_id, field_name, CAST(cell AS JSON[]) AS entries FROM plain WHERE json_valid(cell) AND json_type(cell) = 'ARRAY'
+), entries AS (
+  SELECT record_id, field_name, unnest(entries) AS e, generate_subscripts(entries, 1) AS place FROM lists
+), terms AS (
+  SELECT DISTINCT record_id, field_name, place, regexp_replace(lower(CASE json_type(e) WHEN 'ARRAY' THEN e ->> 0 WHEN 'OBJECT' THEN e ->> 'term' ELSE e ->> '$' END), '^\\s+|\\s+$', '', 'g') AS term FROM entries
+), counted AS (
+  SELECT field_name, term, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM terms WHERE term <> '' GROUP BY ALL
+), marked AS (
+  SELECT *, CASE WHEN records * 100 >= 40 * (SELECT count(DISTINCT record_id) FROM sanity_check_lexical_by_subtype) THEN 'common' WHEN records < 3 THEN 'rare' END AS mark FROM counted
+)"""
+
 ORACLE = {
+    "p1_sample": f"{_P1}, {_P1_ITEMS} SELECT run_id, subtype, pair_key FROM ranked WHERE rn <= achieved",
+    "p3_found": f"{_P3} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
+    "p3_terms": f"{_P3} SELECT * FROM marked",
     "p1_found": f"{_P1} SELECT run_id, subtype FROM report WHERE available < quota",
     "p1_report": f"{_P1} SELECT *, least(quota, available) AS achieved_count, quota - least(quota, available) AS missing_count FROM report",
     "p2_found": """WITH failures AS (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlight.llm.topn import cutoffs, long_code, text_code
+from pairlight.llm.topn import cutoffs, text_code
 from pairlight.storage import materialize
 
 
@@ -47,7 +47,7 @@ def match_targets(items: DataFrame, targets: DataFrame, pool: Sequence[str], cat
     ``items``: ``pool + category, item`` (a text key; repeated keys of a category count once; other columns are not
     carried, join them back by the keys). Rows with a null pool, category or key belong to no category and are left out,
     as are categories without a target. The sample takes, of every category, the ``achieved_count`` items with the
-    smallest pseudo-random keys; the cut of each category is found by bisection (``topn.cutoffs``), so a category with a
+    smallest pseudo-random keys (MD5 of seed, category and item); the cut of each category is found by bisection (``topn.cutoffs``), so a category with a
     third of all rows is neither sorted nor gathered. The same seed gives the same sample however the data are split.
     Empty items give an empty sample and a report of shortfalls; empty targets give two empty results.
     """
@@ -56,7 +56,7 @@ def match_targets(items: DataFrame, targets: DataFrame, pool: Sequence[str], cat
     counts = distinct.groupBy(*keys).agg(F.count("*").alias("available"))
     report = materialize(allocate(targets, counts, pool, category, total))
     drawn = distinct.join(report.select(*keys, "achieved_count"), keys).where("achieved_count > 0")
-    coded = materialize(drawn.withColumn("_code", F.concat(long_code(F.xxhash64(F.lit(seed), *keys, item)), text_code(item))))
+    coded = materialize(drawn.withColumn("_code", F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], item)), text_code(item))))
     cuts = cutoffs(coded, keys, "_code", "achieved_count")
     sample = coded.join(cuts, keys).where((F.col("cut_len") == 0) | (F.expr("left(_code, cut_len)") <= F.col("cut")))
     return sample.select(*keys, item), report

@@ -31,11 +31,6 @@ def double_code(c: str | Column) -> Column:
     return F.when(as_col(c).isNotNull(), F.lpad(F.hex(flipped), 16, "0"))
 
 
-def long_code(c: str | Column) -> Column:
-    """16 hexadecimal digits whose text order is the order of a signed 64-bit integer."""
-    return F.lpad(F.hex(as_col(c).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-
-
 def text_code(c: str | Column) -> Column:
     """Hexadecimal UTF-8 bytes: text order is byte order, a prefix comes first; null counts as empty."""
     return F.hex(F.coalesce(as_col(c).cast("string"), F.lit("")))
