@@ -148,6 +148,21 @@ def plan_mixes(targets: DataFrame, sizes: DataFrame, total_tokens: int, block_to
     return t.withColumn("capped", F.col("possible_tokens") < F.col("target_tokens"))
 
 
+#: Shards whose draws are summed in one group; sums of groups are then summed again, so no task gets all shards.
+SHARD_GROUP = 4096
+
+
+def _with_first(drawn: DataFrame) -> DataFrame:
+    """Adds ``first``: how many blocks of the source the shards before this one drew in the mix."""
+    before = lambda keys, order, c: F.coalesce(F.sum(c).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    keys = ["mix_id", "source"]
+    rows = drawn.withColumn("_group", F.floor(F.col("shard") / SHARD_GROUP))
+    groups = rows.groupBy(*keys, "_group").agg(F.sum("drawn").alias("_n"))
+    groups = groups.select(*keys, "_group", before(keys, "_group", "_n").alias("_before"))
+    rows = rows.withColumn("_inside", before([*keys, "_group"], "shard", "drawn")).join(groups, [*keys, "_group"])
+    return rows.select(*drawn.columns, (F.col("_before") + F.col("_inside")).alias("first"))
+
+
 def draw_slots(plan: DataFrame, total_tokens: int, shards: int, seed: int) -> DataFrame:
     """``mix_id, source, shard, slot, repeat, block``: which block fills each slot of each output shard.
 
@@ -174,8 +189,7 @@ def draw_slots(plan: DataFrame, total_tokens: int, shards: int, seed: int) -> Da
             yield pd.DataFrame(rows, columns=["mix_id", "source", "shard", "drawn"])
 
     drawn = per_shard.mapInPandas(draw, f"mix_id {kinds['mix_id']}, source string, shard int, drawn long")
-    before = F.sum("drawn").over(W.partitionBy("mix_id", "source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    drawn = drawn.withColumn("first", F.coalesce(before, F.lit(0)))
+    drawn = materialize(_with_first(drawn))
     counts = drawn.join(plan.select("mix_id", "source", "blocks", "max_repeats"), ["mix_id", "source"])
     counts = counts.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("drawn"), F.col("blocks") * F.col("max_repeats") - F.col("first"))))
 

@@ -137,8 +137,8 @@ def sketch_groups(df: DataFrame, groups: Sequence[str], value: str, section: int
     """``groups, n, low, high``: per group one sketch for each tail, as bytes; can be stored and merged with other days'.
 
     Every task first sketches its own rows (a map-side combine: a group with a third of all rows is spread over all
-    tasks and reaches the merge as one small sketch a task), then sketches of a group are merged, first in up to 16
-    salted parts. Null, NaN and infinite values are left out; null group values form a group of their own.
+    tasks and reaches the merge as one small sketch a task), then sketches of a group are merged, first in salted
+    parts. Null, NaN and infinite values are left out; null group values form a group of their own.
     """
     groups = list(groups)
     kinds = dict(df.dtypes)
@@ -172,7 +172,9 @@ def sketch_groups(df: DataFrame, groups: Sequence[str], value: str, section: int
         return pdf[groups].iloc[:1].assign(n=[low.n], low=[low.to_bytes()], high=[high.to_bytes()])
 
     parts = df.where(finite).select(*groups, F.col(value).cast("double").alias("_value")).mapInPandas(build, schema)
-    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    # about as many sketches meet in the first merge as first merges in the second
+    salts = max(16, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = salted.groupBy(*groups, "_salt").applyInPandas(merged, schema)
     return first.groupBy(*groups).applyInPandas(merged, schema)
 

@@ -51,3 +51,10 @@ def test_empty(spark):
     t = spark.createDataFrame([(1, "a", 1.0, 2)], "mix_id long, source string, target_weight double, max_repeats int")
     mixed, report = mixing.mix(d, F.col("source"), t)
     assert mixed.isEmpty() and report.count() == 1
+
+
+def test_draws_before_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 3)
+    rows = [(m, s, k, (k * 7 + m) % 5) for m in (1, 2) for s in ("a", "b") for k in range(11) if (k + m) % 4]
+    got = {(r.mix_id, r.source, r.shard): r.first for r in mixing._with_first(spark.createDataFrame(rows, "mix_id long, source string, shard int, drawn long")).collect()}
+    assert got == {(m, s, k): sum(d for x, y, j, d in rows if (x, y) == (m, s) and j < k) for m, s, k, _ in rows}
