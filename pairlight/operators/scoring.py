@@ -113,6 +113,14 @@ def judge_scorer(client: Callable[[], Callable[[str], str]]) -> Scorer:
     return score
 
 
+def response_text(response: Any) -> str:
+    """The text of a judge's answer object: its ``output_text``, else the texts of its output parts, a line each."""
+    if whole := getattr(response, "output_text", None):
+        return str(whole)
+    parts = (part for item in getattr(response, "output", None) or () for part in getattr(item, "content", None) or ())
+    return "\n".join(str(t) for p in parts if (t := getattr(p, "text", None)))
+
+
 def build_scorer(options: ScorerOptions) -> Scorer:
     kind = next((k for k, names in PROVIDERS.items() if options.provider.strip().lower() in names), None)
     if kind == "length":

@@ -158,6 +158,8 @@ def run_subtype_analysis(spark: SparkSession, config: str | Config) -> Paths:
     }
     paths["summary"] = sinks.write_json(summary, out / "subtype_analysis_summary.json")
     lines = ["# Subtypes by model", "", "Consistently hard: " + (", ".join(summary["consistently_hard"]) or "none"), "", *sinks.markdown_table(summary["hardest"], ["model_id", "rank", "group_name", "accuracy", "failure_rate", "mean_preference_margin"])]
+    across = grouped.where(F.col("group_by").isin("subtype", "template_type")).orderBy("group_by", "group_name", "model_id").limit(20)
+    lines += ["", "## Across models", "", *sinks.markdown_table(sinks.rows_of(across), ["group_by", "group_name", "model_id", "accuracy", "failure_rate"])]
     paths["report"] = sinks.write_text(lines, out / "subtype_analysis_summary.md")
     return {k: str(v) for k, v in paths.items()}
 

@@ -31,7 +31,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for costly work on each row.
 
     A table in a few small files is dealt out anew; one with enough partitions, as any large table has, is left as it is
-    and not shuffled.
+    and not shuffled. Meant for tables as they are read from files: asking for the partitions plans the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -106,3 +106,11 @@ def test_python_scorers(spark):
     judge = scoring.judge_scorer(lambda: lambda s: f'{{"score": {len(s) / 10}}}')
     got = scoring.add_scores(pairs, judge).collect()
     assert got[0].grammatical_score == 0.5 and got[1].grammatical_score == 0.0
+
+
+def test_response_text():
+    from types import SimpleNamespace as N
+
+    assert scoring.response_text(N(output_text="a")) == "a"
+    assert scoring.response_text(N(output=[N(content=[N(text="a"), N(text=None), N(text="b")]), N(content=None)])) == "a\nb"
+    assert scoring.response_text(N()) == ""
