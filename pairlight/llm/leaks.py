@@ -140,24 +140,26 @@ def _align(doc: list[str], item: list[str], gain: int) -> list[tuple[int, int]]:
 
 
 def _stretch(path: list[tuple[int, int]], doc: list[str], item: list[str], counts: np.ndarray, changed_in: int) -> tuple[int, int, int, int] | None:
-    """(item words, changes, first, last place in doc) of the longest stretch of a path with one change in ``changed_in`` at most.
+    """(item words, changes, first, last place in doc) of the longest stretch of a path with one change in ``changed_in``
+    at most, from a kept word to a kept word.
 
     Only words that ``counts`` marks as the item's own count as item words; matches of shared wording neither count nor cost.
     """
     best = None
     length = len(path)
-    gain, own, change = np.zeros(length + 1, int), np.zeros(length + 1, int), np.zeros(length + 1, int)
+    gain, own, change, same = np.zeros(length + 1, int), np.zeros(length + 1, int), np.zeros(length + 1, int), np.zeros(length + 1, bool)
     for k, (j, i) in enumerate(path):
         match = i >= 0 and j >= 0 and doc[j] == item[i]
         mine = i >= 0 and bool(counts[i])
+        same[k + 1] = match
         own[k + 1] = own[k] + mine
         change[k + 1] = change[k] + (not match)
         # own words pay for changes: words - changed_in * changes must not be negative
         gain[k + 1] = gain[k] + (mine - changed_in * (not match))
     for a in range(length):
-        if path[a][0] < 0 or path[a][1] < 0:
+        if not same[a + 1]:
             continue
-        ok = np.flatnonzero(gain[a + 1 :] >= gain[a])
+        ok = np.flatnonzero((gain[a + 1 :] >= gain[a]) & same[a + 1 :])
         if len(ok):
             b = a + 1 + int(ok[-1])
             words = int(own[b] - own[a])
@@ -212,34 +214,44 @@ class ItemIndex:
         for j, gram in enumerate(zip(*[words[k:] for k in range(n)], strict=False)):
             for i, k in grams.get(gram, ()):
                 hits[i].append((j, k))
+        changes = min_words // changed_in
         found = []
         for i, places in hits.items():
             if len(places) < needed:
                 continue
             item, own = self.items[i]
-            length = len(item)
-            slack = length // changed_in + n + 1
-            # hits whose windows touch are verified together; a window holds every stretch through its hits
+            shared = np.concatenate([[0], np.cumsum(~own)])
+            # A stretch with one change in changed_in has one of min_words words with no more than `changes`: its hits lie
+            # close together and on diagonals close by. Shared words between two hits are no distance.
+            near = [(j, j - k, j - int(shared[k])) for j, k in sorted(places)]
+            dense = []
+            for x, (j, diagonal, own_j) in enumerate(near):
+                close = 0
+                for j2, diagonal2, own_j2 in near[x:]:
+                    if j2 - j > min_words + changes + len(item):
+                        break
+                    close += abs(diagonal2 - diagonal) <= changes and own_j2 - own_j <= min_words + changes - n
+                if close >= needed:
+                    dense.append((j, diagonal))
+            slack = len(item) // changed_in + n + 1
+            # places whose windows touch are verified together; a window holds every stretch through its hits
             windows: list[list[int]] = []
-            for j, k in sorted(places, key=lambda p: p[0] - p[1]):
-                lo, hi = max(0, j - k - slack), min(len(words), j - k + length + slack)
-                if windows and lo <= windows[-1][1] and hi - windows[-1][0] <= 6 * length + 400:
+            for _, diagonal in sorted(dense, key=lambda d: d[1]):
+                lo, hi = max(0, diagonal - slack), min(len(words), diagonal + len(item) + slack)
+                if windows and lo <= windows[-1][1] and hi - windows[-1][0] <= 6 * len(item) + 400:
                     windows[-1][1] = max(hi, windows[-1][1])
-                    windows[-1][2] += 1
                 else:
-                    windows.append([lo, hi, 1])
-            for lo, hi, count in windows:
-                if count < needed:
-                    continue
+                    windows.append([lo, hi])
+            for lo, hi in windows:
                 stack = [(lo, hi)]
                 while stack:
                     a, b = stack.pop()
-                    if b - a < min_words - min_words // changed_in:
-                        continue
-                    # what lies beside a passage may hold the item again; by the lemma only where enough hits are
-                    if sum(a <= j <= b - n for j, _ in places) < needed:
+                    # what lies beside a passage may hold the item again, but only where hits are dense
+                    if not any(a <= j < b for j, _ in dense):
                         continue
                     path = _align(words[a:b], item, 1)
+                    if not path:
+                        continue
                     got = _stretch(path, words[a:b], item, own, changed_in)
                     first, last = a + min(j for j, _ in path if j >= 0), a + max(j for j, _ in path if j >= 0)
                     if got is None or got[0] < min_words:

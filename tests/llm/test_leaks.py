@@ -103,3 +103,42 @@ def test_cutting(spark):
     cut = {r.doc_id: r for r in without_leaks(d, leaks).collect()}
     assert cut[1].text == "keep this  and this" and cut[1].start == "s" and cut[2].text == "clean" and cut[3].text is None
     assert {r.doc_id for r in without_leaks(d, leaks, whole=True).collect()} == {2, 3}
+
+
+def leaked(doc, item, least=14, one_in=7):
+    """By trying every pair of starts: is some stretch of the item, first and last word kept, within the changes?"""
+    for i0 in range(len(item) - least + 1):
+        for j0 in range(len(doc)):
+            if item[i0] != doc[j0]:
+                continue
+            before = list(range(len(doc) - j0 + 1))
+            for i in range(i0, len(item)):
+                now = [before[0] + 1]
+                for j in range(j0, len(doc)):
+                    now.append(min(before[j - j0] + (item[i] != doc[j]), before[j - j0 + 1] + 1, now[-1] + 1))
+                before = now
+                n = i - i0 + 1
+                if n >= least and any(now[j - j0 + 1] * one_in <= n and doc[j] == item[i] for j in range(j0, len(doc))):
+                    return True
+    return False
+
+
+def test_random_changes_against_trying_everything():
+    rng = random.Random(8)
+    yes = 0
+    for case in range(250):
+        item = [rng.choice(VOCAB[:25]) for _ in range(22)]
+        doc = list(item[rng.randrange(0, 5) : 22 - rng.randrange(0, 5)])
+        for _ in range(rng.randrange(0, 5)):
+            at, kind = rng.randrange(len(doc)), rng.random()
+            if kind < 0.5:
+                doc[at] = rng.choice(VOCAB[25:60])
+            elif kind < 0.75:
+                del doc[at]
+            else:
+                doc.insert(at, rng.choice(VOCAB[:60]))
+        doc = [rng.choice(VOCAB[:60]) for _ in range(4)] + doc + [rng.choice(VOCAB[:60]) for _ in range(4)]
+        want = leaked(doc, item)
+        yes += want
+        assert bool(ItemIndex([(1, item, [])]).find(" ".join(doc))) == want, (case, doc, item)
+    assert 60 < yes < 220
