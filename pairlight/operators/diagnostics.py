@@ -12,6 +12,7 @@ from pairlight.functions.lexicon import ALLOWED_METADATA, NOUNS, PREPOSITIONS, P
 from pairlight.functions.text import alphabetic_tokens, missing, sentence_tokens
 from pairlight.operators.generate import PAIR_FIELDS, dependency_distance
 from pairlight.operators.summaries import safe_ratio
+from pairlight.storage import materialize
 
 NUMBERS = ("dependency_distance", "attractor_count", "clause_depth")
 # The models that the disagreement categories name.
@@ -97,24 +98,25 @@ def duplicate_rows(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def lexical_features(sentence: str = "sentence_good", subtype: str = "subtype") -> Column:
-    """Struct of nouns, verbs and prepositions of a sentence in order, and its lexical pattern (first three nouns, last
-    two verbs, all prepositions)."""
-    tokens = alphabetic_tokens(F.coalesce(sentence, F.lit("")))
-    inside = lambda words: F.filter(tokens, lambda t: t.isin(*words))
-    nouns, verbs, preps = inside(NOUNS), inside(VERBS), inside(PREPOSITIONS)
-    two = F.slice(verbs, F.greatest(F.size(verbs) - 1, F.lit(1)), 2)
-    pattern = F.concat_ws("|", F.coalesce(subtype, F.lit("None")), F.array_join(F.slice(nouns, 1, 3), "+"), F.array_join(two, "+"), F.array_join(preps, "+"))
-    return F.struct(nouns.alias("nouns"), verbs.alias("verbs"), preps.alias("prepositions"), pattern.alias("pattern"))
+def with_lexical_features(rows: DataFrame, sentence: str = "sentence_good", subtype: str = "subtype") -> DataFrame:
+    """Adds ``nouns``, ``verbs`` and ``prepositions`` of a sentence in order, and its lexical ``pattern`` (first three
+    nouns, last two verbs, all prepositions). One projection builds on the other, so tokens are taken once."""
+    inside = lambda words: F.filter("_tokens", lambda t: t.isin(*words))
+    rows = rows.withColumn("_tokens", alphabetic_tokens(F.coalesce(sentence, F.lit(""))))
+    rows = rows.select("*", inside(NOUNS).alias("nouns"), inside(VERBS).alias("verbs"), inside(PREPOSITIONS).alias("prepositions")).drop("_tokens")
+    two = F.slice("verbs", F.greatest(F.size("verbs") - 1, F.lit(1)), 2)
+    pattern = F.concat_ws("|", F.coalesce(subtype, F.lit("None")), F.array_join(F.slice("nouns", 1, 3), "+"), F.array_join(two, "+"), F.array_join("prepositions", "+"))
+    return rows.withColumn("pattern", pattern)
 
 
 def lexical_counts(records: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """``keys, kind, term, n, first``: counts of nouns, verbs, prepositions and patterns with their first place by
     ``order`` and place in the sentence."""
-    f = records.select(*keys, F.col(order).alias("_o"), lexical_features().alias("f"))
-    place = lambda kind, terms: F.transform(terms, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), i.alias("i")))
-    all_terms = F.concat(place("nouns", F.col("f.nouns")), place("verbs", F.col("f.verbs")), place("prepositions", F.col("f.prepositions")), place("patterns", F.array("f.pattern")))
-    long = f.select(*keys, "_o", F.explode(all_terms).alias("t"))
+    needed = [c for c in dict.fromkeys([*keys, order, "sentence_good", "subtype"])]
+    f = with_lexical_features(records.select(*needed)).withColumn("patterns", F.array("pattern"))
+    place = lambda kind: F.transform(F.col(kind), lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), i.alias("i")))
+    all_terms = F.concat(*[place(k) for k in ("nouns", "verbs", "prepositions", "patterns")])
+    long = f.select(*keys, F.col(order).alias("_o"), F.explode(all_terms).alias("t"))
     return long.groupBy(*keys, "t.kind", "t.term").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_o", "t.i")).alias("first"))
 
 
@@ -126,7 +128,7 @@ def top_terms(counts: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 def lexical_summary(records: DataFrame, keys: Sequence[str], order: str, n: int = 5) -> DataFrame:
     """Unique counts, top lists as JSON text and the share of the top pattern, by ``keys`` (one at least)."""
-    counts = lexical_counts(records, keys, order)
+    counts = materialize(lexical_counts(records, keys, order))  # read twice below
     unique = lambda k: F.count_if(F.col("kind") == k)
     u = counts.groupBy(*keys).agg(F.sum(F.when(F.col("kind") == "patterns", F.col("n"))).alias("total"), unique("nouns").alias("unique_nouns"), unique("verbs").alias("unique_verbs"), unique("prepositions").alias("unique_prepositions"), F.max(F.when(F.col("kind") == "patterns", F.col("n"))).alias("_top"))
     pair = F.concat(F.lit('["'), F.col("term"), F.lit('", '), F.col("n").cast("string"), F.lit("]"))
@@ -175,8 +177,8 @@ def extreme_failures(results: DataFrame, n: int = 100, model_id: str = TINY) ->
     rows = results.where(F.col("model_id") == model_id)
     good = rows.where("dataset = 'benchmark' and correct").select("subtype").distinct()
     bad = rows.where("dataset = 'rl' and not correct").join(good, "subtype", "left_semi")
-    pattern = lexical_features("grammatical")["pattern"].alias("lexical_pattern")
-    return bad.orderBy("preference_margin", "subtype", "pair_id").limit(n).select("pair_id", "subtype", "template_type", "preference_margin", "grammatical_score", "ungrammatical_score", pattern, F.col("grammatical").alias("sentence_good"), F.col("ungrammatical").alias("sentence_bad"))
+    top = with_lexical_features(bad.orderBy("preference_margin", "subtype", "pair_id").limit(n), "grammatical")
+    return top.select("pair_id", "subtype", "template_type", "preference_margin", "grammatical_score", "ungrammatical_score", F.col("pattern").alias("lexical_pattern"), F.col("grammatical").alias("sentence_good"), F.col("ungrammatical").alias("sentence_bad"))
 
 
 INSPECTED = ["dataset", "model_id", "pair_id", "subtype", "template_type", "grammatical", "ungrammatical", "grammatical_score", "ungrammatical_score", "preference_margin", "correct"]
@@ -196,7 +198,10 @@ def shared_examples(results: DataFrame, n: int, model_id: str = STRONGER[1]) ->
 
 
 def collapse_flags(records: DataFrame, results: DataFrame, order: str = "uid") -> DataFrame:
-    """One row of evidence: subtype and lexical collapse, duplicates, validation errors, tiny-only failures."""
+    """One row of evidence: subtype and lexical collapse, duplicates, validation errors, tiny-only failures.
+
+    ``records`` and ``results`` are read several times: give tables, or materialised frames.
+    """
     rl = records.where("dataset = 'rl'")
     top = rl.groupBy("subtype").agg(F.count(F.lit(1)).alias("n")).agg(safe_ratio(F.max("n"), F.sum("n")).alias("top_rl_subtype_share"))
     patterns = lexical_counts(records, ["dataset"], order).where("kind = 'patterns'").groupBy("dataset").agg(safe_ratio(F.max("n"), F.sum("n")).alias("s"))

@@ -15,6 +15,7 @@ from pairlight.functions.text import distance_bucket, length_score, md5_number
 from pairlight.operators.generate import realize
 from pairlight.operators.scoring import hash_scorer, score_pairs
 from pairlight.session import table
+from pairlight.storage import spread
 
 MODELS = ("hf_distilgpt2", "hf_gpt2", "hf_tiny_gpt2")
 NEAR = 0.5
@@ -23,7 +24,7 @@ NEAR = 0.5
 def gen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").select(k.alias("key"), (k % 15).cast("int").alias("ordinal"), F.when(F.floor(k / 15) % 2 == 0, "benchmark").otherwise("rl").alias("dataset"))
-    rows = realize(orders, "key")
+    rows = realize(spread(orders), "key")
     uid = F.concat("template_type", F.lit("-"), F.lpad(F.col("key").cast("string"), 8, "0"))
     return rows.select("key", uid.alias("uid"), "dataset", "phenomenon", "sentence_good", "sentence_bad", "dependency_distance", "attractor_count", "clause_depth", "template_type", "subtype")
 

@@ -290,7 +290,7 @@ def lexical_by_subtype(spark, d):
 
 @query(f"WITH {GEN_PAIRS}, f AS (SELECT uid, subtype, {_feature_sql('sentence_good')} FROM gen_pairs) SELECT uid, {_PATTERN} AS pattern FROM f")
 def lexical_pattern(spark, d):
-    return gen_pairs(spark, d).select("uid", diagnostics.lexical_features()["pattern"].alias("pattern"))
+    return diagnostics.with_lexical_features(gen_pairs(spark, d)).select("uid", "pattern")
 
 
 _DEFECTS_SQL = """defects AS (SELECT key, uid, CASE WHEN key % 11 = 1 THEN ' ' ELSE phenomenon END AS phenomenon, sentence_good,
