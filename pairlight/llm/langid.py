@@ -60,9 +60,9 @@ CHUNK_CHARS = 60_000
 Segment = tuple[int, int, str, float, int, bool]
 
 _END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
-#: Line starts of headings, list items and log lines; such lines carry no running text of the author.
-_ASIDE = re.compile(r"\s*(?:[#*•]|\[[^\]]*\])")
-#: Lines that only quote an example.
+#: Marks at the start of headings, list items and log lines, with the fields of a log line; they are no text of the author.
+_MARK = re.compile(r"(?:\s*(?:[#*•]+|\[[^\]]*\](?:\s*[\w.-]+=\S*(?!\S))*))+\s*")
+#: Lines that are one quotation.
 _QUOTED = re.compile(r"\s*[“„«\"][^”“»\"]*[”“»\"]\s*$")
 _LINE = re.compile(r"[\r\n]+")
 _LETTERS = re.compile(r"[^\W\d_]{2}")
@@ -88,10 +88,10 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
 
 
 def sentences(text: str | None) -> list[tuple[int, int, bool]]:
-    """(start, end, aside) of each sentence with letters.
+    """(start, end, aside) of each sentence with letters; marks at the start of a line are no part of its sentences.
 
-    ``aside`` for headings (also lines of up to four words without an end mark), list items, log lines and lines that
-    only quote an example.
+    ``aside`` for headings (also lines of up to four words without an end mark), list items, log lines and quotations of
+    one sentence; with more sentences such a line is running text like any other.
     """
     out: list[tuple[int, int, bool]] = []
     if not text:
@@ -99,13 +99,16 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     for start, end in _lines(text):
         line = text[start:end]
         short = len(line.split()) <= 4 and not line.rstrip().endswith((".", "!", "?", "…"))
-        aside = bool(short or _ASIDE.match(line) or _QUOTED.match(line))
-        at = 0
-        for m in [*_END.finditer(line), None]:
+        mark = _MARK.match(line)
+        at = mark.end() if mark else 0
+        found = []
+        for m in [*_END.finditer(line, at), None]:
             stop = m.start() if m else len(line)
             if _LETTERS.search(line, at, stop):
-                out.append((start + at, start + stop, aside))
+                found.append((start + at, start + stop))
             at = m.end() if m else at
+        aside = short or (len(found) < 2 and bool(mark or _QUOTED.match(line)))
+        out += [(a, b, aside) for a, b in found]
     return out
 
 

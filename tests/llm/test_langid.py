@@ -58,6 +58,17 @@ def test_segments_and_asides():
     assert m.segments(wrapped)[0][4] == 2
 
 
+def test_marked_lines_of_two_sentences_are_text():
+    docs = corpus()
+    m = langid.fit([langid.sample_sentences(t) for _, t, _ in docs], [x for _, _, x in docs])
+    for line in ("*Hinweis*: {}", "**Note** {}", "[12:30] level=info user=7 {}", "# {}", "• {}", "„{}“", "\"{}\""):
+        two = m.segments(passage("en", 4) + "\n" + line.format(passage("de", 2)) + "\n" + passage("en", 3))
+        assert [(s[2], s[4]) for s in two] == [("en", 4), ("de", 2), ("en", 3)], line
+        one = m.segments(passage("en", 4) + "\n" + line.format(passage("de", 1)) + "\n" + passage("en", 3))
+        assert [(s[2], s[4]) for s in one] == [("en", 7)], line
+    assert langid.sentences("[12:30] level=info\n* \n##") == []
+
+
 def test_found_languages(spark):
     docs = corpus()
     mixed = [
