@@ -47,12 +47,10 @@ LEARNED_LENGTH = (20, 1000)
 LEAST_DOCS = 5
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-#: A segment is ambiguous where the nearest codeword's probability is under this.
+#: A segment is ambiguous, and no passage beside the main language, where the nearest codeword's probability is under this.
 SURE = 0.8
 #: Sentences of one step of learning.
 BATCH = 1024
-#: A passage beside the main language must be this sure: sentences of unknown words are doubtful one by one.
-SURE_PASSAGE = 0.93
 #: Texts are classified together up to so many characters.
 CHUNK_CHARS = 60_000
 
@@ -409,8 +407,8 @@ def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
 def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", label: str = "lang", passage: int = 2) -> DataFrame:
     """``doc_id, found_lang, main, confidence, chars, sentences, label_state``: every language with a passage in a document.
 
-    A passage is a segment of at least ``passage`` sentences with a confidence of ``SURE_PASSAGE``. The main language, that with the most characters, always
-    counts. ``label_state``: ``missing`` (no language named), ``wrong`` (not the main one), ``mixed`` (several found) or
+    A passage is a segment of at least ``passage`` sentences that is not ambiguous. The main language, that with the most
+    characters, always counts. ``label_state``: ``missing`` (no language named), ``wrong`` (not the main one), ``mixed`` (several found) or
     ``right``; a label is taken as wrong before it is taken as mixed.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -421,11 +419,11 @@ def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id"
             rows = []
             for d, segments, lab in zip(pdf["doc_id"], sent.value.segments_of(pdf["text"]), pdf["label"], strict=True):
                 by: dict[str, list[float]] = {}
-                for start, end, lang, sure, n, _ in segments:
+                for start, end, lang, sure, n, ambiguous in segments:
                     x = by.setdefault(lang, [0, 0.0, 0])
                     x[0] += end - start
                     x[1] += sure * (end - start)
-                    x[2] = max(x[2], n if sure >= SURE_PASSAGE else 0)
+                    x[2] = max(x[2], 0 if ambiguous else n)
                 if not by:
                     continue
                 main = max(sorted(by), key=lambda k: by[k][0])

@@ -101,3 +101,15 @@ def test_label_codes(spark):
     rows = [("en",), (" EN-gb",), ("deutsch",), ("español",), ("nld",), ("xx",), ("",), (None,), ("pt_BR",), ("und",)]
     got = spark.createDataFrame(rows, "l string").select(langid.label_code(F.col("l"))).collect()
     assert [r[0] for r in got] == ["en", "en", "de", "es", "nl", None, None, None, "pt", None]
+
+
+def test_passages_count_unless_ambiguous(spark):
+    one = {c: c.upper() + c * 30 + "." for c in "abcd"}
+    weights = np.zeros((langid.BUCKETS, 1), np.float32)
+    for c, f in {"a": 6.0, "b": -1.8, "c": -4.6, "d": -1.0}.items():  # probabilities 0.998, 0.86, 0.99, 0.73
+        weights[langid._grams(one[c])] = f
+    m = langid.LanguageModel(["de", "en"], np.array([[1.0], [-1.0]]), weights, np.zeros(1))
+    main = " ".join([one["a"]] * 4)
+    d = spark.createDataFrame([(1, f"{main}\n{one['b']} {one['c']}", "de"), (2, f"{main}\n{one['d']} {one['d']}", "de")], "doc_id long, text string, lang string")
+    assert 0.8 < m.segments(d.first().text)[1][3] < 0.93 and m.segments(d.collect()[1].text)[1][5]
+    assert {(r.doc_id, r.found_lang, r.label_state) for r in langid.find_languages(d, m).collect()} == {(1, "de", "mixed"), (1, "en", "mixed"), (2, "de", "right")}
