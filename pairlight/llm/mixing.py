@@ -213,7 +213,8 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     with target and actual share, tokens, the most often any block is used, and ``capped``: all its repeats together are
     less than its share of the size of all documents. The packed blocks are written once to the shared folder and read
     by all mixes; slots meet blocks in a join by source and block number, which spreads a large source over all tasks.
-    The report is made from the drawn blocks at once, so asking for its plan columns alone draws the mix all the same.
+    With tokens the mixed blocks are written once to the shared folder, contents and all, and the report is made from what was
+    written, so asking for the report alone makes the whole mix.
     """
     texts = spread(docs.select(source.alias("source"), F.col(text).alias("text")))
     packed = index_blocks(materialize(pack_blocks(texts, F.col("source"), "text", block_tokens, vocabulary, with_tokens)))
@@ -221,10 +222,12 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     total = int(sizes.agg(F.sum("tokens")).first()[0] or 0)
     plan = plan_mixes(targets, sizes, total, block_tokens)
     slots = draw_slots(plan, total, max(1, -(-total // shard_tokens)), seed)
-    mixed = slots.join(packed if with_tokens else packed.drop("tokens"), ["source", "block"])
+    columns = ["mix_id", "shard", "source", "slot", "repeat", "block", "n_tokens", *(["tokens"] if with_tokens else [])]
+    mixed = slots.join(packed if with_tokens else packed.drop("tokens"), ["source", "block"]).select(*columns)
+    if with_tokens:
+        mixed = materialize(mixed)
     used = mixed.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("actual_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
     report = plan.join(used, ["mix_id", "source"], "left").fillna(0, ["actual_tokens", "most_repeats"])
     whole = F.sum("actual_tokens").over(W.partitionBy("mix_id"))
     report = report.withColumn("actual_share", F.when(whole > 0, F.col("actual_tokens") / whole).otherwise(0.0))
-    columns = ["mix_id", "shard", "source", "slot", "repeat", "block", "n_tokens", *(["tokens"] if with_tokens else [])]
-    return mixed.select(*columns), materialize(report)
+    return mixed, materialize(report)

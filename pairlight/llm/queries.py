@@ -127,14 +127,14 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs, _leaks(spark, sf_dir)).select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     targets = table(spark, sf_dir, "mix_targets").withColumn("source", trimmed_lower("source"))
-    return mixing.mix(docs, trimmed_lower("source"), targets, with_tokens=with_tokens)
+    return mixing.mix(docs, trimmed_lower("source"), targets)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that all their repeats cannot bring to their share, from the report of the drawn mixes."""
+    """Sources that all their repeats cannot bring to their share, from the report of the written mixes."""
     _, report = _mixed(spark, sf_dir)
     return report.where("capped").select("mix_id", "source")
 
@@ -145,7 +145,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _ = _mixed(spark, sf_dir, with_tokens=True)
+    mixed, _ = _mixed(spark, sf_dir)
     return mixed
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pairlight.llm import queries
+from pairlight.llm import mixing, queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -30,6 +30,15 @@ def test_mix_and_report_agree(spark):
         assert report[r.mix_id, r.source].actual_tokens == r.t and r.r < report[r.mix_id, r.source].max_repeats
 
 
+@pytest.mark.parametrize("name", ["p7_found", "p7_report"])
+def test_mix_is_written_with_contents(spark, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, f=mixing.materialize: written.append(f(df)) or written[-1])
+    assert not queries.QUERIES[name](spark, DATA).isEmpty()
+    mixes = [df for df in written if {"mix_id", "slot", "tokens"} <= set(df.columns)]
+    assert len(mixes) == 1 and mixes[0].where("tokens is null or size(tokens) <> n_tokens").isEmpty() and not mixes[0].isEmpty()
+
+
 def test_cleaned_documents_hold_no_leak(spark):
     from pairlight.llm import leaks
 
