@@ -31,8 +31,11 @@ BLOCK_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 #: Numbers of lines, as in a listing.
 _LINE_NUMBER = re.compile(r"^[ \t>]*\d{1,4}[:.)|](?=[ \t])", re.M)
+#: Tags of any length. What stands between their attributes' values is short: else a "<" of running text ("a <b") would
+#: take everything up to a far ">" with it.
+_TAG = r"""<[/!]?[A-Za-z](?:[^<>]{0,500}|(?:[^<>"'=]{0,500}=(?:\s*"[^"<>]*"|\s*'[^'<>]*'|[^\s<>"']+))++[^<>"'=]{0,500})>"""
 #: Tags, comments, character references and numbers of lines.
-_MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>|<!--.*?-->|&#?\w{1,10};|" + f"(?m:{_LINE_NUMBER.pattern})", re.S)
+_MARKUP = re.compile(_TAG + r"|<!--.*?-->|&#?\w{1,10};|" + f"(?m:{_LINE_NUMBER.pattern})", re.S)
 
 
 def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:

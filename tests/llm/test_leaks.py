@@ -88,6 +88,17 @@ def test_words():
         assert quick_words(t) == words_of(t)[0]
 
 
+def test_long_tags():
+    for tag in ('<span style="{}">', "<img hidden alt='x' src = '{}'/>", '<a href=data:{} rel="a=b" >', '<p title="{}" class=c data-x="{}">'):
+        long = tag.replace("{}", "color of words; a=b " * 300 if "data:" not in tag else "abc=" * 2000)
+        assert words_of(f"one {long}two</span> three")[0] == ["one", "two", "three"], tag
+    body = ITEMS[1][len(OPENING) :][:14]
+    cut = " ".join(body[:7]) + ' <i style="' + "margin of words " * 200 + '">' + " ".join(body[7:])
+    assert words_of(cut)[0] == body
+    assert "w300" in words_of("a <b " + " ".join(f"w{k}" for k in range(400)) + " c> d")[0]  # no tag
+    assert len(words_of("<a b=c" * 20_000 + "<a " + "b=c " * 20_000)[0]) > 20_000  # never closed: in linear time
+
+
 def test_shared_wording():
     sharing = [(p, 100) for p in range(12)] + [(12, 5), (13, 2)]
     assert own_places(20, sharing).tolist() == [False] * 12 + [True] * 8
