@@ -36,7 +36,15 @@ NAMES = {
     "tr": "tur turkish türkçe",
     "uk": "ukr ukrainian українська",
 }
-_CODE_OF = {name: code for code, names in NAMES.items() for name in [code, *names.split()]}
+#: The two-letter codes of ISO 639-1: each is a language of its own.
+CODES = """
+aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj
+fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky
+la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru
+rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo
+za zh zu
+""".split()
+_CODE_OF = {name: code for code, names in NAMES.items() for name in names.split()}
 
 #: Labelled documents a language is learned from, at most, and sentences of each: the bound of the training sample.
 SAMPLE_DOCS = 300
@@ -70,7 +78,7 @@ def label_code(c: str | Column) -> Column:
     """The two-letter code of a label: names, three-letter codes, regions and case folded; null where it names none."""
     pairs = [F.lit(x) for kv in sorted(_CODE_OF.items()) for x in kv]
     low = F.regexp_replace(trimmed_lower(c), r"[-_].*$", "")
-    return F.coalesce(F.create_map(*pairs)[low], F.lit(None).cast("string"))
+    return F.when(low.isin(CODES), low).otherwise(F.create_map(*pairs)[low])
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:

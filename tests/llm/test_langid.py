@@ -113,3 +113,12 @@ def test_passages_count_unless_ambiguous(spark):
     d = spark.createDataFrame([(1, f"{main}\n{one['b']} {one['c']}", "de"), (2, f"{main}\n{one['d']} {one['d']}", "de")], "doc_id long, text string, lang string")
     assert 0.8 < m.segments(d.first().text)[1][3] < 0.93 and m.segments(d.collect()[1].text)[1][5]
     assert {(r.doc_id, r.found_lang, r.label_state) for r in langid.find_languages(d, m).collect()} == {(1, "de", "mixed"), (1, "en", "mixed"), (2, "de", "right")}
+
+
+def test_any_two_letter_language_is_learned(spark):
+    greek = ["Το σπίτι των ανθρώπων είναι κάτω από το νερό.", "Αυτό είναι το μικρό σπίτι που θα δούμε μετά.", "Οι άνθρωποι και το νερό ήταν εδώ για πολύ."]
+    docs = corpus() + [(2000 + i, " ".join(greek[i % 3 :] + greek[: i % 3]), "el" if i else "EL_gr") for i in range(8)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    m = langid.train(d)
+    assert m.languages == ["de", "el", "en", "es", "fr"]
+    assert {(r.found_lang, r.label_state) for r in langid.find_languages(d.where("doc_id >= 2000"), m).collect()} == {("el", "right")}
