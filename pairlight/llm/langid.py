@@ -412,10 +412,31 @@ def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
     return spread(rows).mapInPandas(scan, f"doc_id {kind}, segment int, start int, end int, lang string, confidence double, sentences int, ambiguous boolean")
 
 
+def passages(segments: list[Segment]) -> dict[str, int]:
+    """For each language of a text, the sentences of its longest passage; 0 where all its segments are ambiguous.
+
+    A passage goes on over single sentences in other languages, so texts in which two languages alternate sentence by
+    sentence hold a passage of both. Ambiguous segments belong to no passage.
+    """
+    longest: dict[str, int] = {}
+    open_: dict[str, tuple[int, int]] = {}  # sentences so far, number of the sentence after it
+    at = 0
+    for _, _, lang, _, n, ambiguous in segments:
+        longest.setdefault(lang, 0)
+        if not ambiguous:
+            before, end = open_.get(lang, (0, at))
+            so_far = before + n if at - end <= 1 else n
+            open_[lang] = (so_far, at + n)
+            longest[lang] = max(longest[lang], so_far)
+        at += n
+    return longest
+
+
 def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", label: str = "lang", passage: int = 2) -> DataFrame:
     """``doc_id, found_lang, main, confidence, chars, sentences, label_state``: every language with a passage in a document.
 
-    A passage is a segment of at least ``passage`` sentences that is not ambiguous. The main language, that with the most
+    A passage holds at least ``passage`` sentences that are not ambiguous, see ``passages``: the language may alternate with
+    another sentence by sentence, but two lone sentences far apart are none. The main language, that with the most
     characters, always counts. ``label_state``: ``missing`` (no language named), ``wrong`` (not the main one), ``mixed`` (several found) or
     ``right``; a label is taken as wrong before it is taken as mixed.
     """
@@ -427,17 +448,17 @@ def find_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id"
             rows = []
             for d, segments, lab in zip(pdf["doc_id"], sent.value.segments_of(pdf["text"]), pdf["label"], strict=True):
                 by: dict[str, list[float]] = {}
-                for start, end, lang, sure, n, ambiguous in segments:
-                    x = by.setdefault(lang, [0, 0.0, 0])
+                for start, end, lang, sure, _, _ in segments:
+                    x = by.setdefault(lang, [0, 0.0])
                     x[0] += end - start
                     x[1] += sure * (end - start)
-                    x[2] = max(x[2], 0 if ambiguous else n)
                 if not by:
                     continue
+                longest = passages(segments)
                 main = max(sorted(by), key=lambda k: by[k][0])
-                found = sorted(k for k, x in by.items() if k == main or x[2] >= passage)
+                found = sorted(k for k in by if k == main or longest[k] >= passage)
                 state = "missing" if not isinstance(lab, str) else "wrong" if lab != main else "mixed" if len(found) > 1 else "right"
-                rows += [(d, k, k == main, by[k][1] / max(1, by[k][0]), int(by[k][0]), int(by[k][2]), state) for k in found]
+                rows += [(d, k, k == main, by[k][1] / max(1, by[k][0]), int(by[k][0]), longest[k], state) for k in found]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "found_lang", "main", "confidence", "chars", "sentences", "label_state"])
 

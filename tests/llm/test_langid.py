@@ -84,6 +84,25 @@ def test_found_languages(spark):
     assert langid.find_segments(d.limit(0), m).isEmpty()
 
 
+def test_alternating_languages_hold_passages_of_both(spark):
+    docs = corpus()
+    en, fr = (lambda: sentence("en")), (lambda: sentence("fr"))
+    alternating = " ".join([en(), fr(), en(), fr(), en(), fr()] + [en() for _ in range(5)])
+    apart = " ".join([en(), fr(), en(), en(), en(), fr(), en(), en(), en()])
+    d = spark.createDataFrame(docs + [(1001, alternating, "en"), (1002, apart, "en")], "doc_id long, text string, lang string")
+    m = langid.train(d)
+    assert [s[4] for s in m.segments(alternating)][:6] == [1] * 6
+    got = {(r.doc_id, r.found_lang, r.sentences, r.label_state) for r in langid.find_languages(d.where("doc_id > 1000"), m).collect()}
+    assert got == {(1001, "en", 8, "mixed"), (1001, "fr", 3, "mixed"), (1002, "en", 7, "right")}
+
+
+def test_passages():
+    s = lambda lang, n, ambiguous=False: (0, 1, lang, 1.0, n, ambiguous)
+    assert langid.passages([s("en", 3), s("fr", 1), s("en", 1), s("fr", 1)]) == {"en": 4, "fr": 2}
+    assert langid.passages([s("fr", 1), s("en", 2), s("fr", 1), s("de", 1, True), s("fr", 1)]) == {"fr": 2, "en": 2, "de": 0}
+    assert langid.passages([]) == {}
+
+
 def test_sample_takes_sentences_from_the_whole_text():
     t = passage("en", 400)
     got = langid.sample_sentences(t)
