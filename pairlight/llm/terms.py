@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlight.functions.names import as_col
+from pairlight.storage import store
 
 ENTRIES = T.ArrayType(T.StringType())
 
@@ -24,7 +25,7 @@ def list_entries(cell: str | None) -> list[str] | None:
     ``{"term": term, ...}`` or a plain term; a mapping counts as its keys. Null, blank and ``null`` cells have no terms.
     """
     value = cell
-    for _ in range(8):
+    while True:
         if value is None:
             return []
         if not isinstance(value, str):
@@ -39,7 +40,7 @@ def list_entries(cell: str | None) -> list[str] | None:
                 value = ast.literal_eval(text)
             except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
                 return None
-        if isinstance(value, str) and value == text:
+        if isinstance(value, str) and len(value) >= len(text):
             return None
     if isinstance(value, dict):
         return [str(k) for k in value]
@@ -62,11 +63,29 @@ def entries_of(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(list_entries)
 
 
+#: One entry ``["term"]`` or ``["term", count]`` in plain JSON, without escapes.
+_ENTRY = r"""\["[^"\\\x00-\x1f]*"(?:, *(?:"[^"\\\x00-\x1f]*"|-?(?:0|[1-9]\d{0,17})))? *\]"""
+
+
+def terms_of(cell: str | Column) -> Column:
+    """``list_entries`` as a column: cells in plain JSON are read by Spark itself, only the others in Python."""
+    cell = as_col(cell)
+    # every entry becomes one mark, so a plain list is marks and commas; cells that hold the mark themselves are not plain
+    marks = F.regexp_replace(F.regexp_replace(cell, _ENTRY, "\u0001"), "\u0001, *", "")
+    plain = (marks == "[\u0001]") & ~F.contains(cell, F.lit("\u0001"))
+    read = F.transform(F.from_json(F.when(plain, cell), "array<array<string>>"), lambda e: e[0])
+    return F.when(plain, read).otherwise(entries_of(F.when(~plain, cell)))
+
+
 def term_occurrences(cells: DataFrame, record: str, fields: list[str]) -> DataFrame:
-    """``field_name, term, record_id, at``: one row per term of the list cells ``fields``; terms trimmed and lower-cased."""
-    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("cell")) for f in fields])).alias("p")
-    long = cells.select(F.col(record).alias("record_id"), parts).select("record_id", "p.*").where("record_id is not null and cell is not null")
-    each = long.select("record_id", "field_name", F.posexplode(entries_of("cell")).alias("at", "raw"))
+    """``field_name, term, record_id, at``: one row per term of the list cells ``fields``; terms trimmed and lower-cased.
+
+    Repeated rows of a record count once, before any cell is read.
+    """
+    once = cells.select(F.col(record).alias("record_id"), *[F.col(f"`{f}`").alias(f"_cell{i}") for i, f in enumerate(fields)]).where("record_id is not null").distinct()
+    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_cell{i}").alias("cell")) for i, f in enumerate(fields)])).alias("p")
+    long = once.select("record_id", parts).select("record_id", "p.*").where("cell is not null")
+    each = long.select("record_id", "field_name", terms_of("cell").alias("terms")).select("record_id", "field_name", F.posexplode("terms").alias("at", "raw"))
     term = F.regexp_replace(F.lower(as_col("raw")), r"(?U)^\s+|\s+$", "")
     return each.select("field_name", term.alias("term"), "record_id", "at").where("length(term) > 0")
 
@@ -101,15 +120,17 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def count_terms(occurrences: DataFrame, total_records: int, rare_below: int = 3, common_percent: int = 40) -> DataFrame:
     """``field_name, term, occurrences, records, mark`` from rows ``field_name, term, record_id, at``.
 
-    An external sort over ranges of (field, term, record, place) and a scan of run lengths. As the record is part of the
-    range key, a term that a third of all records hold is split over many ranges; equal rows always share a range, so
-    repeated records count once. The partial counts of a term's ranges are added up at the end. Marks: ``rare`` in fewer
+    An external sort over ranges of (field, term, record) and a scan of run lengths. As the record is part of the range
+    key, a term that a third of all records hold is split over many ranges; the place is not, so that all places of a term
+    in a record share a range and the record counts once. The partial counts of a term's ranges are added up at the end.
+    The rows are written to the shared folder first, as ranges are found by a pass of their own. Marks: ``rare`` in fewer
     than ``rare_below`` records, ``common`` in at least ``common_percent`` percent of ``total_records``, else null; a
-    term that is both (few records in all) is ``common``. Empty input gives an empty result; null terms are left out.
+    term that is both (few records in all) is ``common``. Repeated rows count once. Empty input gives an empty result;
+    null terms are left out.
     """
-    rows = occurrences.select("field_name", "term", "record_id", F.col("at").cast("int").alias("at")).dropna()
-    keys = ["field_name", "term", "record_id", "at"]
-    scanned = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(_runs, "field_name string, term string, occurrences long, records long")
+    keys = ["field_name", "term", "record_id"]
+    rows = store(occurrences.select(*keys, F.col("at").cast("int").alias("at")).dropna())
+    scanned = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "at").mapInPandas(_runs, "field_name string, term string, occurrences long, records long")
     counted = scanned.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     common = F.col("records") * 100 >= F.lit(total_records) * common_percent
     return counted.withColumn("mark", F.when(common, "common").when(F.col("records") < rare_below, "rare"))
