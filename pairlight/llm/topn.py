@@ -2,9 +2,10 @@
 
 Each row gets one code: an order-preserving encoding of its score followed by its identifier, as hexadecimal text whose
 text order is the wanted order. A pass cuts the open section of every unfinished group at 65,536 points at once (a
-bisection with that many midpoints), counts the rows of each part and keeps the part in which the N-th row lies. No
-group is ever sorted or gathered as a whole: a pass is a map-side combined count with at most 65,536 counters a group,
-so a group with a third of all rows costs what its rows cost to scan.
+bisection with that many midpoints), counts the rows of each part and keeps the part in which the N-th row lies. Only
+that part's rows go on to the next pass, which cuts behind the characters that all of them share. No group is ever
+sorted or gathered as a whole: a pass is a map-side combined count with at most 65,536 counters a group, so a group with
+a third of all rows costs what its rows cost to scan.
 """
 
 from __future__ import annotations
@@ -16,12 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions.names import as_col
-from pairlight.storage import materialize
+from pairlight.storage import materialize, store
 
 #: Hexadecimal digits that one pass resolves: 16 bits.
 DIGITS = 4
-#: An open section of at most this many rows of a group is ranked directly instead of being cut further.
-SMALL_SECTION = 256
 
 
 def double_code(c: str | Column) -> Column:
@@ -36,89 +35,87 @@ def text_code(c: str | Column) -> Column:
     return F.hex(F.coalesce(as_col(c).cast("string"), F.lit("")))
 
 
-def cutoffs(coded: DataFrame, groups: Sequence[str], code: str, n: str, small_section: int = SMALL_SECTION) -> DataFrame:
+def _shared_length(low: str, high: str) -> Column:
+    """How many characters two texts share at their start."""
+    differs = F.array_position(F.zip_with(F.split(low, ""), F.split(high, ""), lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    return F.when(differs > 0, differs - 1).otherwise(F.length(low)).cast("int")
+
+
+def cutoffs(coded: DataFrame, groups: Sequence[str], code: str, n: str, small_section: int = 0) -> DataFrame:
     """One row ``groups + cut_len, cut`` per group: the rows with ``left(code, cut_len) <= cut`` are exactly its N lowest.
 
-    ``n`` names a column that holds the group's N, equal in all its rows. Codes must be distinct within a group. A group
-    with at most N rows gets the cut that lets all pass (``cut_len`` 0); N null or below 1 gives the group no row.
+    ``n`` names a column that holds the group's N, equal in all its rows. Codes should be distinct within a group: of rows
+    with equal codes all pass or none, so a cut that falls among them lets more than N pass. A group with at most N rows
+    gets the cut that lets all pass (``cut_len`` 0); N null or below 1 gives the group no row. An open section of at most
+    ``small_section`` rows is ranked directly instead of being cut further; by default all are cut until they hold exactly N.
+    ``coded`` is read twice: for the first count, and for the rows of the parts that stay open.
     """
     groups = list(groups)
-    null_safe = lambda a, b: F.expr(" AND ".join(f"{a}.{g} <=> {b}.{g}" for g in groups))
-    done: DataFrame | None = None
+    null_safe = F.expr(" AND ".join(f"r.{g} <=> o.{g}" for g in groups)) if groups else F.lit(True)
     rows = coded.select(*groups, F.col(code).alias("_code"), F.col(n).cast("long").alias("_n")).where("_n >= 1")
-    at = 0
-    open_groups: DataFrame | None = None
+    part, first = rows.withColumn("_at", F.lit(0)), True
+    found: list[DataFrame] = []
     while True:
-        if open_groups is None:
-            part = rows.withColumn("_prefix", F.lit(""))
-        else:
-            # inner join on the group: the rows of a hot group are split by adaptive execution, the other side has one row a group
-            part = (
-                rows.drop("_n").alias("r").join(open_groups.alias("o"), null_safe("r", "o"))
-                .where(F.substring("r._code", 1, at) == F.col("o._prefix"))
-                .select(*[F.col(f"r.{g}") for g in groups], "r._code", "o._n", "o._prefix")
-            )
-        counted = part.groupBy(*groups, "_prefix", F.substring("_code", at + 1, DIGITS).alias("_digit")).agg(
-            F.count("*").alias("_rows"), F.max("_n").alias("_n")
-        )
-        upto = W.partitionBy(*groups).orderBy("_digit").rowsBetween(W.unboundedPreceding, 0)
-        bins = counted.withColumn("_upto", F.sum("_rows").over(upto)).withColumn("_all", F.sum("_rows").over(W.partitionBy(*groups)))
-        # the bin that holds the N-th row; the last bin where the group has fewer
+        digit = F.expr(f"substring(_code, _at + 1, {DIGITS})").alias("_digit")
+        # the first count is over all rows and keeps to sums; the ends of a part are looked for among the few rows of later ones
+        ends = [] if first else [F.min("_code").alias("_low"), F.max("_code").alias("_high")]
+        counted = part.groupBy(*groups, digit).agg(F.count("*").alias("_rows"), F.max("_n").alias("_n"), *ends)
+        upto = F.sum("_rows").over(W.partitionBy(*groups).orderBy("_digit").rowsBetween(W.unboundedPreceding, 0))
+        bins = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_rows").over(W.partitionBy(*groups)))
+        if first:
+            bins = bins.withColumn("_low", F.col("_digit")).withColumn("_high", F.col("_digit"))
+        # the part that holds the N-th row; the last part where the group has fewer
         edge = bins.where(
             ((F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("_rows") < F.col("_n")))
             | ((F.col("_all") < F.col("_n")) & (F.col("_upto") == F.col("_all")))
         )
-        edge = materialize(
-            edge.select(
-                *groups,
-                F.concat("_prefix", "_digit").alias("_prefix"),
-                (F.col("_n") - (F.col("_upto") - F.col("_rows"))).alias("_n"),
-                "_rows",
-                (F.col("_all") <= F.col("_n")).alias("_whole"),
-            )
-        )
-        at += DIGITS
-        exact = edge.where(F.col("_whole") | (F.col("_n") == F.col("_rows"))).select(
-            *groups,
-            F.when(F.col("_whole") & F.lit(open_groups is None), 0).otherwise(at).alias("cut_len"),
-            F.when(F.col("_whole") & F.lit(open_groups is None), "").otherwise(F.col("_prefix")).alias("cut"),
-        )
-        unfinished = edge.where(~F.col("_whole") & (F.col("_n") < F.col("_rows")))
-        small = unfinished.where(F.col("_rows") <= small_section)
-        ranked = (
-            rows.drop("_n").alias("r").join(small.alias("o"), null_safe("r", "o"))
-            .where(F.substring("r._code", 1, at) == F.col("o._prefix"))
-            .select(*[F.col(f"r.{g}") for g in groups], "r._code", "o._n")
-            .withColumn("_at", F.row_number().over(W.partitionBy(*groups).orderBy("_code")))
-            .where(F.col("_at") == F.col("_n"))
-            .select(*groups, F.lit(2**30).alias("cut_len"), F.col("_code").alias("cut"))
-        )
-        found = exact.unionByName(ranked)
-        done = found if done is None else done.unionByName(found)
-        open_groups = unfinished.where(F.col("_rows") > small_section).select(*groups, "_prefix", "_n")
-        if open_groups.isEmpty():
-            return done
+        left = (F.col("_n") - (F.col("_upto") - F.col("_rows"))).alias("_n")
+        edge = materialize(edge.select(*groups, "_low", "_high", left, "_rows", (F.col("_all") <= F.col("_n")).alias("_whole")))
+        whole = F.col("_whole") & F.lit(first)
+        full = (F.col("_n") >= F.col("_rows")) | F.col("_whole") | ((F.col("_low") == F.col("_high")) & F.lit(not first))
+        cut_len = F.when(whole, 0).otherwise(DIGITS if first else 2**30)
+        found.append(edge.where(full).select(*groups, cut_len.alias("cut_len"), F.when(whole, "").otherwise(F.col("_high")).alias("cut")))
+        unfinished = edge.where(~full).drop("_whole")
+        if unfinished.isEmpty():
+            break
+        # inner join on the group: the rows of a hot group are split by adaptive execution, the other side has one row a group
+        inside = F.expr(f"left(r._code, {DIGITS}) = o._high" if first else "r._code BETWEEN o._low AND o._high")
+        at = F.lit(DIGITS) if first else _shared_length("_low", "_high")
+        joined = part.drop("_n", "_at").alias("r").join(unfinished.withColumn("_at", at).alias("o"), null_safe).where(inside)
+        part = store(joined.select(*[F.col(f"r.{g}") for g in groups], "r._code", "o._n", "o._rows", "o._at"))
+        if small_section:
+            ranked = part.where(F.col("_rows") <= small_section).withColumn("_rank", F.row_number().over(W.partitionBy(*groups).orderBy("_code")))
+            found.append(ranked.where(F.col("_rank") == F.col("_n")).select(*groups, F.lit(2**30).alias("cut_len"), F.col("_code").alias("cut")))
+            part = part.where(F.col("_rows") > small_section)
+        part, first = part.drop("_rows"), False
+    done = found[0]
+    for more in found[1:]:
+        done = done.unionByName(more)
+    return done
 
 
 def lowest_n(df: DataFrame, groups: Sequence[str], code: Column, n: int | Column) -> DataFrame:
     """The rows of ``df`` that are among the N lowest codes of their group, with all columns.
 
-    ``code`` must be distinct within a group: end it with an identifier (see ``double_code``, ``text_code``). Rows with a
-    null code are left out; null group values form a group of their own. An empty ``df`` gives an empty result. Columns
-    named ``_code`` or ``_n`` in ``df`` are kept apart from the operator's own.
+    ``code`` should be distinct within a group: end it with an identifier (see ``double_code``, ``text_code``); of repeated
+    rows all stay or none. Rows with a null code are left out; null group values form a group of their own. An empty ``df``
+    gives an empty result. Columns named ``_code`` or ``_n`` in ``df`` are kept apart from the operator's own. ``df`` is
+    computed once and written to the shared folder with its codes.
     """
     groups = list(groups)
     inner = [f"_g{i}" for i in range(len(groups))]
-    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    coded = df.select(
-        *[F.col(f"`{g}`").alias(i) for g, i in zip(groups, inner, strict=True)],
-        code.alias("_code"),
-        (F.lit(n) if isinstance(n, int) else n).cast("long").alias("_n"),
-        kept,
-    ).where(F.col("_code").isNotNull())
-    cuts = cutoffs(materialize(coded.drop("_row")), inner, "_code", "_n")
+    own = [f"_c{i}" for i in range(len(df.columns))]
+    coded = store(
+        df.select(
+            *[F.col(f"`{g}`").alias(i) for g, i in zip(groups, inner, strict=True)],
+            code.alias("_code"),
+            (F.lit(n) if isinstance(n, int) else n).cast("long").alias("_n"),
+            *[F.col(f"`{c}`").alias(o) for c, o in zip(df.columns, own, strict=True)],
+        ).where(F.col("_code").isNotNull())
+    )
+    cuts = cutoffs(coded.select(*inner, "_code", "_n"), inner, "_code", "_n")
     match = F.expr(" AND ".join(f"r.{g} <=> c.{g}" for g in inner)) if inner else F.lit(True)
     chosen = coded.alias("r").join(cuts.alias("c"), match).where(
         (F.col("c.cut_len") == 0) | (F.expr("left(r._code, c.cut_len)") <= F.col("c.cut"))
     )
-    return chosen.select("r._row.*")
+    return chosen.select(*[F.col(f"r.{o}").alias(c) for c, o in zip(df.columns, own, strict=True)])

@@ -44,6 +44,22 @@ def test_one_group_all_ties_goes_through_the_identifiers(spark):
     assert run(spark, rows, 700) == brute(rows, 700)
 
 
+def test_few_passes_for_long_common_identifiers(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(topn, "store", lambda df, f=topn.store: passes.append(1) or f(df))
+    rows = [(1, 2.5, "x" * 300 + f"{k:05d}") for k in range(3000)] + [(2, float(k), "y") for k in range(2000)]
+    assert run(spark, rows, 700) == brute(rows, 700)
+    assert len(passes) <= 5  # one holds the input; by four characters a pass there would be some 150
+
+
+def test_repeated_rows_all_pass_or_none(spark):
+    rows = [(1, 1.0, "a")] * 3 + [(1, 2.0, "b")] * 4 + [(1, 3.0, "c")] * 2
+    df = spark.createDataFrame(rows, "g int, s double, i string")
+    code = F.concat(topn.double_code("s"), topn.text_code("i"))
+    for n, want in ((1, 3), (3, 3), (4, 7), (8, 9), (20, 9)):
+        assert topn.lowest_n(df, ["g"], code, n).count() == want
+
+
 def test_empty_and_n_zero(spark):
     assert run(spark, [], 5) == set()
     assert run(spark, [(1, 1.0, "a")], 0) == set()
