@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +126,24 @@ class RankSketch:
         return len(self.levels) == 1
 
     def to_bytes(self) -> bytes:
-        return pickle.dumps((self.sign, self.section, self.n, self.levels, self.state, self.coin))
+        """A line of JSON, then the items of all levels as doubles."""
+        head = [self.sign, self.section, self.n, self.coin, self.state, [len(x) for x in self.levels]]
+        return json.dumps(head).encode() + b"\n" + np.concatenate(self.levels).astype("<f8").tobytes()
 
     @staticmethod
     def from_bytes(data: bytes) -> RankSketch:
+        head, _, items = bytes(data).partition(b"\n")
         s = RankSketch()
-        s.sign, s.section, s.n, s.levels, s.state, s.coin = pickle.loads(data)
+        s.sign, s.section, s.n, s.coin, s.state, sizes = json.loads(head)
+        s.levels = np.split(np.frombuffer(items, "<f8"), np.cumsum(sizes)[:-1])
         return s
 
 
+def _seed(*parts: object) -> int:
+    """Tosses of different tasks, groups and tails must not go together, else their errors add up instead of cancelling."""
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
+
+
 def sketch_groups(df: DataFrame, groups: Sequence[str], value: str, section: int = SECTION) -> DataFrame:
     """``groups, n, low, high``: per group one sketch for each tail, as bytes; can be stored and merged with other days'.
 
@@ -147,11 +158,12 @@ def sketch_groups(df: DataFrame, groups: Sequence[str], value: str, section: int
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[tuple, tuple[RankSketch, RankSketch]] = {}
+        task = TaskContext.get().partitionId()
         for pdf in batches:
             for key, part in pdf.groupby(groups, dropna=False, sort=False)["_value"]:
                 pair = own.get(key)
                 if pair is None:
-                    pair = own[key] = (RankSketch("low", section, len(own) + 1), RankSketch("high", section, len(own) + 2))
+                    pair = own[key] = tuple(RankSketch(tail, section, _seed(task, key, tail)) for tail in ("low", "high"))
                 for s in pair:
                     s.update(part.to_numpy())
             if len(own) > 20_000:  # many small groups: hand them on, they merge later

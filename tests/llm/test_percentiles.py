@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pairlight.llm import percentiles as percentiles_module
 from pairlight.llm.percentiles import RankSketch, percentiles, sketch_groups
 
 
@@ -46,6 +48,23 @@ def test_groups_with_nulls_and_hot_group(spark):
     assert [got["s", p].value for p in (10, 50, 90)] == [-4.0, 0.0, 4.0] and got["s", 10].sure and got[None, 50].value == 1.0
 
 
+def test_error_over_hundreds_of_tasks(spark):
+    # every task compacts; were their tosses alike, the errors of all tasks would add up
+    df = spark.range(0, 600_000, 1, 300).select((F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("v"))
+    got = {(r.g, r.pct): r for r in percentiles(sketch_groups(df, ["g"], "v"), ["g"], (1, 10, 50, 90, 99)).collect()}
+    for g in range(3):
+        ordered = np.sort([r.v for r in df.where(F.col("g") == g).select("v").collect()])
+        for pct in (1, 10, 50, 90, 99):
+            rank, want = np.searchsorted(ordered, got[g, pct].value, side="right"), math.ceil(len(ordered) * pct / 100)
+            tail = want if pct <= 50 else len(ordered) - want + 1
+            assert got[g, pct].n == len(ordered) and abs(rank - want) <= 0.02 * tail + 1, (g, pct, rank, want)
+
+
+def test_seeds_differ():
+    seeds = [percentiles_module._seed(task, (key,), tail) for task in range(20) for key in ("a", "b", None) for tail in ("low", "high")]
+    assert len(set(seeds)) == len(seeds)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert percentiles(sketch_groups(df, ["g"], "v"), ["g"], (50,)).isEmpty()
