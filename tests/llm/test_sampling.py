@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from pairlight.llm import sampling
@@ -20,6 +21,44 @@ def test_scaled_quotas_sum_to_the_size(spark):
     assert sum(got.values()) == 17 and got["d"] == 12 and Counter(got[c] for c in "abc") == Counter([2, 2, 1])
 
 
+def _by_hand(targets, size):
+    """Quotas of one pool with its size kept: floors are fixed one after the other, the rest is shared anew each time."""
+    fixed = {}
+    while True:
+        rest = {c: t for c, (t, _) in targets.items() if c not in fixed}
+        left, whole = size - sum(fixed.values()), sum(rest.values())
+        short = [c for c in rest if whole == 0 or targets[c][1] * whole > rest[c] * left]
+        if not short:
+            break
+        worst = max(short, key=lambda c: (targets[c][1] / rest[c] if rest[c] else float("inf"), c))
+        fixed[worst] = targets[worst][1]
+    if whole:
+        base = {c: rest[c] * left // whole for c in rest}
+        for c in sorted(rest, key=lambda c: (base[c] * whole - rest[c] * left, c))[: left - sum(base.values())]:
+            base[c] += 1
+        fixed |= base
+    return fixed
+
+
+def test_floors_keep_the_size(spark):
+    random.seed(8)
+    pools = {"one": {"a": (5, 0), "b": (3, 0), "c": (2, 4), "d": (0, 2)}, "floors": {"a": (1, 9), "b": (4, 9)}, "zero": {"a": (0, 0), "b": (0, 3)}}
+    sizes = {"one": 10, "floors": 12, "zero": 10}
+    for k in range(60):
+        pools[f"p{k}"] = {c: (random.choice([0, 1, 5, random.randrange(40)]), random.choice([0, 0, 2, random.randrange(12)])) for c in "abcdef"[: random.randrange(1, 7)]}
+        sizes[f"p{k}"] = random.randrange(80)
+    rows = [(p, c, t, f, sizes[p]) for p, cs in pools.items() for c, (t, f) in cs.items()]
+    t = spark.createDataFrame(rows, "run string, cat string, target_count int, min_count int, size int")
+    got = {}
+    for r in sampling.quotas(t, ["run"], "cat", "size", keep_total=True).collect():
+        got.setdefault(r.run, {})[r.cat] = r.quota
+    for p, cs in pools.items():
+        assert got[p] == _by_hand(cs, sizes[p]), (p, cs, sizes[p])
+        if any(t for t, _ in cs.values()) and sum(f for _, f in cs.values()) <= sizes[p]:
+            assert sum(got[p].values()) == sizes[p] and all(got[p][c] >= f for c, (_, f) in cs.items())
+    assert got["one"] == {"a": 3, "b": 1, "c": 4, "d": 2}
+
+
 def test_sample_is_exact_repeatable_and_spread(spark):
     rows = [("r", "hot", f"i{k}") for k in range(5000)] * 2 + [("r", "small", f"j{k}") for k in range(3)] + [("r", None, "x"), (None, "hot", "y"), ("r", "hot", None)]
     items = spark.createDataFrame(rows, "run string, cat string, item string")
