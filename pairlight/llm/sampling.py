@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.llm.topn import cutoffs, text_code
-from pairlight.storage import materialize, store
+from pairlight.storage import materialize
 
 
 def quotas(targets: DataFrame, pool: Sequence[str], category: str, total: str | None = None, keep_total: bool = False) -> DataFrame:
@@ -88,11 +88,11 @@ def match_targets(items: DataFrame, targets: DataFrame, pool: Sequence[str], cat
     """
     keys = [*pool, category]
     wanted = materialize(quotas(targets, pool, category, total, keep_total))
-    distinct = store(items.select(*keys, item).dropna().distinct())
+    distinct = materialize(items.select(*keys, item).dropna().distinct())
     random = F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], item)), text_code(item))
     coded = distinct.join(wanted.select(*keys, "quota"), keys).withColumn("_code", random)
     cuts = cutoffs(coded, keys, "_code", "quota")
-    sample = store(coded.join(cuts, keys).where((F.col("cut_len") == 0) | (F.expr("left(_code, cut_len)") <= F.col("cut"))).select(*keys, item))
+    sample = materialize(coded.join(cuts, keys).where((F.col("cut_len") == 0) | (F.expr("left(_code, cut_len)") <= F.col("cut"))).select(*keys, item))
     available = distinct.groupBy(*keys).agg(F.count("*").alias("available"))
     drawn = sample.groupBy(*keys).agg(F.count("*").alias("achieved_count"))
     return sample, materialize(_report(wanted, available.join(drawn, keys, "left"), pool, category))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlight.functions.names import as_col
-from pairlight.storage import store
+from pairlight.storage import materialize
 
 ENTRIES = T.ArrayType(T.StringType())
 
@@ -129,7 +129,7 @@ def count_terms(occurrences: DataFrame, total_records: int, rare_below: int = 3,
     null terms are left out.
     """
     keys = ["field_name", "term", "record_id"]
-    rows = store(occurrences.select(*keys, F.col("at").cast("int").alias("at")).dropna())
+    rows = materialize(occurrences.select(*keys, F.col("at").cast("int").alias("at")).dropna())
     scanned = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "at").mapInPandas(_runs, "field_name string, term string, occurrences long, records long")
     counted = scanned.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     common = F.col("records") * 100 >= F.lit(total_records) * common_percent

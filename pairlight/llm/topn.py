@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions.names import as_col
-from pairlight.storage import materialize, store
+from pairlight.storage import materialize
 
 #: Hexadecimal digits that one pass resolves: 16 bits.
 DIGITS = 4
@@ -82,7 +82,7 @@ def cutoffs(coded: DataFrame, groups: Sequence[str], code: str, n: str, small_se
         inside = F.expr(f"left(r._code, {DIGITS}) = o._high" if first else "r._code BETWEEN o._low AND o._high")
         at = F.lit(DIGITS) if first else _shared_length("_low", "_high")
         joined = part.drop("_n", "_at").alias("r").join(unfinished.withColumn("_at", at).alias("o"), null_safe).where(inside)
-        part = store(joined.select(*[F.col(f"r.{g}") for g in groups], "r._code", "o._n", "o._rows", "o._at"))
+        part = materialize(joined.select(*[F.col(f"r.{g}") for g in groups], "r._code", "o._n", "o._rows", "o._at"))
         if small_section:
             ranked = part.where(F.col("_rows") <= small_section).withColumn("_rank", F.row_number().over(W.partitionBy(*groups).orderBy("_code")))
             found.append(ranked.where(F.col("_rank") == F.col("_n")).select(*groups, F.lit(2**30).alias("cut_len"), F.col("_code").alias("cut")))
@@ -105,7 +105,7 @@ def lowest_n(df: DataFrame, groups: Sequence[str], code: Column, n: int | Column
     groups = list(groups)
     inner = [f"_g{i}" for i in range(len(groups))]
     own = [f"_c{i}" for i in range(len(df.columns))]
-    coded = store(
+    coded = materialize(
         df.select(
             *[F.col(f"`{g}`").alias(i) for g, i in zip(groups, inner, strict=True)],
             code.alias("_code"),
