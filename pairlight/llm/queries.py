@@ -141,7 +141,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report = _mixed(spark, sf_dir)
-    return report.select("mix_id", "source", "target_share", "actual_share", "actual_tokens", "most_repeats", "max_repeats", "capped")
+    return report.select("mix_id", "source", "target_share", "actual_share", "actual_tokens", "wanted_slots", "mixed_slots", "most_repeats", "max_repeats", "capped")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

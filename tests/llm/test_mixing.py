@@ -36,6 +36,75 @@ def test_mix(spark):
     assert key(mixed) == key(again)
 
 
+def _sources(spark, n=300):
+    docs = [(i, ["big", "big", "small", "mid"][i % 4] if i % 12 else "tiny", f"text {i * 7919 % 1000} of number {i} and more words {i % 5} " * (5 + i % 30)) for i in range(n)]
+    docs += [(1000 + i, "big", "the same copy in a third of all rows " * 9) for i in range(n // 2)]
+    return spark.createDataFrame(docs, "doc_id long, source string, text string")
+
+
+TARGETS = [(1, "big", 1.0, 3), (1, "small", 2.0, 1), (1, "mid", 1.0, 1), (2, "big", 3.0, 1), (2, "absent", 1.0, 5), (2, "tiny", 4.0, 2)]
+
+
+def test_same_mix_however_the_documents_are_split(spark):
+    d, got = _sources(spark), []
+    targets = spark.createDataFrame(TARGETS, "mix_id long, source string, target_weight double, max_repeats int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (2, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        mixed, report = mixing.mix(d.repartition(parts, "doc_id"), F.col("source"), targets, block_tokens=64, shard_tokens=4096)
+        got.append((sorted(tuple(map(str, r)) for r in mixed.collect()), sorted(tuple(map(str, r)) for r in report.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("refill", [False, True])
+def test_totals_are_the_planned_ones(spark, refill):
+    targets = spark.createDataFrame(TARGETS, "mix_id long, source string, target_weight double, max_repeats int")
+    mixed, report = mixing.mix(_sources(spark), F.col("source"), targets, block_tokens=64, shard_tokens=4096, refill=refill)
+    rows = report.collect()
+    for r in rows:
+        assert r.mixed_slots == r.kept_slots <= r.limit_slots and r.most_repeats <= r.max_repeats
+        assert r.capped == (r.possible_tokens < r.target_tokens), r
+    slots = {(r.mix_id, r.shard, r.slot) for r in mixed.collect()}
+    assert len(slots) == mixed.count()
+    for m in (1, 2):
+        own = [r for r in rows if r.mix_id == m]
+        kept, limit, size = (sum(getattr(r, c) for r in own) for c in ("kept_slots", "limit_slots", "wanted_slots"))
+        assert size == own[0].mix_slots and (kept == min(size, limit) if refill else kept <= size)
+        assert any(r.capped for r in own)
+    uses = Counter((r.mix_id, r.source, r.block) for r in mixed.collect())
+    for r in rows:
+        if r.kept_slots:
+            own = [n for (m, s, _), n in uses.items() if (m, s) == (r.mix_id, r.source)]
+            assert max(own) - min(own + [0] * (len(own) < r.blocks)) <= 1  # a source repeats evenly
+
+
+def test_seed_mix_and_source_pick_the_permutation():
+    keys = {mixing._key(seed, m, s) for seed in (1, 2, 3) for m in (1, 2, 3) for s in ("course_notes", "other_notes", "my_notes")}
+    assert len(keys) == 27
+
+
+@pytest.mark.parametrize("text", [" " * 900 + "x", "word  two\n\n \t three " * 60, "abc" * 400, "it's they're 1234567 " * 50, "日本語 テキスト " * 80, "\n" * 700 + " a" * 300, "!?!... " * 150])
+def test_long_texts_have_the_tokens_of_the_uncut_text(monkeypatch, text):
+    data = mixing.vocabulary_bytes()
+    want = mixing._encoding(data).encode_ordinary(text)
+    for size in (1, 7, 100, 333):
+        monkeypatch.setattr(mixing, "PIECE_CHARS", size)
+        assert mixing._encode(data, text) == want
+
+
+def test_blocks_have_a_fixed_length_in_any_split(spark):
+    d = _sources(spark, 80)
+    for parts in (1, 5):
+        blocks = mixing.pack_blocks(d.repartition(parts), F.col("source"), block_tokens=50, ordered=True).collect()
+        by = {}
+        for b in sorted(blocks, key=lambda b: (b.source, b.local)):
+            by.setdefault(b.source, []).append(b)
+        assert all([b.local for b in own] == list(range(len(own))) and all(b.n_tokens == len(b.tokens) == 50 for b in own[:-1]) for own in by.values())
+    data = mixing.vocabulary_bytes()
+    assert sum(b.n_tokens for b in blocks) == sum(len(mixing._encode(data, r.text)) for r in d.collect())
+
+
 def test_packing_keeps_every_token(spark):
     texts = ["alpha beta", "", None, "gamma " * 500, "délta ünï 日本"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
