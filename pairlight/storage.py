@@ -23,22 +23,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: cuts lineage, survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder and read from there: cuts lineage, survives lost executors.
 
-
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written as a parquet table in the shared checkpoint folder and read from there.
-
-    As ``materialize``, but columnar and compressed: for tables of many rows, of which later steps read a few columns or
-    read them several times. The table is removed when the application ends. Column names must differ.
+    Written is a compressed parquet table, of which later steps read only the columns they need and whose size the
+    planner knows; it is removed when the application ends. Rows keep no order, nor their partitions. What parquet cannot
+    hold, void columns and names that differ by case alone, is checkpointed as it is.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    folder = ensure_checkpoint_dir(spark)
+    if "void" in str(df.dtypes) or len({c.lower() for c in df.columns}) < len(df.columns):
+        return df.checkpoint(eager=True)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
