@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.storage import spread
+from pairlight.storage import materialize, spread
 
 #: Words of an index n-gram. Of 14 words with two changed, the 12 others stand in at most three runs: one has four or more.
 SEED_WORDS = 4
@@ -25,8 +25,11 @@ SHARED_WORDS = 8
 MIN_WORDS = 14
 #: At most one word in so many may be changed.
 CHANGED_IN = 7
-#: Items go out by broadcast in blocks of at most so many words (about 100 MB as a Python index); more items, more scans.
+#: Items go out by broadcast in blocks of about so many words (some 100 MB as a Python index). With more than one block a
+#: first scan picks the documents that any item may be in, and only those are searched block by block.
 BLOCK_WORDS = 400_000
+#: Largest size of the bit map of item n-grams that picks those documents, as a power of two of bits: 128 MB.
+MAP_BITS = 30
 
 _WORD = re.compile(r"\w+")
 #: Numbers of lines, as in a listing.
@@ -109,31 +112,55 @@ def _fold(text: str, start: int, end: int, plain: bool, chars: list[str], places
                     places.append(i)
 
 
+#: Up to so many cells an alignment keeps all its scores; a larger one keeps some rows and computes the others again.
+CELLS = 4_000_000
+
+
+def _score_rows(d: np.ndarray, q: np.ndarray, gain: int, row: np.ndarray, start: int, stop: int) -> Iterator[np.ndarray]:
+    """Rows ``start`` + 1 to ``stop`` of the scores, from row ``start`` on."""
+    steps = np.arange(len(d) + 1)
+    for i in range(start, stop):
+        diagonal = row[:-1] + np.where(d == q[i], gain, -1)
+        best = np.maximum(np.maximum(diagonal, row[1:] - 1), 0)
+        # a gap in the item: carried along the row with cost 1 a word
+        row = np.maximum(np.maximum.accumulate(np.concatenate([[0], best]) + steps) - steps, 0).astype(np.int32)
+        yield row
+
+
 def _align(doc: list[str], item: list[str], gain: int) -> list[tuple[int, int]]:
     """The best local alignment of ``item`` with ``doc``, a match worth ``gain`` and a change -1, as pairs (place in doc
     or -1, place in item or -1). With a gain of 1 it keeps to dense stretches, with a large one it crosses changes that
-    follow each other."""
+    follow each other. Memory grows with the document's window times the root of the item's length."""
     n, m = len(doc), len(item)
     ids: dict[str, int] = {}
     d = np.array([ids.setdefault(w, len(ids)) for w in doc], dtype=np.int32)
     q = np.array([ids.setdefault(w, len(ids)) for w in item], dtype=np.int32)
-    score = np.zeros((m + 1, n + 1), dtype=np.int32)
-    steps = np.arange(n + 1)
-    for i in range(1, m + 1):
-        diagonal = score[i - 1, :-1] + np.where(d == q[i - 1], gain, -1)
-        best = np.maximum(np.maximum(diagonal, score[i - 1, 1:] - 1), 0)
-        row = np.concatenate([[0], best])
-        # a gap in the item: carried along the row with cost 1 a word
-        score[i] = np.maximum(np.maximum.accumulate(row + steps) - steps, 0)
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    every = m + 1 if (m + 1) * (n + 1) <= CELLS else int(np.sqrt(m)) + 1
+    kept = {0: np.zeros(n + 1, dtype=np.int32)}  # every so many rows one to start again from
+    top, i, j = 0, 0, 0
+    block = [kept[0]]
+    for k, row in enumerate(_score_rows(d, q, gain, kept[0], 0, m), 1):
+        if k % every == 0:
+            kept[k] = row
+        if every > m:
+            block.append(row)
+        at = int(row.argmax())
+        if row[at] > top:
+            top, i, j = int(row[at]), k, at
     path: list[tuple[int, int]] = []
-    while i and j and score[i, j] > 0:
-        s = score[i, j]
-        same = d[j - 1] == q[i - 1]
-        if s == score[i - 1, j - 1] + (gain if same else -1):
+    first = 0 if every > m else m + 1  # the row that the block at hand starts with
+    while i and j:
+        if i - 1 < first:
+            first = (i - 1) // every * every
+            block = [kept[first], *_score_rows(d, q, gain, kept[first], first, i)]
+        here, above = block[i - first], block[i - 1 - first]
+        s = here[j]
+        if s <= 0:
+            break
+        if s == above[j - 1] + (gain if d[j - 1] == q[i - 1] else -1):
             i, j = i - 1, j - 1
             path.append((j, i))
-        elif s == score[i - 1, j] - 1:
+        elif s == above[j] - 1:
             i -= 1
             path.append((-1, i))
         else:
@@ -148,28 +175,25 @@ def _stretch(path: list[tuple[int, int]], doc: list[str], item: list[str], count
 
     Only words that ``counts`` marks as the item's own count as item words; matches of shared wording neither count nor cost.
     """
-    best = None
-    length = len(path)
-    gain, own, change, same = np.zeros(length + 1, int), np.zeros(length + 1, int), np.zeros(length + 1, int), np.zeros(length + 1, bool)
-    for k, (j, i) in enumerate(path):
-        match = i >= 0 and j >= 0 and doc[j] == item[i]
-        mine = i >= 0 and bool(counts[i])
-        same[k + 1] = match
-        own[k + 1] = own[k] + mine
-        change[k + 1] = change[k] + (not match)
-        # own words pay for changes: words - changed_in * changes must not be negative
-        gain[k + 1] = gain[k] + (mine - changed_in * (not match))
-    for a in range(length):
-        if not same[a + 1]:
-            continue
-        ok = np.flatnonzero((gain[a + 1 :] >= gain[a]) & same[a + 1 :])
-        if len(ok):
-            b = a + 1 + int(ok[-1])
-            words = int(own[b] - own[a])
-            if best is None or words > best[0]:
-                places = [j for j, _ in path[a:b] if j >= 0]
-                best = (words, int(change[b] - change[a]), places[0], places[-1])
-    return best
+    same = np.array([i >= 0 and j >= 0 and doc[j] == item[i] for j, i in path], dtype=bool)
+    if not same.any():
+        return None
+    mine = np.array([i >= 0 and bool(counts[i]) for _, i in path], dtype=np.int64)
+    # own words pay for changes: words - changed_in * changes must not be negative
+    gain = np.concatenate([[0], np.cumsum(mine - changed_in * ~same)])
+    own = np.concatenate([[0], np.cumsum(mine)])
+    least = np.iinfo(np.int64).min
+    # the last kept word whose balance is no lower than that before the first one: the greatest balance from a place on falls
+    ahead = np.maximum.accumulate(np.where(np.concatenate([[False], same]), gain, least)[::-1])[::-1]
+    starts = np.flatnonzero(same)
+    ends = len(path) - np.searchsorted(ahead[::-1], gain[starts])
+    words = np.where(ends > starts, own[ends] - own[starts], -1)
+    at = int(words.argmax())
+    if words[at] < 0:
+        return None
+    a, b = int(starts[at]), int(ends[at])
+    places = [j for j, _ in path[a:b] if j >= 0]
+    return int(words[at]), int((~same[a:b]).sum()), places[0], places[-1]
 
 
 def own_places(length: int, sharing: list[tuple[int, int]], shared_words: int = SHARED_WORDS) -> np.ndarray:
@@ -190,6 +214,23 @@ def own_places(length: int, sharing: list[tuple[int, int]], shared_words: int =
     return own
 
 
+def least_grams(n: int, min_words: int, changed_in: int) -> int:
+    """q-gram lemma: w words with e changes share at least w - n + 1 - e n grams with the item."""
+    return max(1, min_words - n + 1 - n * (min_words // changed_in))
+
+
+def gram_codes(words: list[str], n: int = SEED_WORDS) -> np.ndarray:
+    """One 64-bit code for each run of ``n`` words."""
+    if len(words) < n:
+        return np.empty(0, dtype=np.uint64)
+    h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    code = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : len(words) - n + 1 + k]
+    return code
+
+
 class ItemIndex:
     """The items' n-grams as a hash map, with each item's words and which of them are its own."""
 
@@ -206,8 +247,7 @@ class ItemIndex:
     def find(self, text: str | None, min_words: int = MIN_WORDS, changed_in: int = CHANGED_IN) -> list[tuple[int, int, int, int, int]]:
         """(item, item words, changes, start, end in the text) of the items' passages in a text; one for each place."""
         n = self.seed_words
-        # q-gram lemma: w words with e changes share at least w - n + 1 - e n grams with the item
-        needed = max(1, min_words - n + 1 - n * (min_words // changed_in))
+        needed = least_grams(n, min_words, changed_in)
         quick = quick_words(text)
         if sum(map(self.grams.__contains__, zip(*[quick[k:] for k in range(n)], strict=False))) < needed:
             return []
@@ -230,8 +270,9 @@ class ItemIndex:
             dense = []
             for x, (j, diagonal, own_j) in enumerate(near):
                 close = 0
-                for j2, diagonal2, own_j2 in near[x:]:
-                    if j2 - j > min_words + changes + len(item):
+                for y in range(x, len(near)):
+                    j2, diagonal2, own_j2 = near[y]
+                    if close >= needed or j2 - j > min_words + changes + len(item):
                         break
                     close += abs(diagonal2 - diagonal) <= changes and own_j2 - own_j <= min_words + changes - n
                 if close >= needed:
@@ -267,7 +308,6 @@ class ItemIndex:
         return sorted(set(found), key=lambda x: (x[3], x[0]))
 
 
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def normal_words(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: words_of(t)[0])
@@ -303,24 +343,73 @@ def _cached_index(key: str, listed: Broadcast) -> ItemIndex:
     return _INDEXES[key]
 
 
+def _blocks(words: DataFrame) -> list[Broadcast]:
+    """The items in broadcasts of about BLOCK_WORDS words each."""
+    spark = words.sparkSession
+    n = max(1, -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS))
+    out = []
+    for block in range(n):
+        part = words if n == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
+        out.append(spark.sparkContext.broadcast([(r.item_id, r.words, [tuple(x) for x in r.sharing or ()]) for r in part.collect()]))
+    return out
+
+
+def gram_map(words: DataFrame) -> np.ndarray:
+    """A bit map, 64 bits an entry, of the codes of all items' n-grams; some 16 bits an n-gram, at most 2 ** MAP_BITS.
+
+    A code beyond that size shares its bit with others: more documents are then looked at, none is missed.
+    """
+    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
+    bits = min(MAP_BITS, max(10, int(total).bit_length() + 4))
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = np.concatenate([np.empty(0, np.uint64), *[gram_codes(list(w)) for w in pdf["words"]]]) >> np.uint64(64 - bits)
+            own = np.unique(own)
+            yield pd.DataFrame({"entry": (own >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (own & np.uint64(63))).view(np.int64)})
+
+    rows = words.select("words").mapInPandas(codes, "entry long, bit long").groupBy("entry").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[rows["entry"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def possible_documents(rows: DataFrame, words: DataFrame, min_words: int, changed_in: int) -> DataFrame:
+    """``rows`` (``doc_id, text``) that may hold a passage of any item, written to the shared folder: one scan of the corpus
+    with one bit map, however many items there are."""
+    sent = words.sparkSession.sparkContext.broadcast(gram_map(words))
+    needed = least_grams(SEED_WORDS, min_words, changed_in)
+
+    def hits(text: str | None) -> int:
+        own = sent.value
+        code = gram_codes(quick_words(text)) >> np.uint64(64 - 6 - (len(own).bit_length() - 1))
+        return int(((own[code >> np.uint64(6)] >> (code & np.uint64(63))) & np.uint64(1)).sum())
+
+    @F.pandas_udf("boolean")
+    def possible(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hits(t) >= needed)
+
+    return materialize(rows.where(possible("text")))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, changed_in: int = CHANGED_IN) -> DataFrame:
     """``doc_id, item_id, words, changes, start, end``: each passage of an item in a document.
 
     The items' n-grams are broadcast as a hash map and every document's token windows are looked up in it, in one scan
-    without a shuffle; each candidate place is verified by an alignment. Items beyond ``BLOCK_WORDS`` words are scanned
-    in several blocks, so the broadcast has a fixed bound. A passage has at least ``min_words`` words of the item's own,
-    at most one word in ``changed_in`` replaced, dropped or put in. Null and empty texts have no passages; repeated rows
-    of a document give their passages once a row.
+    without a shuffle; each candidate place is verified by an alignment. Items beyond ``BLOCK_WORDS`` words go out in
+    several blocks, so a broadcast has a fixed bound; the corpus is then still scanned once, see ``possible_documents``.
+    A passage has at least ``min_words`` words of the item's own, at most one word in ``changed_in`` replaced, dropped or
+    put in. Null and empty texts have no passages; repeated rows of a document give their passages once a row.
     """
-    words = item_words(items, item_id, item_text)
-    blocks = max(1, -(-(words.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS))
+    words = materialize(item_words(items, item_id, item_text))
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
     item_kind = dict(words.dtypes)["item_id"]
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null"))
+    blocks = _blocks(words)
+    if len(blocks) > 1:
+        rows = possible_documents(rows, words, min_words, changed_in)
     out = None
-    for block in range(blocks):
-        part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        listed = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.words, [tuple(x) for x in r.sharing or ()]) for r in part.collect()])
+    for listed in blocks:
 
         def scan(batches: Iterator[pd.DataFrame], listed=listed, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
             index = _cached_index(key, listed)
@@ -334,6 +423,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return out
 
 
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    if text is None or not spans:
+        return text
+    kept, at = [], 0
+    for start, end in sorted(spans):
+        if start > at:
+            kept.append(text[at:start])
+        at = max(at, end)
+    return "".join([*kept, text[at:]])
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, changed_in: int = CHANGED_IN) -> DataFrame:
+    """``docs`` with the passages of items cut out of their texts; other columns and other documents are unchanged.
+
+    Passages are found and cut in one scan of the texts, nothing is shuffled, and columns beside the text do not leave the
+    JVM. Items of more than one block (see ``find_leaks``) are found first and then cut by a join. Null texts stay null.
+    """
+    words = materialize(item_words(items, item_id, item_text))
+    listed = _blocks(words)
+    if len(listed) > 1:
+        return without_leaks(docs, find_leaks(docs, items, doc_id, text, item_id, item_text, min_words, changed_in), doc_id, text)
+    sent, key = listed[0], uuid.uuid4().hex
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = _cached_index(key, sent)
+        for texts in batches:
+            yield pd.Series([_without(t, [f[3:] for f in index.find(t, min_words, changed_in)]) for t in texts], dtype=object)
+
+    return spread(docs).withColumn(text, cut(F.col(f"`{text}`"))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` without the found passages (``whole``: without the documents that hold any); other documents unchanged."""
     if whole:
@@ -342,17 +463,8 @@ def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", tex
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t: str | None, s: list | None) -> str | None:
-            if t is None or s is None:
-                return t
-            kept, at = [], 0
-            for x in s:
-                if x["start"] > at:
-                    kept.append(t[at : x["start"]])
-                at = max(at, x["end"])
-            return "".join([*kept, t[at:]])
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        pairs = zip(texts, spans, strict=True)
+        return pd.Series([_without(t, [(x["start"], x["end"]) for x in s] if s is not None else []) for t, s in pairs], dtype=object)
 
     joined = docs.join(spans, doc_id, "left")
     return joined.withColumn(text, cut(F.col(text), F.col("_spans"))).select(*docs.columns)

@@ -123,8 +123,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with leaked passages cut out."""
-    docs = table(spark, sf_dir, "documents")
-    return leaks.without_leaks(docs, _leaks(spark, sf_dir)).select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+    clean = leaks.clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return clean.select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

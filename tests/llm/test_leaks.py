@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
-from pairlight.llm.leaks import ItemIndex, find_leaks, own_places, quick_words, without_leaks, words_of
+from pairlight.llm import leaks
+from pairlight.llm.leaks import ItemIndex, clean_documents, find_leaks, own_places, quick_words, without_leaks, words_of
 
 random.seed(11)
 VOCAB = [f"w{chr(97 + k % 26)}{k}" for k in range(600)]
@@ -110,10 +112,62 @@ def test_cutting(spark):
     body = text(20)
     d = spark.createDataFrame([(1, "keep this " + " ".join(body) + " and this", "s"), (2, "clean", "t"), (3, None, None)], "doc_id long, text string, start string")
     items = spark.createDataFrame([(7, " ".join(body))], "item_id long, text string")
-    leaks = find_leaks(d, items)
-    cut = {r.doc_id: r for r in without_leaks(d, leaks).collect()}
+    found = find_leaks(d, items)
+    cut = {r.doc_id: r for r in without_leaks(d, found).collect()}
     assert cut[1].text == "keep this  and this" and cut[1].start == "s" and cut[2].text == "clean" and cut[3].text is None
-    assert {r.doc_id for r in without_leaks(d, leaks, whole=True).collect()} == {2, 3}
+    assert {r.doc_id for r in without_leaks(d, found, whole=True).collect()} == {2, 3}
+
+
+def test_many_blocks_find_the_same_in_one_scan(spark, monkeypatch):
+    docs, truth = docs_and_truth()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in ITEMS.items()], "item_id long, text string")
+    want = sorted(map(tuple, find_leaks(d, items).collect()))
+    clean = sorted(map(tuple, clean_documents(d, items).collect()), key=str)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 120)
+    looked_at = []
+    monkeypatch.setattr(leaks, "possible_documents", lambda *a, f=leaks.possible_documents: looked_at.append(f(*a)) or looked_at[-1])
+    assert sorted(map(tuple, find_leaks(d, items).collect())) == want and {(r[0], r[1]) for r in want} == truth
+    assert len(looked_at) == 1 and truth_docs(truth) <= {r.doc_id for r in looked_at[0].collect()} and looked_at[0].count() < d.count()
+    assert sorted(map(tuple, clean_documents(d, items).collect()), key=str) == clean
+    monkeypatch.setattr(leaks, "MAP_BITS", 8)  # a crowded map lets more documents pass, and misses none
+    assert sorted(map(tuple, find_leaks(d, items).collect())) == want
+
+
+def truth_docs(truth):
+    return {d for d, _ in truth}
+
+
+def test_cleaning_in_one_scan(spark):
+    docs, _ = docs_and_truth()
+    d = spark.createDataFrame([(i, t, None if i % 3 else 2**60 + i) for i, t in docs], "doc_id long, text string, start long")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in ITEMS.items()], "item_id long, text string")
+    got = clean_documents(d, items)
+    assert got.columns == d.columns
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert key(got) == key(without_leaks(d, find_leaks(d, items)))
+    assert "Exchange" not in d.coalesce(4).transform(lambda x: clean_documents(x, items))._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "")
+    assert find_leaks(got, items).isEmpty() and clean_documents(d.limit(0), items).isEmpty()
+
+
+def test_alignments_of_large_items_keep_few_rows(monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(12)]
+    for _ in range(60):
+        doc, item = [rng.choice(words) for _ in range(rng.randrange(1, 50))], [rng.choice(words) for _ in range(rng.randrange(1, 40))]
+        paths = []
+        for cells in (10**6, 10):
+            monkeypatch.setattr(leaks, "CELLS", cells)
+            paths.append([leaks._align(doc, item, gain) for gain in (1, 7)])
+        assert paths[0] == paths[1]
+    monkeypatch.setattr(leaks, "CELLS", 4_000_000)
+    item = [f"w{rng.randrange(2000)}" for _ in range(4000)]
+    doc = ["x"] * 500 + item[:2500] + ["y"] * 9 + item[2500:] + ["x"] * 900
+    tracemalloc.start()
+    found = ItemIndex([(1, item, [])]).find(" ".join(doc))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[:3] for f in found] == [(1, 4000, 9)] and peak < 50e6
 
 
 def leaked(doc, item, least=14, one_in=7):
