@@ -6,9 +6,11 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +46,31 @@ la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no
 rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo
 za zh zu
 """.split()
-_CODE_OF = {name: code for code, names in NAMES.items() for name in names.split()}
+
+
+@lru_cache(maxsize=1)
+def label_names() -> dict[str, str]:
+    """Names and three-letter codes of all languages of CODES: those that the JVM knows, and NAMES."""
+    out = {name: code for code, names in NAMES.items() for name in names.split()}
+    locales = SparkContext._active_spark_context._jvm.java.util.Locale
+    for code in CODES:
+        one = locales.forLanguageTag(code)
+        for name in (one.getISO3Language(), one.getDisplayLanguage(locales.ENGLISH), one.getDisplayLanguage(one)):
+            if len(name) > 2:
+                out.setdefault(name.lower(), code)
+    return out
+
 
 #: Labelled documents a language is learned from, at most, and sentences of each: the bound of the training sample.
 SAMPLE_DOCS = 300
 SAMPLE_SENTENCES = 10
 #: Sentences of other lengths in characters are not learned from.
 LEARNED_LENGTH = (20, 1000)
-#: A label with fewer sampled documents is not learned.
-LEAST_DOCS = 5
+#: Characters of the sample, at most: of a language, and of all together.
+LANGUAGE_CHARS, SAMPLE_CHARS = 400_000, 24_000_000
+#: Languages weigh alike in learning, but for those with fewer sentences than this, which weigh by their sentences: so the
+#: few texts that a wrong label makes up a language of stay with the language they are in, and are cleaned out.
+EVEN_SENTENCES = 50
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: A segment is ambiguous, and no passage beside the main language, where the nearest codeword's probability is under this.
@@ -76,7 +94,7 @@ _LETTERS = re.compile(r"[^\W\d_]{2}")
 
 def label_code(c: str | Column) -> Column:
     """The two-letter code of a label: names, three-letter codes, regions and case folded; null where it names none."""
-    pairs = [F.lit(x) for kv in sorted(_CODE_OF.items()) for x in kv]
+    pairs = [F.lit(x) for kv in sorted(label_names().items()) for x in kv]
     low = F.regexp_replace(trimmed_lower(c), r"[-_].*$", "")
     return F.when(low.isin(CODES), low).otherwise(F.create_map(*pairs)[low])
 
@@ -149,7 +167,7 @@ def _hashed(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 def _grams(text: str) -> np.ndarray:
     """Buckets of all n-grams of a text."""
-    return np.concatenate([np.empty(0, np.int64), *[b for _, b, _ in _hashed(_codes(text))]])
+    return np.concatenate([np.empty(0, np.uint16), *[b.astype(np.uint16) for _, b, _ in _hashed(_codes(text))]])
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
@@ -186,16 +204,18 @@ class LanguageModel:
         """What the classifiers say of each span (in order, apart from each other): mean n-gram weights and bias."""
         total = np.zeros((len(spans), self.code.shape[1]))
         count = np.zeros(len(spans))
-        ends = np.array([b for _, b, _ in spans])
-        begins = np.array([a for a, _, _ in spans])
+        # the span of every character, -1 between spans
+        lengths = np.array([x for at, (a, b, _) in zip([0, *[b for _, b, _ in spans]], spans, strict=False) for x in (a - at, b - a)])
+        owner = np.repeat(np.stack([np.full(len(spans), -1), np.arange(len(spans))], axis=1).ravel().astype(np.int32), lengths)
         for starts, buckets, n in _hashed(_codes(text)):
-            own = np.searchsorted(begins, starts, side="right") - 1
-            inside = (own >= 0) & (starts + n <= ends[own])
+            starts = starts[: np.searchsorted(starts, len(owner) - n, side="right")]
+            own = owner[starts]
+            inside = np.flatnonzero((own >= 0) & (own == owner[starts + n - 1]))
             own, buckets = own[inside], buckets[inside]
             if not len(own):
                 continue
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            total[own[first]] += np.add.reduceat(self.weights[buckets], first, axis=0)
+            total[own[first]] += np.add.reduceat(np.take(self.weights, buckets, axis=0, mode="clip"), first, axis=0)
             count += np.bincount(own, minlength=len(spans))
         return total / np.maximum(count, 1)[:, None] + self.bias
 
@@ -273,7 +293,7 @@ class Sample:
         order = np.random.default_rng(1).permutation(len(grams))
         grams, y = [grams[i] for i in order], y[order]
         sizes = np.array([len(g) for g in grams], dtype=np.int64)
-        flat = np.concatenate(grams).astype(np.int32) if grams else np.empty(0, np.int32)
+        flat = np.concatenate(grams) if grams else np.empty(0, np.uint16)
         return Sample(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes, y)
 
     def learn(self, code: np.ndarray, bit: int, rounds: int) -> np.ndarray:
@@ -281,7 +301,7 @@ class Sample:
         batches of sentences in mixed order."""
         target = code[self.y, bit]
         # languages count alike, as labels are unevenly frequent
-        even = 1.0 / np.bincount(self.y, minlength=len(code))[self.y]
+        even = 1.0 / np.maximum(np.bincount(self.y, minlength=len(code)), EVEN_SENTENCES)[self.y]
         even /= even.mean()
         w, bias, g2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
         batches = []
@@ -310,8 +330,8 @@ def learn_here(sample: Sample, code: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def learn_on(spark: SparkSession) -> Learner:
-    """The bits are independent problems: one task each. The sample, which SAMPLE_DOCS and SAMPLE_SENTENCES bound, is
-    broadcast."""
+    """The bits are independent problems: one task each. The sample is broadcast: at most SAMPLE_CHARS characters, with two
+    bytes for each n-gram order of each, so some 200 MB."""
 
     def learn(sample: Sample, code: np.ndarray, rounds: int) -> np.ndarray:
         bits = code.shape[1]
@@ -339,23 +359,26 @@ def fit(samples: list[list[str]], labels: list[str], rounds: int = 5, clean: boo
     """Learns the binary classifiers from the sentences of labelled documents.
 
     Labels may be wrong for some documents: after a first fit, sentences that it gives to another language are left out
-    and the classifiers are learned again.
+    and the classifiers are learned again. A language that keeps no sentence was a wrong label and is no language.
     """
-    languages = sorted(set(labels))
-    code = codewords(len(languages))
     pieces = [_grams(s) for sample in samples for s in sample]
-    y = np.array([languages.index(lab) for sample, lab in zip(samples, labels, strict=True) for _ in sample], dtype=int)
+    names = np.array([lab for sample, lab in zip(samples, labels, strict=True) for _ in sample], dtype=object)
     keep = np.array([len(g) > 0 for g in pieces], dtype=bool)
-    model = LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1]))
+    languages, model = sorted(set(labels)), None
     for step in range(2 if clean else 1):
+        if model is None or languages != model.languages:
+            code = codewords(len(languages))
+            model = LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1]))
         at = np.flatnonzero(keep)
         if not len(at) or len(languages) < 2:
             break
-        w = learn(Sample.of([pieces[i] for i in at], y[at]), code, rounds)
+        y = np.array([languages.index(names[i]) for i in at], dtype=int)
+        w = learn(Sample.of([pieces[i] for i in at], y), code, rounds)
         model.weights, model.bias = w[:-1].astype(np.float32), w[-1]
         if step == 0 and clean:
-            bits = np.stack([model.weights[g].sum(axis=0) / max(1, len(g)) + model.bias for g in pieces])
-            keep &= model._decode(bits).argmax(axis=1) == y
+            bits = np.stack([model.weights[pieces[i]].sum(axis=0) / len(pieces[i]) + model.bias for i in at])
+            keep[at] = model._decode(bits).argmax(axis=1) == y
+            languages = sorted(set(names[keep]))
     return model
 
 
@@ -366,7 +389,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
     map-side combine), so no language's documents are gathered; the second takes sentences from the sampled documents'
     whole texts. Repeated rows of a document count once. Documents without a usable label or text are left out.
     """
-    rows = docs.select(F.xxhash64(doc_id).alias("h"), label_code(label).alias("label"), F.col(text).alias("text")).where("label is not null and length(text) >= 40")
+    rows = docs.select(F.xxhash64(doc_id).alias("h"), label_code(label).alias("label"), F.col(text).alias("text")).where("label is not null and text is not null")
 
     def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
@@ -378,7 +401,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
 
     hashes = rows.select("label", "h").mapInPandas(smallest, "label string, h long")
     merged = hashes.groupBy("label").applyInPandas(lambda pdf: pdf.drop_duplicates().sort_values("h").head(sample_docs), "label string, h long")
-    bounds = merged.groupBy("label").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS).collect()
+    bounds = merged.groupBy("label").agg(F.max("h").alias("top")).collect()
     if not bounds:
         return fit([], [])
     sampled = F.lit(False)
@@ -389,9 +412,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
     def chosen(texts: pd.Series) -> pd.Series:
         return texts.map(sample_sentences)
 
+    limit = min(LANGUAGE_CHARS, SAMPLE_CHARS // len(bounds))
+
+    def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The documents of a language, at most ``sample_docs``, up to the limit of characters."""
+        pdf = pdf.sort_values("h")
+        chars = pdf["s"].map(lambda s: sum(map(len, s))).cumsum()
+        return pdf[chars <= limit]
+
     one = rows.where(sampled).groupBy("label", "h").agg(F.max("text").alias("text"))
-    sample = one.select("label", "h", chosen("text").alias("s")).orderBy("label", "h").collect()
-    return fit([list(r.s) for r in sample], [r.label for r in sample], learn=learn_on(docs.sparkSession))
+    sample = one.select("label", "h", chosen("text").alias("s")).where("size(s) > 0").groupBy("label").applyInPandas(bounded, "label string, h long, s array<string>")
+    found = sample.orderBy("label", "h").collect()
+    return fit([list(r.s) for r in found], [r.label for r in found], learn=learn_on(docs.sparkSession))
 
 
 def find_segments(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -122,6 +122,32 @@ def test_label_codes(spark):
     assert [r[0] for r in got] == ["en", "en", "de", "es", "nl", None, None, None, "pt", None]
 
 
+def test_rare_languages_are_learned_and_wrong_labels_are_none(spark):
+    greek = "Το σπίτι των ανθρώπων είναι κάτω από το νερό. Αυτό είναι το μικρό σπίτι που θα δούμε μετά."
+    docs = corpus() + [(2000, greek, "Greek"), (2001, greek[::-1] + ". " + greek, None), (2002, passage("en", 6), "ja"), (2003, passage("fr", 6), "sw")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    m = langid.train(d)
+    assert m.languages == ["de", "el", "en", "es", "fr"]
+    got = {(r.doc_id, r.found_lang, r.label_state) for r in langid.find_languages(d.where("doc_id >= 2000"), m).collect()}
+    assert got == {(2000, "el", "right"), (2001, "el", "missing"), (2002, "en", "wrong"), (2003, "fr", "wrong")}
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGE_CHARS", 900)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda samples, labels, learn: seen.append((samples, labels)))
+    langid.train(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    ((samples, labels),) = seen
+    for lang in WORDS:
+        assert 300 < sum(len(s) for own, lab in zip(samples, labels, strict=True) if lab == lang for s in own) <= 900
+
+
+def test_names_of_all_languages(spark):
+    rows = ["Greek", "jpn", "ελληνικά", "Swahili", "cat", "ger", "norsk", "zz", "no language"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "l string").select(langid.label_code("l")).collect()]
+    assert got == ["el", "ja", "el", "sw", "ca", "de", "no", None, None]
+
+
 def test_passages_count_unless_ambiguous(spark):
     one = {c: c.upper() + c * 30 + "." for c in "abcd"}
     weights = np.zeros((langid.BUCKETS, 1), np.float32)
