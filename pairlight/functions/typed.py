@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairlight.functions.names import as_col, blank_to_null
+from pairlight.functions.names import as_col, trimmed
 
 #: Spellings of truth.
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
@@ -18,7 +18,8 @@ _NUMBER = r"[+-]?(?:[0-9]+[.,]?[0-9]*|[.,][0-9]+)(?:[eE][+-]?[0-9]+)?"
 
 def to_text(c: str | Column) -> Column:
     """Text without outer white space; blank text is not usable."""
-    return blank_to_null(F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", ""))
+    text = trimmed(c)
+    return F.when(F.length(text) > 0, text)
 
 
 def _number(text: Column) -> Column:
@@ -32,7 +33,7 @@ def to_double(c: str | Column) -> Column:
     t = as_col(c)
     percent = _number(F.regexp_extract(t, rf"^({_NUMBER})\s*%$", 1)) / 100
     over, under = (_number(F.regexp_extract(t, rf"^({_NUMBER})\s*/\s*({_NUMBER})$", i)) for i in (1, 2))
-    return F.coalesce(_number(t), percent, F.when(under != 0, over / under))
+    return F.when(t.contains("%"), percent).when(t.contains("/"), F.when(under != 0, over / under)).otherwise(_number(t))
 
 
 def to_int(c: str | Column) -> Column:
@@ -50,9 +51,15 @@ def to_date_any(c: str | Column) -> Column:
     """Dates that exist, as 2025-06-19, 2025/06/19, 20250619, 19.06.2025, 19 Jun 2025 or with a time after the day."""
     t = as_col(c)
     iso = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$", 1)
-    read = lambda text, form: F.try_to_timestamp(F.when(F.length(text) > 0, text), F.lit(form)).cast("date")
-    forms = ("yyyy/M/d", "yyyyMMdd", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy")
-    day = F.coalesce(read(iso, "yyyy-M-d"), *[read(t, f) for f in forms])
+    read = lambda form, text=t: F.try_to_timestamp(text, F.lit(form)).cast("date")
+    # a failed attempt is dear, so the form is told by its marks first
+    day = (
+        F.when(F.length(iso) > 0, read("yyyy-M-d", iso))
+        .when(t.contains("/"), read("yyyy/M/d"))
+        .when(t.contains("."), read("d.M.yyyy"))
+        .when(t.contains(" "), F.coalesce(read("d MMM yyyy"), read("d MMMM yyyy")))
+        .when(F.length(t) == 8, read("yyyyMMdd"))
+    )
     return F.when(F.year(day) >= 1, day)
 
 
