@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.functions.names import as_col
+from pairlight.functions.names import as_col, trimmed
 from pairlight.storage import materialize
 
 ENTRIES = T.ArrayType(T.StringType())
@@ -86,8 +86,7 @@ def term_occurrences(cells: DataFrame, record: str, fields: list[str]) -> DataFr
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_cell{i}").alias("cell")) for i, f in enumerate(fields)])).alias("p")
     long = once.select("record_id", parts).select("record_id", "p.*").where("cell is not null")
     each = long.select("record_id", "field_name", terms_of("cell").alias("terms")).select("record_id", "field_name", F.posexplode("terms").alias("at", "raw"))
-    term = F.regexp_replace(F.lower(as_col("raw")), r"(?U)^\s+|\s+$", "")
-    return each.select("field_name", term.alias("term"), "record_id", "at").where("length(term) > 0")
+    return each.select("field_name", trimmed(F.lower("raw")).alias("term"), "record_id", "at").where("length(term) > 0")
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
