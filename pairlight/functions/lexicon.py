@@ -5,18 +5,18 @@ from __future__ import annotations
 
 # One list a grammar slot, in drawing order.
 SLOTS: dict[str, list[str]] = {
-    "subject_singular": "dog boy teacher author pilot chef scientist musician student reporter robot bird judge nurse driver writer dancer guard actor manager".split(),
-    "subject_plural": "dogs boys teachers authors pilots chefs scientists musicians students reporters robots birds judges nurses drivers writers dancers guards actors managers".split(),
-    "person_singular": "boy teacher author pilot chef scientist musician student reporter judge nurse driver writer dancer guard actor manager".split(),
-    "attractor_singular": "car cabinet book student key report painting computer garden instrument map letter".split(),
-    "attractor_plural": "cars cabinets books students keys reports paintings computers gardens instruments maps letters".split(),
-    "object_singular": "girl doctor artist farmer neighbor coach editor mechanic librarian visitor lawyer singer clerk broker".split(),
-    "object_plural": "girls doctors artists farmers neighbors coaches editors mechanics librarians visitors lawyers singers clerks brokers".split(),
-    "embedded_verb_singular": "likes knows helps sees calls follows admires teaches remembers guides questions supports observes trusts".split(),
-    "embedded_verb_plural": "like know help see call follow admire teach remember guide question support observe trust".split(),
+    "subject_singular": ["dog", "boy", "teacher", "author", "pilot", "chef", "scientist", "musician", "student", "reporter", "robot", "bird", "judge", "nurse", "driver", "writer", "dancer", "guard", "actor", "manager"],
+    "subject_plural": ["dogs", "boys", "teachers", "authors", "pilots", "chefs", "scientists", "musicians", "students", "reporters", "robots", "birds", "judges", "nurses", "drivers", "writers", "dancers", "guards", "actors", "managers"],
+    "person_singular": ["boy", "teacher", "author", "pilot", "chef", "scientist", "musician", "student", "reporter", "judge", "nurse", "driver", "writer", "dancer", "guard", "actor", "manager"],
+    "attractor_singular": ["car", "cabinet", "book", "student", "key", "report", "painting", "computer", "garden", "instrument", "map", "letter"],
+    "attractor_plural": ["cars", "cabinets", "books", "students", "keys", "reports", "paintings", "computers", "gardens", "instruments", "maps", "letters"],
+    "object_singular": ["girl", "doctor", "artist", "farmer", "neighbor", "coach", "editor", "mechanic", "librarian", "visitor", "lawyer", "singer", "clerk", "broker"],
+    "object_plural": ["girls", "doctors", "artists", "farmers", "neighbors", "coaches", "editors", "mechanics", "librarians", "visitors", "lawyers", "singers", "clerks", "brokers"],
+    "embedded_verb_singular": ["likes", "knows", "helps", "sees", "calls", "follows", "admires", "teaches", "remembers", "guides", "questions", "supports", "observes", "trusts"],
+    "embedded_verb_plural": ["like", "know", "help", "see", "call", "follow", "admire", "teach", "remember", "guide", "question", "support", "observe", "trust"],
 }
-VERBS_SINGULAR = "runs smiles arrives waits sleeps laughs speaks listens works dances travels returns studies notices answers opens closes moves reads writes".split()
-VERBS_PLURAL = "run smile arrive wait sleep laugh speak listen work dance travel return study notice answer open close move read write".split()
+VERBS_SINGULAR = ["runs", "smiles", "arrives", "waits", "sleeps", "laughs", "speaks", "listens", "works", "dances", "travels", "returns", "studies", "notices", "answers", "opens", "closes", "moves", "reads", "writes"]
+VERBS_PLURAL = ["run", "smile", "arrive", "wait", "sleep", "laugh", "speak", "listen", "work", "dance", "travel", "return", "study", "notice", "answer", "open", "close", "move", "read", "write"]
 PREPOSITIONS = ["near", "behind", "beside", "with"]
 PRONOUNS = ["that", "who"]
 
