@@ -24,11 +24,18 @@ def ranked(rows: DataFrame, partition: Sequence[str], order: Sequence[str], n: i
     return rows.withColumn("rank", r).where(F.col("rank") <= n)
 
 
-def two_sides(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str] = ("accuracy", "failure_rate", "mean_preference_margin", "total")) -> DataFrame:
+SIDE_METRICS = ("accuracy", "failure_rate", "mean_preference_margin", "total")
+
+
+def _side_by_side(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    side = lambda d, m: F.max(F.when(F.col("dataset") == d, F.col(m))).alias(f"{d}_{m}")
+    return rows.groupBy(*keys).agg(*[side(d, m) for d in ("benchmark", "rl") for m in metrics])
+
+
+def two_sides(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str] = SIDE_METRICS) -> DataFrame:
     """Benchmark and rl metrics of the same keys side by side, by conditional aggregation: one shuffle, no self-join.
     Keys that only one side has are left out."""
-    side = lambda d, m: F.max(F.when(F.col("dataset") == d, F.col(m))).alias(f"{d}_{m}")
-    both = rows.where(F.col("dataset").isin("benchmark", "rl")).groupBy(*keys).agg(*[side(d, m) for d in ("benchmark", "rl") for m in metrics])
+    both = _side_by_side(rows.where(F.col("dataset").isin("benchmark", "rl")), keys, metrics)
     return both.where("benchmark_total is not null and rl_total is not null")
 
 
@@ -47,9 +54,9 @@ def shared_subtypes(grouped: DataFrame) -> DataFrame:
 
 def overall_deltas(overall: DataFrame) -> DataFrame:
     """As ``shared_subtypes`` over whole datasets; a model without one of the two datasets is an error."""
-    side = lambda d: F.count_if(F.col("dataset") == d)
-    whole = overall.groupBy("model_id").agg(F.assert_true((side("benchmark") > 0) & (side("rl") > 0), F.lit("a model lacks a dataset")).alias("ok"))
-    return with_deltas(two_sides(overall, ["model_id"])).join(whole.where("ok is null").select("model_id"), "model_id")
+    both = _side_by_side(overall, ["model_id"], SIDE_METRICS)
+    whole = F.assert_true(F.col("benchmark_total").isNotNull() & F.col("rl_total").isNotNull(), F.lit("a model lacks a dataset"))
+    return with_deltas(both.where(whole.isNull()))
 
 
 def harder_shared(grouped: DataFrame) -> DataFrame:
@@ -125,18 +132,35 @@ def ordered_by_mean(wide: DataFrame, metric: str) -> DataFrame:
     return wide.select("group_name", "mean_across_models", F.row_number().over(W.orderBy(*order)).cast("long").alias("position"))
 
 
+def ordered_by_mean_delta(shared: DataFrame, metric: str) -> DataFrame:
+    """``subtype, mean_delta, position``: subtypes of ``shared_subtypes`` by the models' mean delta of a metric and name,
+    the whole key reversed for failure rates. One row a subtype, so one window holds them."""
+    means = shared.groupBy("subtype").agg(F.avg(F.col(f"rl_{metric}") - F.col(f"benchmark_{metric}")).alias("mean_delta"))
+    order = [F.col(k).desc() if metric == "failure_rate" else F.col(k).asc() for k in ("mean_delta", "subtype")]
+    return means.select("subtype", "mean_delta", F.row_number().over(W.orderBy(*order)).cast("long").alias("position"))
+
+
+def dense_metric(wide: DataFrame, key: str, models: Sequence[str]) -> DataFrame:
+    """A wide table with 0.0 where a model has no value, as figures draw it."""
+    return wide.select(key, *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in models])
+
+
 def difficulty_change(grouped: DataFrame, delta: float = 0.25) -> DataFrame:
-    """Subtypes whose accuracy differs by ``delta`` or more between models; needs two models."""
-    rows = grouped.where("group_by = 'subtype'").groupBy(F.col("group_name").alias("subtype")).agg(F.min("accuracy").alias("accuracy_min"), F.max("accuracy").alias("accuracy_max"), F.count(F.lit(1)).alias("models"))
-    return rows.where("models >= 2").select("subtype", "accuracy_min", "accuracy_max", (F.col("accuracy_max") - F.col("accuracy_min")).alias("accuracy_range")).where(F.col("accuracy_range") >= delta)
+    """Subtypes whose accuracy differs by ``delta`` or more between models, widest first; needs two models. ``by_model``
+    maps each model to its accuracy, failure rate and mean margin."""
+    own = F.struct("model_id", F.struct("accuracy", "failure_rate", "mean_preference_margin"))
+    rows = grouped.where("group_by = 'subtype'").groupBy(F.col("group_name").alias("subtype")).agg(F.min("accuracy").alias("accuracy_min"), F.max("accuracy").alias("accuracy_max"), F.map_from_entries(F.sort_array(F.collect_list(own))).alias("by_model"))
+    rows = rows.where(F.size("by_model") >= 2).withColumn("accuracy_range", F.col("accuracy_max") - F.col("accuracy_min")).where(F.col("accuracy_range") >= delta)
+    return rows.select("subtype", "accuracy_min", "accuracy_max", "accuracy_range", "by_model").orderBy(F.desc("accuracy_range"), "subtype")
 
 
 def consistently_hard(grouped: DataFrame, n: int = 3) -> DataFrame:
     """Subtypes among the ``n`` hardest of every model that has rows."""
     top = ranked(grouped.where("group_by = 'subtype'"), ["model_id"], HARDEST, n).select("model_id", F.col("group_name").alias("subtype"))
-    models = top.agg(F.count_distinct("model_id").alias("models"))
-    counts = top.groupBy("subtype").agg(F.count_distinct("model_id").alias("models"))
-    return counts.join(F.broadcast(models), "models", "left_semi").select("subtype")
+    counts = top.groupBy("subtype").agg(F.collect_set("model_id").alias("models"))
+    # n rows a model: one window holds them
+    every = F.size(F.array_distinct(F.flatten(F.collect_list("models").over(W.partitionBy()))))
+    return counts.withColumn("_all", every).where(F.size("models") == F.col("_all")).select("subtype")
 
 
 def cross_source_hardest(sources: dict[str, DataFrame | None], n: int = 5) -> DataFrame:

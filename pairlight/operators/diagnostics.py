@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlight.functions.lexicon import ALLOWED_METADATA, NOUNS, PREPOSITIONS, PRONOUNS, VERBS, VERBS_PLURAL, VERBS_SINGULAR
 from pairlight.functions.text import alphabetic_tokens, missing, sentence_tokens
 from pairlight.operators.generate import PAIR_FIELDS, dependency_distance
+from pairlight.operators.ranking import first_of_each
 from pairlight.operators.summaries import safe_ratio
 from pairlight.storage import materialize
 
@@ -191,16 +192,20 @@ def hardest_examples(results: DataFrame, model_id: str, dataset: str, n: int) ->
 
 def shared_examples(results: DataFrame, n: int, model_id: str = STRONGER[1]) -> DataFrame:
     """Half of ``n`` (one at least) hardest rl rows, then the hardest benchmark rows of their subtypes up to ``n``."""
-    hard = hardest_examples(results, model_id, "rl", max(n // 2, 1))
-    rows = results.where((F.col("model_id") == model_id) & (F.col("dataset") == "benchmark")).join(hard.select("subtype").distinct(), "subtype", "left_semi")
-    rest = rows.orderBy("preference_margin", "pair_id").limit(max(n - max(n // 2, 1), 0)).select(*INSPECTED).withColumnRenamed("pair_id", "uid")
-    return hard.unionByName(rest)
+    half = max(n // 2, 1)
+    # one pass: neither half can take more than n rows of a subtype, and Spark keeps no more before the shuffle
+    rows = results.where((F.col("model_id") == model_id) & F.col("dataset").isin("benchmark", "rl")).select(*INSPECTED)
+    order = ["preference_margin", F.when(F.col("dataset") == "rl", F.col("correct")), F.col("pair_id")]
+    first = materialize(first_of_each(rows, ["dataset", "subtype"], order, n).drop("rank"))
+    hard = hardest_examples(first, model_id, "rl", half)
+    rest = first.where("dataset = 'benchmark'").alias("b").join(hard.select("subtype").distinct().alias("h"), F.expr("b.subtype = h.subtype"), "left_semi")
+    return hard.unionByName(rest.orderBy("preference_margin", "pair_id").limit(max(n - half, 0)).select(*INSPECTED).withColumnRenamed("pair_id", "uid"))
 
 
 def collapse_flags(records: DataFrame, results: DataFrame, order: str = "uid") -> DataFrame:
     """One row of evidence: subtype and lexical collapse, duplicates, validation errors, tiny-only failures.
 
-    ``records`` and ``results`` are read several times: give tables, or materialised frames.
+    ``records`` are read four times and ``results`` once: give tables, or materialised frames.
     """
     rl = records.where("dataset = 'rl'")
     top = rl.groupBy("subtype").agg(F.count(F.lit(1)).alias("n")).agg(safe_ratio(F.max("n"), F.sum("n")).alias("top_rl_subtype_share"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlight.functions.text import md5_number
 from pairlight.operators.ranking import first_of_each, running_index
 from pairlight.operators.summaries import safe_ratio
+from pairlight.storage import materialize
 
 
 def scale_counts(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
@@ -34,12 +35,24 @@ def target_counts(counts: DataFrame, allowed: DataFrame, total: int | None = Non
 def cap_counts(counts: DataFrame, key: str, n: str, cap: int) -> DataFrame:
     """Takes units off the largest group (ties: the greatest name) until the sum is at most ``cap``.
 
-    In closed form: of all units numbered 1..n within their group, the first ``cap`` by (number, name) stay. The number
-    of units kept of a group at full level L is min(n, L), so no unit is written out.
+    By arithmetic on the groups' counts, so no unit is written out: with the groups in rising order, the level that those
+    from a group on can share is what the smaller ones leave of ``cap``. The level is the first that is under its group's
+    count; groups beyond it keep the level, and one more in name order as far as ``cap`` reaches. Groups left with none
+    are left out. The groups are few (one a subtype), so one window holds them.
     """
-    units = counts.where(F.col(n) > 0).select(key, F.explode(F.sequence(F.lit(1), F.least(F.col(n), F.lit(max(cap, 1))).cast("int"))).alias("unit"))
-    kept = units.orderBy("unit", key).limit(max(cap, 0))
-    return kept.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    cap = max(cap, 0)
+    every = W.partitionBy()
+    rising = every.orderBy(n, key)
+    rows = counts.where(F.col(n) > 0).select(key, F.col(n).cast("long").alias(n))
+    before = F.coalesce(F.sum(n).over(rising.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    behind = F.count(F.lit(1)).over(rising.rowsBetween(0, W.unboundedFollowing))
+    rows = rows.withColumn("_level", F.floor((F.lit(cap) - before) / behind))
+    rows = rows.withColumn("_level", F.max(F.when(F.col("_level") < F.col(n), F.greatest("_level", F.lit(0)))).over(every))
+    over = F.coalesce(F.col(n) > F.col("_level"), F.lit(False))
+    rows = rows.withColumn("_over", over).withColumn("_kept", F.least(n, "_level"))
+    rows = rows.withColumn("_rest", F.lit(cap) - F.sum("_kept").over(every)).withColumn("_at", F.row_number().over(W.partitionBy("_over").orderBy(key)))
+    kept = F.col("_kept") + F.when(F.col("_over") & (F.col("_at") <= F.col("_rest")), 1).otherwise(0)
+    return rows.select(key, kept.alias(n)).where(F.col(n) > 0)
 
 
 def matched_plan(pairs: DataFrame, group: str, requested: int, cap: int | None = None) -> DataFrame:
@@ -64,12 +77,37 @@ def matched_plan(pairs: DataFrame, group: str, requested: int, cap: int | None =
 
 def matched_sample(pairs: DataFrame, plan: DataFrame, group: str, seed: str = "42") -> DataFrame:
     """``sampled`` pairs of each dataset and group: those with the smallest MD5 of seed and id. The same rows at any
-    partitioning; exact replay of a sequential generator needs that generator."""
-    rows = pairs.join(F.broadcast(plan.select(F.col("group_name").alias(group), "sampled")), group)  # one row a group
+    partitioning; exact replay of a sequential generator needs that generator. The plan, one row a group, is computed once."""
+    plan = materialize(plan.select(F.col("group_name").alias(group), "sampled"))
+    rows = pairs.join(F.broadcast(plan), group)
     most = plan.agg(F.max("sampled")).first()[0] or 0
     return first_of_each(rows, ["dataset", group], [md5_number(F.lit(seed), "pair_id"), F.col("pair_id")], "sampled", most).drop("rank", "sampled")
 
 
+def matched_groups(plan: DataFrame, requested: int) -> DataFrame:
+    """The summary of a matched plan by group, in one row: both totals, whether the datasets match, the number of matched
+    groups and their samples as a map, the dropped groups by reason, and the groups below the requested number."""
+    some = F.col("sampled") > 0
+    names = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("group_name"))))
+    per_group = F.map_from_entries(F.sort_array(F.collect_list(F.when(some, F.struct("group_name", "sampled")))))
+    return plan.agg(
+        F.coalesce(F.sum("sampled"), F.lit(0)).alias("benchmark_total"), F.coalesce(F.sum("sampled"), F.lit(0)).alias("rl_total"),
+        F.coalesce(F.bool_and((F.col("sampled") <= F.col("benchmark_available")) & (F.col("sampled") <= F.col("rl_available"))), F.lit(True)).alias("distribution_matched"),
+        names(some).alias("matched_groups"), F.count_if(some).alias("matched_group_count"), per_group.alias("examples_per_matched_group"),
+        names(F.col("status") == "insufficient_examples").alias("dropped_groups_due_to_insufficient_examples"), names(F.col("status") == "dropped_by_total_cap").alias("dropped_groups_due_to_total_cap"),
+        F.sort_array(F.collect_list(F.when(some & (F.col("sampled") < requested), F.struct(F.col("group_name").alias("group"), F.col("sampled").alias("sampled_per_dataset"), F.lit(requested).alias("requested_per_group"))))).alias("limited_groups_below_requested_count"),
+    )
+
+
+def matched_plan_or_fallback(pairs: DataFrame, requested: int, cap: int | None = None, fields: Sequence[str] = ("subtype", "template_type")) -> tuple[DataFrame, str]:
+    """The matched plan by the first of ``fields`` that gives any group a sample (the last one anyway), and that field."""
+    for field in fields:
+        plan = materialize(matched_plan(pairs, field, requested, cap))
+        if field == fields[-1] or not plan.where("sampled > 0").isEmpty():
+            return plan, field
+    raise ValueError("no field")
+
+
 def matched_summary(plan: DataFrame) -> DataFrame:
     names = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("group_name")))), ",")
     return plan.agg(F.sum("sampled").alias("sampled_per_dataset"), names("matched").alias("matched"), names("limited_by_available_examples").alias("limited"), names("dropped_by_total_cap").alias("dropped"), names("insufficient_examples").alias("insufficient"))
@@ -102,7 +140,8 @@ def candidate_hardness(candidates: DataFrame, quotas: DataFrame, order: Sequence
     return rows.withColumn("hardness_score", hardness)
 
 
-def select_candidates(scored: DataFrame) -> DataFrame:
-    """The ``target_count`` hardest candidates of each subtype; ties by lower margin, then sentence."""
-    most = scored.agg(F.max("target_count")).first()[0] or 0
+def select_candidates(scored: DataFrame, quotas: DataFrame | None = None) -> DataFrame:
+    """The ``target_count`` hardest candidates of each subtype; ties by lower margin, then sentence. ``quotas``, one row a
+    subtype, tells the largest target without a pass over the candidates."""
+    most = (scored if quotas is None else quotas).agg(F.max("target_count")).first()[0] or 0
     return first_of_each(scored, ["subtype"], [F.desc("hardness_score"), F.asc("preference_margin"), F.asc("grammatical")], "target_count", most)

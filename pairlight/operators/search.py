@@ -202,6 +202,24 @@ def q_rows(spark: SparkSession, q: dict[str, dict[str, float]]) -> DataFrame:
     return spark.createDataFrame([(s, a, float(v)) for s, values in sorted(q.items()) for a, v in sorted(values.items())], "state_key string, action string, q double")
 
 
+#: The keys of the initial state and of a fresh relative clause.
+INITIAL_STATE, RELATIVE_STATE = "unset|0|0|0|0|0|0", "relative_clause|5|0|1|0|0|0"
+
+
+def q_report(q: DataFrame, n: int = 10) -> DataFrame:
+    """One row on a Q-table: ranked actions of two states and the best of each, whether stopping at once is best at the
+    start, the ``n`` highest entries and the number of states. Equal values are ranked by state and action."""
+    of = lambda key: F.array_sort(F.collect_list(F.when(F.col("state_key") == key, F.struct((-F.col("q")).alias("_"), "action", F.col("q").alias("q_value")))))
+    actions = lambda c: F.transform(c, lambda x: F.struct(x["action"].alias("action"), x["q_value"].alias("q_value")))
+    best = lambda c: F.get(F.col(c), F.lit(0))["action"]
+    states = q.agg(actions(of(INITIAL_STATE)).alias("initial_state_actions"), actions(of(RELATIVE_STATE)).alias("relative_clause_actions"), F.count_distinct("state_key").alias("state_count"))
+    states = states.withColumn("best_initial_action", best("initial_state_actions")).withColumn("best_relative_clause_action", best("relative_clause_actions"))
+    states = states.withColumn("favors_immediate_stop_initially", F.coalesce(F.col("best_initial_action") == "stop", F.lit(False)))
+    top = q_summary(q, n).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("_"), "state_key", "action", "q"))), lambda x: F.struct(x["state_key"].alias("state"), x["action"].alias("action"), x["q"].alias("q_value"))).alias("top_q_entries"))
+    one = F.lit(1).alias("_one")
+    return states.select("*", one).join(top.select("*", one), "_one").drop("_one")  # one row each
+
+
 def q_summary(q: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` highest values over all states."""
     return q.orderBy(F.desc("q"), "state_key", "action").limit(n)

@@ -81,6 +81,17 @@ def trajectory_summary(trajectories: DataFrame) -> DataFrame:
     )
 
 
+def trajectory_histograms(trajectories: DataFrame) -> DataFrame:
+    """``policy`` with the numbers of trajectories by template type and by subtype, as maps; without a final pair they
+    count as ``missing``. Counted once by both fields together, so a policy with most rows is a few dozen counts."""
+    name = lambda c: F.coalesce(F.col(c), F.lit("missing")).alias(c)
+    counts = trajectories.select("policy", name("template_type"), name("subtype")).groupBy("policy", "template_type", "subtype").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("template_type", "subtype")]))
+    long = counts.select("policy", "n", each.alias("f")).groupBy("policy", "f.field", "f.value").agg(F.sum("n").alias("n"))
+    listed = lambda f: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("value", "n")))))
+    return long.groupBy("policy").agg(listed("template_type").alias("template_type_distribution"), listed("subtype").alias("subtype_distribution"))
+
+
 def dominance(rows: DataFrame, keys: Sequence[str], value: str, order: str, threshold: float = 0.8) -> DataFrame:
     """The most frequent value per ``keys`` with its share; ties go to the value that comes first by ``order``."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

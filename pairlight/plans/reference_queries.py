@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pairlight.functions import rewards
 from pairlight.functions.text import alphabetic_tokens, distance_bucket, first_present, model_key, whitespace_tokens
 from pairlight.operators import compare, diagnostics, generate, quotas, scoring, search, summaries
-from pairlight.plans.derived import BUCKET, DOC_RESULTS, GEN_PAIRS, LENGTH, MODEL_SCORES, MODELS, as_pairs, doc_results, gen_pairs, model_scores, sql_md5
+from pairlight.operators.scoring import score_pairs
+from pairlight.plans.derived import BUCKET, DOC_RESULTS, GEN_PAIRS, LENGTH, MODEL_SCORES, MODELS, NEAR, as_pairs, doc_results, gen_pairs, model_scores, sql_md5
 from pairlight.session import table
 from pairlight.sources.records import matches_phenomenon, normalized_pair_id, normalized_phenomenon
+from pairlight.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,26 +145,22 @@ def template_failure_share(spark, d):
     return compare.failure_share(_grouped(spark, d))
 
 
-_GAP = "NOT (dataset = 'rl' AND subtype = 'simple_plural') AND NOT (dataset = 'benchmark' AND subtype = 'pp_plural_attractor_with')"
-
-
-@query(f"""WITH {GEN_PAIRS}, rows AS (SELECT dataset, subtype, template_type FROM gen_pairs WHERE {_GAP}), v AS (
+@query(f"""WITH {GEN_PAIRS}, rows AS (SELECT dataset, subtype, template_type FROM gen_pairs), v AS (
   SELECT DISTINCT dataset, 'subtype' AS group_by, subtype AS group_name FROM rows UNION SELECT DISTINCT dataset, 'template_type', template_type FROM rows),
 s AS (SELECT group_by, group_name, bool_or(dataset = 'benchmark') AS b, bool_or(dataset = 'rl') AS r FROM v GROUP BY ALL)
 SELECT group_by, count(*) FILTER (b) AS benchmark_count, count(*) FILTER (r) AS rl_count, count(*) FILTER (b AND r) AS shared_count,
   coalesce(string_agg(group_name, ',' ORDER BY group_name) FILTER (b AND NOT r), '') AS benchmark_only, coalesce(string_agg(group_name, ',' ORDER BY group_name) FILTER (r AND NOT b), '') AS rl_only, bool_or(b <> r) AS coverage_mismatch FROM s GROUP BY 1""")
 def coverage_mismatch(spark, d):
-    rows = summaries.count_fields(gen_pairs(spark, d).where(_GAP), ["subtype", "template_type"], ["dataset"])
+    rows = summaries.count_fields(gen_pairs(spark, d), ["subtype", "template_type"], ["dataset"])
     return compare.coverage(rows)
 
 
 @query(f"""WITH {MODEL_SCORES}, {GROUPED}, c AS (SELECT model_id, group_name AS subtype, sum(CASE WHEN dataset = 'benchmark' THEN total ELSE 0 END)::BIGINT AS benchmark_count, sum(CASE WHEN dataset = 'rl' THEN total ELSE 0 END)::BIGINT AS rl_count FROM grouped
-  WHERE group_by = 'subtype' AND NOT (dataset = 'rl' AND group_name = 'simple_plural') GROUP BY ALL),
+  WHERE group_by = 'subtype' GROUP BY ALL),
 s AS (SELECT *, benchmark_count / sum(benchmark_count) OVER (PARTITION BY model_id) AS benchmark_share, rl_count / sum(rl_count) OVER (PARTITION BY model_id) AS rl_share FROM c)
 SELECT *, rl_share - benchmark_share AS share_delta FROM s WHERE abs(rl_share - benchmark_share) >= 0.002 OR benchmark_count = 0 OR rl_count = 0""")
 def distribution_mismatch(spark, d):
-    g = _grouped(spark, d).where("not (dataset = 'rl' and group_by = 'subtype' and group_name = 'simple_plural')")
-    return compare.distribution_mismatch(g, 0.002)
+    return compare.distribution_mismatch(_grouped(spark, d), 0.002)
 
 
 _WIDE_CELLS = ", ".join(f"max(accuracy) FILTER (model_id = '{m}') AS {m}" for m in MODELS)
@@ -182,7 +180,7 @@ def figure_order_by_failure(spark, d):
 
 @query(f"WITH {MODEL_SCORES}, {BY_MODEL} SELECT group_name AS subtype, min(accuracy) AS accuracy_min, max(accuracy) AS accuracy_max, max(accuracy) - min(accuracy) AS accuracy_range FROM by_model WHERE group_by = 'subtype' GROUP BY 1 HAVING count(*) >= 2 AND max(accuracy) - min(accuracy) >= 0.005")
 def difficulty_change(spark, d):
-    return compare.difficulty_change(_by_model(spark, d), 0.005)
+    return compare.difficulty_change(_by_model(spark, d), 0.005).drop("by_model")
 
 
 @query(f"WITH {MODEL_SCORES}, {BY_MODEL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY {_HARD}) AS rn FROM by_model WHERE group_by = 'subtype') WHERE rn <= 8) SELECT group_name AS subtype FROM t GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT model_id) FROM t)")
@@ -310,18 +308,41 @@ def _defects(spark, d):
     )
 
 
-_VALID_SQL = f"""{GEN_PAIRS}, {_DEFECTS_SQL}, tok AS (SELECT *, string_split(rtrim(sentence_good, '.'), ' ') AS a, string_split(rtrim(sentence_bad, '.'), ' ') AS b, try_cast(dependency_distance AS INTEGER) AS dist, attractor_count::INT AS attr, clause_depth::INT AS depth FROM defects),
-dif AS (SELECT *, len(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) AS apart FROM tok),
-msgs AS (SELECT *, list_filter([
-  CASE WHEN len(a) <> len(b) THEN 'Good/bad sentences must have the same token length.' WHEN apart <> 1 THEN 'Good/bad sentences must differ in exactly one token; found ' || apart || '.' WHEN a[-1] = b[-1] THEN 'The differing token must be the final main verb.'
-    WHEN b[-1] LIKE '%x' THEN 'Differing final tokens are not a known agreement verb pair: ' || a[-1] || ' / ' || b[-1] END,
-  CASE WHEN dist IS NULL THEN 'Metadata field must be an integer: dependency_distance' WHEN dist < 0 THEN 'Metadata field must be non-negative: dependency_distance' END,
-  CASE WHEN template_type = 'other' THEN 'Unknown template_type: other' END,
-  CASE WHEN template_type = 'simple_agreement' AND dist <> 1 THEN 'dependency_distance=' || dependency_distance || ' is inconsistent with template_type=simple_agreement; expected one of {{1}}.' WHEN template_type = 'pp_attractor' AND dist <> 4 THEN 'dependency_distance=' || dependency_distance || ' is inconsistent with template_type=pp_attractor; expected one of {{4}}.'
-    WHEN template_type = 'relative_clause' AND dist <> 5 THEN 'dependency_distance=' || dependency_distance || ' is inconsistent with template_type=relative_clause; expected one of {{5}}.' END,
-  CASE WHEN dist <> len(a) - 2 THEN 'dependency_distance=' || dist || ' does not match computed distance ' || (len(a) - 2) || '.' END], lambda x: x IS NOT NULL) AS found FROM dif),
-heur AS (SELECT *, CASE WHEN phenomenon = ' ' THEN ['Missing or empty required field: phenomenon'] ELSE found END || list_filter([
-  CASE WHEN template_type = 'pp_attractor' AND NOT ends_with(subtype, a[3]) THEN 'Subtype ' || subtype || ' does not match preposition ' || a[3] || '.' END], lambda x: x IS NOT NULL) AS e FROM msgs)"""
+def _valid_sql(source: str) -> str:
+    """The validation rules over a table of generated records, as ``heur`` with the messages ``e`` of each record."""
+    from pairlight.functions.lexicon import ALLOWED_METADATA, PREPOSITIONS, PRONOUNS, VERBS_PLURAL, VERBS_SINGULAR
+
+    some = lambda parts: f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+    named = lambda values: "[" + ", ".join(repr(v) for v in values) + "]"
+    tokens = lambda c: f"list_filter(regexp_split_to_array(regexp_replace({c}, '\\.+$', ''), '\\s+'), lambda x: x <> '')"
+    words = "list_transform(regexp_extract_all(coalesce(sentence_good, ''), '[A-Za-z]+'), lambda x: lower(x))"
+    known = named(f"{x} {y}" for s, q in zip(VERBS_SINGULAR, VERBS_PLURAL, strict=True) for x, y in ((s, q), (q, s)))
+    numbers = diagnostics.NUMBERS
+    absent = [f"CASE WHEN trim(coalesce({c}::VARCHAR, '')) = '' THEN 'Missing or empty required field: {c}' END" for c in generate.PAIR_FIELDS]
+    found = [f"""CASE WHEN len(a) <> len(b) THEN 'Good/bad sentences must have the same token length.' WHEN apart <> 1 THEN 'Good/bad sentences must differ in exactly one token; found ' || apart || '.'
+    WHEN coalesce(a[-1], '') = coalesce(b[-1], '') THEN 'The differing token must be the final main verb.' WHEN NOT list_contains({known}, a[-1] || ' ' || b[-1]) THEN 'Differing final tokens are not a known agreement verb pair: ' || a[-1] || ' / ' || b[-1] END"""]
+    found += [f"CASE WHEN n_{c} IS NULL THEN 'Metadata field must be an integer: {c}' WHEN n_{c} < 0 THEN 'Metadata field must be non-negative: {c}' END" for c in numbers]
+    found.append(f"CASE WHEN template_type NOT IN ({', '.join(repr(k) for k in ALLOWED_METADATA)}) THEN 'Unknown template_type: ' || template_type END")
+    for c in numbers:
+        cases = " ".join(f"WHEN template_type = '{k}' AND n_{c} NOT IN ({', '.join(map(str, v[c]))}) THEN '{c}=' || {c} || ' is inconsistent with template_type={k}; expected one of {{{', '.join(map(str, v[c]))}}}.'" for k, v in ALLOWED_METADATA.items())
+        found.append(f"CASE {cases} END")
+    found.append("CASE WHEN len(a) < 3 THEN 'Sentence must have at least three tokens.' WHEN n_dependency_distance <> len(a) - 2 THEN 'dependency_distance=' || n_dependency_distance || ' does not match computed distance ' || (len(a) - 2) || '.' END")
+    kind = lambda k: f"coalesce(template_type, '') = '{k}'"
+    heuristics = [
+        f"CASE WHEN {kind('pp_attractor')} AND len(preps) = 0 THEN 'PP subtype has no recognized preposition.' WHEN {kind('pp_attractor')} AND NOT ends_with(s, preps[1]) THEN 'Subtype ' || s || ' does not match preposition ' || preps[1] || '.' END",
+        f"CASE WHEN {kind('pp_attractor')} AND contains(s, 'plural_attractor') AND coalesce(n_attractor_count, 0) <> 1 THEN 'PP attractor subtype should have attractor_count=1.' END",
+        f"CASE WHEN {kind('relative_clause')} AND len(prons) = 0 THEN 'Relative-clause subtype has no that/who token.' "
+        + " ".join(f"WHEN {kind('relative_clause')} AND ends_with(s, '{w}') AND NOT list_contains(prons, '{w}') THEN 'Subtype ends with {w} but sentence does not use {w}.'" for w in PRONOUNS) + " END",
+        f"CASE WHEN {kind('relative_clause')} AND contains(s, 'plural_embedded') AND coalesce(n_attractor_count, 0) <> 1 THEN 'Plural-embedded relative subtype should have attractor_count=1.' END",
+    ]
+    return f"""tok AS (SELECT *, {tokens('sentence_good')} AS a, {tokens('sentence_bad')} AS b, coalesce(subtype, '') AS s, {", ".join(f"try_cast({c} AS INTEGER) AS n_{c}" for c in numbers)},
+  list_filter({words}, lambda x: list_contains({named(PREPOSITIONS)}, x)) AS preps, list_filter({words}, lambda x: list_contains({named(PRONOUNS)}, x)) AS prons FROM {source}),
+dif AS (SELECT *, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS apart FROM tok),
+msgs AS (SELECT *, {some(absent)} AS absent, {some(found)} AS found, {some(heuristics)} AS odd FROM dif),
+heur AS (SELECT *, CASE WHEN len(absent) > 0 THEN absent ELSE found END || odd AS e FROM msgs)"""
+
+
+_VALID_SQL = f"{GEN_PAIRS}, {_DEFECTS_SQL}, {_valid_sql('defects')}"
 
 
 @query(f"WITH {_VALID_SQL} SELECT uid, subtype, template_type, len(e) = 0 AS valid, len(e) AS error_count, array_to_string(e, ' | ') AS errors, sentence_good, sentence_bad FROM heur")
@@ -335,14 +356,15 @@ def validation_tally(spark, d):
     return diagnostics.validate(_defects(spark, d)).agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
-@query(f"""WITH {_DISAGREE}, f AS (SELECT dataset, subtype, sentence_good, sentence_bad, {_feature_sql('sentence_good')} FROM gen_pairs), g AS (SELECT *, {_PATTERN} AS pattern FROM f),
+@query(f"""WITH {_DISAGREE}, own AS (SELECT * FROM gen_pairs WHERE dataset = 'rl'), {_valid_sql('own')}, f AS (SELECT dataset, subtype, sentence_good, sentence_bad, {_feature_sql('sentence_good')} FROM gen_pairs), g AS (SELECT *, {_PATTERN} AS pattern FROM f),
 p AS (SELECT dataset, max(n) / sum(n) AS s FROM (SELECT dataset, pattern, count(*) AS n FROM g GROUP BY ALL) GROUP BY 1),
 one AS (SELECT (SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM gen_pairs WHERE dataset = 'rl' GROUP BY subtype)) AS top_rl_subtype_share, (SELECT s FROM p WHERE dataset = 'rl') AS rl_top_pattern_share, (SELECT s FROM p WHERE dataset = 'benchmark') AS benchmark_top_pattern_share,
   (SELECT count(*) FROM (SELECT 1 FROM gen_pairs WHERE dataset = 'rl' GROUP BY sentence_good, sentence_bad HAVING count(*) > 1)) AS duplicate_pair_count, (SELECT max(n) FROM (SELECT count(*) AS n FROM gen_pairs WHERE dataset = 'rl' GROUP BY sentence_good)) AS max_good_sentence_repetition,
-  0::BIGINT AS validation_error_count, (SELECT count(*) FROM disagreement WHERE dataset = 'rl' AND category = 'tiny_fails_stronger_succeed') AS tiny_only_failures)
-SELECT *, top_rl_subtype_share > 0.25 AS subtype_collapse, rl_top_pattern_share > greatest(benchmark_top_pattern_share * 2, 0.15) AS lexical_collapse, duplicate_pair_count > 0 OR max_good_sentence_repetition > 2 AS duplicate_evidence, false AS metadata_issue, tiny_only_failures > 0 AS tiny_artifact FROM one""".replace(", p AS (\n", ", q AS (\n", 1).replace("FROM p\n)", "FROM q\n)", 1))
+  (SELECT count(*) FROM heur WHERE len(e) > 0) AS validation_error_count, (SELECT count(*) FROM disagreement WHERE dataset = 'rl' AND category = 'tiny_fails_stronger_succeed') AS tiny_only_failures)
+SELECT *, top_rl_subtype_share > 0.25 AS subtype_collapse, rl_top_pattern_share > greatest(benchmark_top_pattern_share * 2, 0.15) AS lexical_collapse, duplicate_pair_count > 0 OR max_good_sentence_repetition > 2 AS duplicate_evidence, validation_error_count > 0 AS metadata_issue, tiny_only_failures > 0 AS tiny_artifact FROM one""".replace(", p AS (\n", ", q AS (\n", 1).replace("FROM p\n)", "FROM q\n)", 1))
 def collapse_flags(spark, d):
-    return diagnostics.collapse_flags(gen_pairs(spark, d), model_scores(spark, d))
+    pairs = materialize(gen_pairs(spark, d))
+    return diagnostics.collapse_flags(pairs, score_pairs(as_pairs(pairs), {m: scoring.hash_scorer(m) for m in MODELS}, NEAR))
 
 
 @query("""WITH c AS (SELECT user_id % 50 AS user_group, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_group ORDER BY n DESC, first) AS rn, sum(n) OVER (PARTITION BY user_group) AS total FROM c)
@@ -352,11 +374,11 @@ def dominance(spark, d):
     return summaries.dominance(e, ["user_group"], "event_type", "event_id", 0.25)
 
 
-_COUNTS_SQL = f"{GEN_PAIRS}, counts AS (SELECT subtype, count(*) AS n FROM gen_pairs WHERE dataset = 'benchmark' AND key % 4 <> 0 GROUP BY 1)"
+_COUNTS_SQL = f"{GEN_PAIRS}, counts AS (SELECT subtype, count(*) AS n FROM gen_pairs WHERE dataset = 'benchmark' GROUP BY 1)"
 
 
 def _counts(spark, d):
-    return gen_pairs(spark, d).where("dataset = 'benchmark' and key % 4 <> 0").groupBy("subtype").agg(F.count(F.lit(1)).alias("n"))
+    return gen_pairs(spark, d).where("dataset = 'benchmark'").groupBy("subtype").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SCALED = "raw AS (SELECT subtype, n * 240.0::DOUBLE / sum(n) OVER () AS r FROM counts), fl AS (SELECT *, CAST(floor(r) AS BIGINT) AS f FROM raw), rk AS (SELECT *, row_number() OVER (ORDER BY r - f DESC, subtype DESC) AS rn, 240 - sum(f) OVER () AS rest FROM fl), quotas AS (SELECT subtype, f + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS target_count FROM rk)"
@@ -372,15 +394,14 @@ def capped_quotas(spark, d):
     return quotas.cap_counts(_counts(spark, d), "subtype", "n", 200)
 
 
-_PLAN_ROWS = "rows AS (SELECT *, uid AS pair_id FROM gen_pairs WHERE NOT (dataset = 'rl' AND subtype = 'simple_plural') AND NOT (subtype = 'simple_singular' AND dataset = 'rl' AND key % 900 > 100))"
+_PLAN_ROWS = "rows AS (SELECT *, uid AS pair_id FROM gen_pairs)"
 _PLAN = f"""{_PLAN_ROWS}, av AS (SELECT subtype AS group_name, count(*) FILTER (dataset = 'benchmark') AS benchmark_available, count(*) FILTER (dataset = 'rl') AS rl_available FROM rows GROUP BY 1),
 w AS (SELECT *, least(20, benchmark_available, rl_available) AS wanted FROM av), u AS (SELECT group_name, unnest(range(1, wanted + 1)) AS unit FROM w WHERE wanted > 0), k AS (SELECT group_name, count(*) AS sampled FROM (SELECT * FROM u ORDER BY unit, group_name LIMIT 250) GROUP BY 1),
 plan AS (SELECT w.group_name, benchmark_available, rl_available, coalesce(sampled, 0) AS sampled, CASE WHEN coalesce(sampled, 0) <= 0 AND benchmark_available > 0 AND rl_available > 0 THEN 'dropped_by_total_cap' WHEN coalesce(sampled, 0) <= 0 THEN 'insufficient_examples' WHEN sampled < 20 THEN 'limited_by_available_examples' ELSE 'matched' END AS status FROM w LEFT JOIN k USING (group_name))"""
 
 
 def _plan_rows(spark, d):
-    rows = gen_pairs(spark, d).withColumnRenamed("uid", "pair_id")
-    return rows.where("not (dataset = 'rl' and subtype = 'simple_plural') and not (subtype = 'simple_singular' and dataset = 'rl' and key % 900 > 100)")
+    return gen_pairs(spark, d).withColumnRenamed("uid", "pair_id")
 
 
 @query(f"WITH {GEN_PAIRS}, {_PLAN} SELECT * FROM plan")
@@ -403,11 +424,11 @@ def matched_summary(spark, d):
     return quotas.matched_summary(quotas.matched_plan(_plan_rows(spark, d), "subtype", 20, 250))
 
 
-@query(f"""WITH {_COUNTS_SQL}, {_SCALED}, a AS (SELECT subtype, count(*) AS achieved_count FROM gen_pairs WHERE dataset = 'rl' AND key % 97 = 0 AND subtype <> 'simple_plural' GROUP BY 1),
+@query(f"""WITH {_COUNTS_SQL}, {_SCALED}, a AS (SELECT subtype, count(*) AS achieved_count FROM gen_pairs WHERE dataset = 'rl' GROUP BY 1),
 j AS (SELECT coalesce(q.subtype, a.subtype) AS subtype, coalesce(target_count, 0)::BIGINT AS target_count, coalesce(achieved_count, 0) AS achieved_count FROM quotas q FULL JOIN a ON q.subtype = a.subtype)
 SELECT *, greatest(target_count - achieved_count, 0) AS missing_count, greatest(achieved_count - target_count, 0) AS extra_count, target_count / sum(target_count) OVER () AS target_share, achieved_count / sum(achieved_count) OVER () AS achieved_share FROM j""")
 def quota_comparison(spark, d):
-    achieved = gen_pairs(spark, d).where("dataset = 'rl' and key % 97 = 0 and subtype <> 'simple_plural'").groupBy("subtype").agg(F.count(F.lit(1)).alias("achieved_count"))
+    achieved = gen_pairs(spark, d).where("dataset = 'rl'").groupBy("subtype").agg(F.count(F.lit(1)).alias("achieved_count"))
     return quotas.compare_distribution(quotas.target_counts(_counts(spark, d), generate.templates(spark), 240), achieved)
 
 
@@ -434,7 +455,7 @@ def realized_pairs(spark, d):
     return rows.where(generate.pair_is_valid("sentence_good", "sentence_bad", "dependency_distance", "attractor_count", "clause_depth")).select("uid", "sentence_good", "sentence_bad", "dependency_distance", "attractor_count", "clause_depth", "template_type", "subtype")
 
 
-_CAND = f"""{MODEL_SCORES}, counts AS (SELECT subtype, count(*) AS n FROM gen_pairs WHERE dataset = 'benchmark' AND key % 4 <> 0 GROUP BY 1), {_SCALED},
+_CAND = f"""{MODEL_SCORES}, counts AS (SELECT subtype, count(*) AS n FROM gen_pairs WHERE dataset = 'benchmark' GROUP BY 1), {_SCALED},
 cand AS (SELECT *, row_number() OVER (PARTITION BY subtype, grammatical, ungrammatical ORDER BY pair_id) AS f1 FROM model_scores WHERE model_id = 'hf_gpt2'),
 pool AS (SELECT pair_id, subtype, grammatical, preference_margin, model_failed, target_count::BIGINT AS target_count, row_number() OVER (PARTITION BY subtype ORDER BY pair_id) - 1 AS pool_index FROM cand JOIN quotas USING (subtype) WHERE f1 = 1),
 sc AS (SELECT *, greatest(0.0::DOUBLE, 0.5 - abs(preference_margin)) / 0.5 AS boundary_score, greatest(0.0::DOUBLE, 1.0 - pool_index / greatest(target_count, 1)) * 0.25 AS diversity_bonus, greatest(0.0::DOUBLE, pool_index / greatest(target_count, 1) - 1.0) * 0.5 AS over_quota_penalty FROM pool),
@@ -442,19 +463,21 @@ hs AS (SELECT *, 1.0 * model_failed::INT + 0.5 * boundary_score - 0.1::DOUBLE *
 
 
 def _candidates(spark, d):
-    rows = model_scores(spark, d).where("model_id = 'hf_gpt2'")
-    return quotas.candidate_hardness(rows, quotas.target_counts(_counts(spark, d), generate.templates(spark), 240), ["pair_id"], near=0.5)
+    """Scored candidates, and the quotas that they were scored by."""
+    wanted = materialize(quotas.target_counts(_counts(spark, d), generate.templates(spark), 240))
+    rows = score_pairs(as_pairs(gen_pairs(spark, d)), {"hf_gpt2": scoring.hash_scorer("hf_gpt2")}, NEAR)
+    return quotas.candidate_hardness(rows, wanted, ["pair_id"], near=0.5), wanted
 
 
-@query(f"WITH {_CAND} SELECT pair_id, subtype, pool_index, boundary_score, round(diversity_bonus, 9) AS diversity_bonus, round(over_quota_penalty, 9) AS over_quota_penalty, round(hardness_score, 9) AS hardness_score FROM hs")
+@query(f"WITH {_CAND} SELECT pair_id, subtype, pool_index, boundary_score, round(diversity_bonus, 12) AS diversity_bonus, round(over_quota_penalty, 12) AS over_quota_penalty, round(hardness_score, 12) AS hardness_score FROM hs")
 def candidate_hardness(spark, d):
-    r9 = lambda c: F.round(c, 9).alias(c)
-    return _candidates(spark, d).select("pair_id", "subtype", "pool_index", "boundary_score", r9("diversity_bonus"), r9("over_quota_penalty"), r9("hardness_score"))
+    exact = lambda c: F.round(c, 12).alias(c)
+    return _candidates(spark, d)[0].select("pair_id", "subtype", "pool_index", "boundary_score", exact("diversity_bonus"), exact("over_quota_penalty"), exact("hardness_score"))
 
 
 @query(f"WITH {_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY hardness_score DESC, preference_margin, grammatical) AS rank FROM hs) SELECT subtype, rank, pair_id FROM r WHERE rank <= target_count")
 def selected_candidates(spark, d):
-    return quotas.select_candidates(_candidates(spark, d)).select("subtype", "rank", "pair_id")
+    return quotas.select_candidates(*_candidates(spark, d)).select("subtype", "rank", "pair_id")
 
 
 @query(f"WITH {GEN_PAIRS}, r AS (SELECT dataset, uid, row_number() OVER (PARTITION BY dataset ORDER BY key) AS rn FROM gen_pairs) SELECT dataset, uid FROM r WHERE rn <= 50")
