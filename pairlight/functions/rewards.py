@@ -72,6 +72,21 @@ def reward_parts(margin: float, failed: bool, tokens: int, distance: int, attrac
     return {"reward": sum(gain.values()) - sum(loss.values()), **gain, **loss}
 
 
+def scalar_reward(margin: Column, failed: Column, tokens: Column, distance: Column, attractors: Column, depth: Column, flags: dict[str, Column] | None = None, weights: RewardWeights | None = None, penalty: Column | float = 0.0) -> Column:
+    """The reward alone. Where nothing but the failure and the penalty is given (all numbers 0, no flag, default weights)
+    it is the older ``failed - penalty``, without the low-confidence part that a margin of 0 would have."""
+    penalty = penalty if isinstance(penalty, Column) else F.lit(float(penalty))
+    full = breakdown(margin, failed, tokens, distance, attractors, depth, flags, weights)["reward"] - penalty
+    if weights is not None:
+        return full
+    plain = margin == 0
+    for c in (tokens, distance, attractors, depth):
+        plain = plain & (c == 0)
+    for c in (flags or {}).values():
+        plain = plain & ~F.coalesce(c, F.lit(False))
+    return F.when(plain, failed.cast("double") - penalty).otherwise(full)
+
+
 def q_step(old: float, reward: float, next_max: float, learning_rate: float, discount: float) -> float:
     return old + learning_rate * (reward + discount * next_max - old)
 
