@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlight.functions.text import first_present, missing
+from pairlight.storage import materialize
 
 # Accepted endings and the field aliases in order.
 EXTENSIONS = (".csv", ".json", ".jsonl")
@@ -22,113 +23,189 @@ SUBTYPE_ALIASES = ("subtype", "linguistic_term", "linguistics_term", "field")
 CORE = {"sentence_good", "sentence_bad"}
 
 
-def _present(columns: Sequence[str], names: Sequence[str]) -> list[str]:
-    return [n for n in names if n in columns]
+Get = Callable[[str], Column]
 
 
-def _first(columns: Sequence[str], names: Sequence[str]) -> Column:
-    kept = _present(columns, names)
-    return first_present(*kept) if kept else F.lit(None).cast("string")
+def _first(names: Sequence[str], get: Get) -> Column:
+    return first_present(*[get(n) for n in names]) if names else F.lit(None).cast("string")
 
 
-def normalized_pair_id(columns: Sequence[str]) -> Column:
-    """``uid-pairID`` where both are there, else whichever is. Column names are taken case-sensitively where they differ."""
-    uid, pair = _first(columns, UID_ALIASES), _first(columns, PAIR_ALIASES)
+def _of(columns: Sequence[str] | None, names: Sequence[str]) -> list[str]:
+    return [n for n in names if columns is None or n in columns]
+
+
+def normalized_pair_id(columns: Sequence[str] | None = None, get: Get = F.col) -> Column:
+    """``uid-pairID`` where both are there, else whichever is. ``columns``: the fields that there are (all, if not given);
+    ``get`` reads one. Names are taken case-sensitively where the reader of the fields does so."""
+    uid, pair = _first(_of(columns, UID_ALIASES), get), _first(_of(columns, PAIR_ALIASES), get)
     return F.when(uid.isNotNull() & pair.isNotNull(), F.concat_ws("-", uid, pair)).otherwise(F.coalesce(uid, pair))
 
 
-def normalized_phenomenon(columns: Sequence[str]) -> Column:
-    return F.coalesce(_first(columns, PHENOMENON_ALIASES), _first(columns, [FALLBACK]))
+def normalized_phenomenon(columns: Sequence[str] | None = None, get: Get = F.col) -> Column:
+    return F.coalesce(_first(_of(columns, PHENOMENON_ALIASES), get), _first(_of(columns, [FALLBACK]), get))
 
 
-def matches_phenomenon(columns: Sequence[str], wanted: str) -> Column:
+def matches_phenomenon(columns: Sequence[str] | None, wanted: str, get: Get = F.col) -> Column:
     """Case-insensitive: any of six fields contains the text."""
     hit = F.lit(False)
-    for c in _present(columns, FILTER_FIELDS):
-        hit = hit | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(wanted.lower()))
+    for c in _of(columns, FILTER_FIELDS):
+        hit = hit | F.contains(F.lower(F.coalesce(get(c).cast("string"), F.lit(""))), F.lit(wanted.lower()))
     return hit
 
 
-def discover(path: str, phenomenon: str) -> list[str]:
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def _ending(path: str) -> str:
+    return Path(_name(path)).suffix.lower()
+
+
+def discover(path: str, phenomenon: str, spark: SparkSession | None = None) -> list[str]:
     """A file itself if its ending fits; in a folder all fitting files in name order, resource forks left out. If any file
-    name holds the phenomenon, only those."""
-    p = Path(path)
-    if p.is_file():
-        if p.suffix.lower() not in EXTENSIONS:
+    name holds the phenomenon, only those. With a session any storage that Spark reads is listed, else the local one."""
+    if spark is None:
+        p = Path(path)
+        single, found = p.is_file(), [str(f) for f in p.rglob("*") if f.is_file()] if p.is_dir() else []
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        single, found = fs.exists(at) and fs.getFileStatus(at).isFile(), []
+        if fs.exists(at) and not single:
+            listed = fs.listFiles(at, True)
+            while listed.hasNext():
+                uri = listed.next().getPath().toUri()
+                found.append(uri.getPath() if uri.getScheme() in (None, "file") else uri.toString())
+    if single:
+        if _ending(path) not in EXTENSIONS:
             raise ValueError(f"unsupported file type: {path}")
-        return [str(p)]
-    files = sorted(f for f in p.rglob("*") if f.is_file() and f.suffix.lower() in EXTENSIONS and not f.name.startswith("._"))
+        return [path]
+    files = sorted(f for f in found if _ending(f) in EXTENSIONS and not _name(f).startswith("._"))
     if not files:
         raise FileNotFoundError(f"no data file under {path}")
-    named = [f for f in files if phenomenon.lower() in f.stem.lower()]
-    return [str(f) for f in (named or files)]
+    named = [f for f in files if phenomenon.lower() in _name(f)[: -len(_ending(f))].lower()]
+    return named or files
+
 
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Header row, every column text. Without ``multi_line`` large files are split, and no field may hold a line break."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, every column text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
+RECORD = "map<string,string>"
+
+
+def _parsed(text: str, kind: str) -> Column:
+    """One JSON value of a type, null where the text is anything else. It is read as the only element of an array, as the
+    reader would not mind what follows a value."""
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")
+    return F.when(F.size(listed) == 1, listed[0])
+
+
+def _csv_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """One scan for all files with the same header line. Files without a quoted line break, which a first scan tells, are
+    read by lines and so split over tasks."""
+    headers: dict[str, list[str]] = {}
+    for f in files:
+        headers.setdefault(next(iter(r.value for r in spark.read.text(f).limit(1).collect()), ""), []).append(f)
+    out = None
+    for same in headers.values():
+        open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        rows = read_csv(spark, same, not spark.read.text(same).where(open_quote).limit(1).isEmpty())
+        fields = F.create_map(*[x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`"))]) if rows.columns else F.create_map().cast(RECORD)
+        part = rows.select(fields.cast(RECORD).alias("record"), F.col("_metadata.file_path").alias("source_file"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line; blank lines are skipped, anything else is an error."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    bad = lines.where(~F.ltrim("value").startswith("{")).limit(1)
-    if not bad.isEmpty():
-        raise ValueError(f"{path}: a line is not a JSON object")
-    return spark.read.option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
 
+def _jsonl_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """One object a line, read as its fields' texts without a schema to be guessed; blank lines are skipped. A line that is
+    no object has a null record."""
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("source_file")).where(F.length(F.trim("value")) > 0)
+    return lines.select(_parsed("value", RECORD).alias("record"), "source_file")
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or an object with such an array as ``pairs``."""
-    rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
-    kind = dict(rows.dtypes).get("pairs", "")
-    if rows.columns == ["pairs"] or kind.startswith("array<struct"):
-        return rows.select(F.explode("pairs").alias("p")).select("p.*")
-    head = Path(path).read_text(encoding="utf-8")[:200].lstrip() if Path(path).is_file() else "["
-    if not head.startswith("["):
-        raise ValueError(f"{path}: neither an array nor an object with pairs")
-    return rows
 
+def _json_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """An array of objects, or an object with such an array as ``pairs``; anything else is one null record. A document is
+    read whole by one task."""
+    docs = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
+    listed = F.coalesce(_parsed("value", f"array<{RECORD}>"), _parsed("value", f"struct<pairs array<{RECORD}>>")["pairs"])
+    none = F.array(F.lit(None).cast(RECORD))
+    return docs.select(F.explode(F.coalesce(listed, none)).alias("record"), "source_file")
 
-READERS = {".csv": read_csv, ".jsonl": read_jsonl, ".json": read_json}
 
+READERS = {".csv": _csv_records, ".jsonl": _jsonl_records, ".json": _json_records}
 
-def normalize(raw: DataFrame, source: str) -> DataFrame:
-    """Core columns and the rest as ``metadata``; a record without sentences, id or phenomenon is an error.
 
-    ``subtype`` in the metadata is filled from its aliases only where the record has no such field; a blank one stays.
+def raw_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``record`` (a map of the fields' texts, null where something else stands) and ``source_file``: one scan a format."""
+    out = None
+    for ending, read in READERS.items():
+        if own := [f for f in files if _ending(f) == ending]:
+            out = read(spark, own) if out is None else out.unionByName(read(spark, own))
+    return out
+
+
+def normalize(raw: DataFrame) -> DataFrame:
+    """Core columns and the rest as ``metadata``; no record, or one without sentences, id or phenomenon, is an error.
+
+    ``subtype`` is filled from its aliases only where the record has no such field; a blank one stays. Field names are
+    case-sensitive: ``uid`` and ``UID`` may both be there.
     """
-    cols = raw.columns
-    need = {c: (F.col(c) if c in cols else F.lit(None).cast("string")) for c in CORE}
-    pair_id, phenomenon = normalized_pair_id(cols), normalized_phenomenon(cols)
-    fail = lambda what: F.raise_error(F.lit(f"{source}: record without {what}")).cast("string")
-    checked = lambda c, what: F.when(~missing(c), c.cast("string")).otherwise(fail(what))
-    subtype = F.col("subtype").cast("string") if "subtype" in cols else _first(cols, SUBTYPE_ALIASES)
-    used = {*CORE, *UID_ALIASES, *PAIR_ALIASES, "phenomenon", "subtype"}
-    extra = [x for c in cols if c not in used for x in (F.lit(c), F.col(c).cast("string"))]
-    metadata = F.map_filter(F.create_map(*extra), lambda k, v: v.isNotNull()) if extra else F.create_map().cast("map<string,string>")
+    get = lambda c: F.col("record")[c]
+    fail = lambda what: F.raise_error(F.concat("source_file", F.lit(f": {what}"))).cast("string")
+    checked = lambda c, what: F.when(F.col("record").isNull(), fail("not a JSON object")).when(~missing(c), c).otherwise(fail(f"record without {what}"))
+    subtype = F.when(F.map_contains_key("record", "subtype"), get("subtype")).otherwise(_first(SUBTYPE_ALIASES, get))
+    used = [*CORE, *UID_ALIASES, *PAIR_ALIASES, "phenomenon", "subtype"]
     return raw.select(
-        checked(need["sentence_good"], "sentence_good").alias("grammatical"), checked(need["sentence_bad"], "sentence_bad").alias("ungrammatical"),
-        checked(pair_id, "an id").alias("pair_id"), checked(phenomenon, "a phenomenon").alias("phenomenon"), subtype.alias("subtype"), metadata.alias("metadata"), F.lit(source).alias("source_file"),
+        checked(get("sentence_good"), "sentence_good").alias("grammatical"), checked(get("sentence_bad"), "sentence_bad").alias("ungrammatical"),
+        checked(normalized_pair_id(None, get), "an id").alias("pair_id"), checked(normalized_phenomenon(None, get), "a phenomenon").alias("phenomenon"),
+        subtype.alias("subtype"), F.map_filter("record", lambda k, v: v.isNotNull() & ~k.isin(*used)).alias("metadata"), "source_file",
     )
 
 
+#: Repeated ids that an error message lists; where there are more, all of them are in a table that it names.
+LISTED_IDS = 1000
+
+
+def repeated_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def check_unique(pairs: DataFrame) -> None:
-    """An error that lists repeated ids, if there are any (twenty at most in the message)."""
-    again = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("pair_id").limit(20).collect()
-    if again:
-        raise ValueError("repeated pair ids: " + ", ".join(r.pair_id for r in again))
+    """An error that lists the repeated ids, if there are any."""
+    again = materialize(repeated_ids(pairs))
+    listed = [r.pair_id for r in again.orderBy("pair_id").limit(LISTED_IDS + 1).collect()]
+    if listed:
+        more = f", ... (all in {again.inputFiles()[0].rsplit('/', 1)[0]})" if len(listed) > LISTED_IDS else ""
+        raise ValueError("repeated pair ids: " + ", ".join(listed[:LISTED_IDS]) + more)
+
+
+def _bad_line(spark: SparkSession, files: list[str]) -> str | None:
+    """The first line of the first file, in name order, that is no JSON object, with its number; read only after an error."""
+    for f in (f for f in files if _ending(f) == ".jsonl"):
+        numbered = F.transform(F.split("value", r"\r?\n"), lambda v, i: F.struct((i + 1).alias("line"), v.alias("value")))
+        lines = spark.read.text(f, wholetext=True).select(F.explode(numbered).alias("l")).select("l.*").where(F.length(F.trim("value")) > 0)
+        bad = lines.where(_parsed("value", RECORD).isNull()).orderBy("line").limit(1).collect()
+        if bad:
+            return f"{f}:{bad[0].line}: not a JSON object"
+    return None
 
 
 def load_pairs(spark: SparkSession, path: str, phenomenon: str = "agreement", dataset: str | None = None) -> DataFrame:
     """All pairs under a path that belong to a phenomenon. Ids must be unique over all loaded pairs, before the filter."""
-    out = None
-    for f in discover(path, phenomenon):
-        raw = READERS[Path(f).suffix.lower()](spark, f)
-        part = normalize(raw.withColumn("_match", matches_phenomenon(raw.columns, phenomenon)), f)
-        out = part if out is None else out.unionByName(part)
-    check_unique(out)
-    kept = out.where(F.col("metadata")["_match"] == "true").withColumn("metadata", F.map_filter("metadata", lambda k, v: k != "_match"))
+    files = discover(path, phenomenon, spark)
+    raw = raw_records(spark, files)
+    wanted = matches_phenomenon(None, phenomenon, lambda c: F.col("record")[c])
+    try:
+        check_unique(normalize(raw))
+    except ValueError:
+        raise
+    except Exception as e:
+        if (where := _bad_line(spark, files)) is not None:
+            raise ValueError(where) from e
+        raise
+    kept = normalize(raw.where(wanted))
     return kept.withColumn("dataset", F.lit(dataset)) if dataset else kept
 
 

@@ -51,7 +51,7 @@ def test_csv_json_and_discovery(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in records.discover(str(tmp_path / "d"), "agreement")] == ["a.json", "b.csv"]
     got = {r.pair_id: r.grammatical for r in records.load_pairs(spark, str(tmp_path / "d")).collect()}
     assert got == {"7": "A, b runs.", "u1-5": "A runs."}
-    write(tmp_path / "d/my_agreement.json", json.dumps([{**GOOD, "pairID": "6"}]))
+    write(tmp_path / "d/my_agreement.json", json.dumps([{**GOOD, "pairID": "6"}], indent=2))
     assert [r.pair_id for r in records.load_pairs(spark, str(tmp_path / "d")).collect()] == ["u1-6"]
     with pytest.raises(ValueError):
         records.discover(write(tmp_path / "x.txt", ""), "a")
@@ -65,3 +65,29 @@ def test_configuration(tmp_path):
     assert records.optional_document(str(tmp_path / "none.json")) is None
     assert records.optional_document(write(tmp_path / "base_summary.json", '{"x": 1}'))["name"] == "base"
     assert records.data_path(None, str(tmp_path), "e") == str(tmp_path) and records.data_path("p", "", "") == "p"
+
+
+def test_line_number_of_a_bad_line_and_all_repeated_ids(spark, tmp_path, monkeypatch):
+    lines = [json.dumps({**GOOD, "pairID": str(i)}) for i in range(3)]
+    path = write(tmp_path / "a.jsonl", "\n".join([lines[0], "", lines[1], '{"a": 1} x', lines[2]]))
+    with pytest.raises(ValueError, match=r"a\.jsonl:4: not a JSON object"):
+        records.load_pairs(spark, path)
+    with pytest.raises(Exception, match="not a JSON object"):
+        records.load_pairs(spark, write(tmp_path / "d.json", '{"items": []}'))
+    monkeypatch.setattr(records, "LISTED_IDS", 1)
+    again = write(tmp_path / "b.jsonl", "\n".join(lines * 2))
+    with pytest.raises(ValueError, match=r"u1-0, \.\.\. \(all in .*table-") as e:
+        records.load_pairs(spark, again)
+    folder = str(e.value).split("all in ")[1].rstrip(")")
+    assert {r.pair_id for r in spark.read.parquet(folder).collect()} == {"u1-0", "u1-1", "u1-2"}
+
+
+def test_names_that_differ_by_case_and_files_with_other_headers(spark, tmp_path):
+    both = {**GOOD, "uid": "low", "Subtype": "kept"}
+    got = records.load_pairs(spark, write(tmp_path / "a.jsonl", json.dumps(both))).first()
+    assert got.pair_id == "low-3" and got.metadata["Subtype"] == "kept" and got.subtype == "subject_agreement"
+    write(tmp_path / "c/one.csv", 'uid,phenomenon,sentence_good,sentence_bad,note\n1,agreement,A runs.,A run.,"two\nlines"\n')
+    write(tmp_path / "c/two.csv", "sentence_bad,sentence_good,linguistics_term,pair_id\nB run.,B runs.,agreement,2\n")
+    got = {r.pair_id: r for r in records.load_pairs(spark, str(tmp_path / "c")).collect()}
+    assert {k: r.grammatical for k, r in got.items()} == {"1": "A runs.", "2": "B runs."} and got["1"].metadata == {"note": "two\nlines"}
+    assert got["2"].source_file.endswith("c/two.csv")
