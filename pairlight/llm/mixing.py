@@ -61,7 +61,7 @@ def vocabulary_bytes(path: str = VOCABULARY) -> bytes:
 
 
 def tokenized(docs: DataFrame, source: Column, text: str = "text", vocabulary: str = VOCABULARY, ordered: bool = True) -> DataFrame:
-    """``source, part, start, tokens``: each text's tokens, with their place in the source's tokens of their part.
+    """``source, part, start, n, tokens``: each text's tokens, with their place in the source's tokens of their part.
 
     ``ordered``: the texts are first sorted by source and hash over ranges, so that a source's tokens come in one order
     however the documents are split; equal texts can stand for each other, and a large group of them is split over ranges
@@ -76,11 +76,11 @@ def tokenized(docs: DataFrame, source: Column, text: str = "text", vocabulary: s
         for pdf in batches:
             out = []
             for s, t in zip(pdf["source"], pdf["text"], strict=True):
-                if tokens := _encode(data.value, t):
-                    out.append((s, part, at.get(s, 0), tokens))
-                    at[s] = at.get(s, 0) + len(tokens)
+                tokens = np.array(_encode(data.value, t), dtype=np.int32)
+                out.append((s, part, at.get(s, 0), len(tokens), tokens))
+                at[s] = at.get(s, 0) + len(tokens)
             if out:
-                yield pd.DataFrame(out, columns=["source", "part", "start", "tokens"])
+                yield pd.DataFrame(out, columns=["source", "part", "start", "n", "tokens"])
 
     rows = docs.select(source.alias("source"), F.col(text).alias("text")).where("length(text) > 0")
     if ordered:
@@ -88,7 +88,7 @@ def tokenized(docs: DataFrame, source: Column, text: str = "text", vocabulary: s
         rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id())
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return rows.select("source", "text").mapInPandas(encode, "source string, part int, start long, tokens array<int>")
+    return rows.select("source", "text").mapInPandas(encode, "source string, part int, start long, n int, tokens array<int>")
 
 
 def _before(keys: list[str], order: str, c: str) -> Column:
@@ -102,7 +102,7 @@ def join_blocks(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFram
     the sum of the parts before, so blocks are cut where the rows lie; only the two blocks at the ends of a run of rows
     are put together from pieces by a shuffle. What is cut is written to the shared folder.
     """
-    totals = tokens.groupBy("source", "part").agg(F.max(F.col("start") + F.size("tokens")).alias("_n"))
+    totals = tokens.groupBy("source", "part").agg(F.max(F.col("start") + F.col("n")).alias("_n"))
     offsets = totals.select("source", "part", _before(["source"], "part", "_n").alias("_offset"))
     placed = tokens.alias("t").join(offsets.alias("o"), F.expr("t.source <=> o.source AND t.part = o.part"))
     placed = placed.select("t.source", (F.col("t.start") + F.col("o._offset")).alias("place"), "t.tokens").sortWithinPartitions("source", "place")
@@ -153,25 +153,26 @@ def pack_blocks(docs: DataFrame, source: Column, text: str = "text", block_token
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """``index`` under a pseudo-random permutation of 0 .. ``size`` - 1 that ``key`` picks (a Feistel network, walked
-    along its cycles until the value is in range)."""
+    """``index`` under a pseudo-random permutation of 0 .. ``size`` - 1 that ``key`` picks: a Feistel network over as many
+    bits as the size needs, its halves differing by one at most, walked along its cycles until the value is in range."""
     size = np.asarray(size, dtype=np.uint64)
     out = np.asarray(index, dtype=np.uint64).copy()
     key = np.asarray(key, dtype=np.uint64)
-    half = np.ones(len(out), dtype=np.uint64)
-    while (grow := (np.uint64(1) << (half * np.uint64(2))) < size).any():
-        half += grow.astype(np.uint64)
-    mask = (np.uint64(1) << half) - np.uint64(1)
+    bits = np.full(len(out), 2, dtype=np.uint64)
+    while (grow := (np.uint64(1) << bits) < size).any():
+        bits += grow.astype(np.uint64)
+    low = bits // np.uint64(2)
+    masks = ((np.uint64(1) << (bits - low)) - np.uint64(1), (np.uint64(1) << low) - np.uint64(1))
     todo = np.arange(len(out))
     with np.errstate(over="ignore"):
         while len(todo):
-            left, right = out[todo] >> half[todo], out[todo] & mask[todo]
+            left, right = out[todo] >> low[todo], out[todo] & masks[1][todo]
             for r in range(6):
                 x = (right + key[todo] + np.uint64(r * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
                 x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 x ^= x >> np.uint64(31)
-                left, right = right, left ^ (x & mask[todo])
-            out[todo] = (left << half[todo]) | right
+                left, right = right, left ^ (x & masks[r % 2][todo])
+            out[todo] = (left << low[todo]) | right
             todo = todo[out[todo] >= size[todo]]
     return out.astype(np.int64)
 
@@ -249,7 +250,7 @@ def draw_slots(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     """``mix_id, source, shard, slot, repeat, block``: which block fills each slot of each output shard.
 
     Each shard draws its number of blocks per source from a multinomial, from a generator seeded by mix and shard. A
-    source's draws are numbered through the shards, in a pseudo-random order; it keeps as many as the plan gives it
+    source's draws are numbered through the shards, in a pseudo-random order if not all can stay; it keeps as many as the plan gives it
     (``kept_slots``) and hands the others, which chance or its limit make too many, to the sources that drew fewer than
     planned, so the totals of the mix are the planned ones; what no source can take stays empty. Number k of a source is
     block ``permutation(k mod blocks)``, another permutation each time round, so a source repeats evenly.
@@ -295,7 +296,9 @@ def draw_slots(plan: DataFrame, shards: int, seed: int) -> DataFrame:
                     k = np.arange(a, min(r.drawn, a + 100_000))
                     many = lambda x: np.full(len(k), x)  # noqa: B023, E731
                     slot = permuted(r.at + k, many(r.shard_slots), many(_key(seed, r.mix_id, r.shard)))
-                    number = permuted(r.first + k, many(r.drawn_all), many(_key(seed, r.mix_id, r.source, "draws")))
+                    number = r.first + k
+                    if r.drawn_all > r.kept_slots:  # spread what is handed on
+                        number = permuted(number, many(r.drawn_all), many(_key(seed, r.mix_id, r.source, "draws")))
                     keeps = number < r.kept_slots
                     given = r.give_from + number - r.kept_slots
                     yield filled(r.mix_id, r.shard, r.source, r.blocks, slot[keeps], number[keeps])
@@ -326,13 +329,14 @@ def mix(docs: DataFrame, source: Column, targets: DataFrame, text: str = "text",
     number of partitions, cores or files.
     """
     tokens = materialize(tokenized(docs, source, text, vocabulary))
-    sizes = tokens.groupBy("source").agg(F.sum(F.size("tokens")).alias("tokens"))
+    sizes = tokens.groupBy("source").agg(F.sum("n").alias("tokens"))
     sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("tokens") / block_tokens)))
     total = int(sizes.agg(F.sum("tokens")).first()[0] or 0)
     plan = materialize(plan_mixes(targets, sizes, total, refill))
     slots = draw_slots(plan, max(1, -(-total // shard_tokens)), seed)
     packed = join_blocks(tokens, block_tokens).withColumnRenamed("local", "block")
-    mixed = materialize(slots.join(packed, ["source", "block"]).select("mix_id", "shard", "source", "slot", "repeat", "block", "n_tokens", "tokens"))
+    # the planner takes the slots for as few as the counts they come from: they must not be broadcast
+    mixed = materialize(slots.join(packed.hint("merge"), ["source", "block"]).select("mix_id", "shard", "source", "slot", "repeat", "block", "n_tokens", "tokens"))
     used = mixed.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("actual_tokens"), (F.max("repeat") + 1).alias("most_repeats"), F.count("*").alias("mixed_slots"))
     report = plan.join(used, ["mix_id", "source"], "left").fillna(0, ["actual_tokens", "most_repeats", "mixed_slots"])
     whole = F.sum("actual_tokens").over(W.partitionBy("mix_id"))
