@@ -71,6 +71,17 @@ def distance_bucket_strict(c: str | Column) -> Column:
     return F.when(b.isNotNull(), b).otherwise(F.raise_error(F.lit("dependency distance is missing or not an integer")))
 
 
+def parse_bool(c: str | Column) -> Column:
+    """True only for the text ``true`` in any case; null is false."""
+    return F.coalesce(F.lower(as_col(c).cast("string")) == "true", F.lit(False))
+
+
+def next_value(values: list[str], c: str | Column) -> Column:
+    """The value after ``c`` in a list, the first after the last one and for an unknown or null one."""
+    listed = F.array(*[F.lit(v) for v in values])
+    return F.get(listed, F.coalesce(F.array_position(listed, as_col(c)), F.lit(0)).cast("int") % len(values))
+
+
 def model_key(model_id: str | Column, name: str | Column) -> Column:
     """The id of a model: its own, else its name with slashes and colons replaced, else ``model``."""
     return F.coalesce(first_present(model_id), F.translate(first_present(name), "/:", "__"), F.lit("model"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.functions.text import distance_bucket, length_score, md5_number, parse_judgement
-from pairlight.operators.ranking import first_of_each
+from pairlight.operators.ranking import first_of_each, running_index
 from pairlight.storage import materialize
 
 #: A scorer turns a sentence column into a score column.
@@ -151,6 +151,12 @@ def with_flags(scored: DataFrame, near: float = NEAR_FAILURE_MARGIN) -> DataFram
     return scored.withColumn("model_failed", F.coalesce(worse, F.lit(False)))
 
 
+def with_pair_ids(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """Null or empty pair ids become the row's index by ``order`` over all rows, from 0."""
+    rows = running_index(pairs, [], order, "_index")
+    return rows.withColumn("pair_id", F.coalesce(F.nullif("pair_id", F.lit("")), F.col("_index").cast("string"))).drop("_index")
+
+
 def score_pairs(pairs: DataFrame, scorers: dict[str, Scorer], near: float = NEAR_FAILURE_MARGIN, max_examples: int | None = None) -> DataFrame:
     """Result rows of every pair under every model.
 

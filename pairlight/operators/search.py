@@ -67,6 +67,27 @@ def moved(s: State, action: str) -> State:
     return replace(nxt, relative_pronoun=turn(PRONOUNS, s.relative_pronoun), pronoun_changes=s.pronoun_changes + 1)
 
 
+def state_key(template_type: Column, distance: Column, attractors: Column, depth: Column, stopped: Column, preposition_changes: Column, pronoun_changes: Column) -> Column:
+    """``State.key`` as a column: changes count at most once."""
+    once = lambda c: F.least(c, F.lit(1))
+    return F.concat_ws("|", template_type, *[c.cast("string") for c in (distance, attractors, depth, stopped.cast("int"), once(preposition_changes), once(pronoun_changes))])
+
+
+def transitions() -> list[tuple[str, str, str, str, str]]:
+    """(state key, subtype, action, key after it, subtype after it) of all valid actions in the states that can be reached."""
+    seen, todo, out = set(), [State()], []
+    while todo:
+        s = todo.pop()
+        if (s.key, s.subtype) in seen:
+            continue
+        seen.add((s.key, s.subtype))
+        for action in valid_actions(s):
+            after = replace(s, stopped=True) if action == "stop" else moved(s, action)
+            out.append((s.key, s.subtype, action, after.key, after.subtype))
+            todo.append(after)
+    return sorted(out)
+
+
 def length_scorer(sentence: str) -> float:
     tokens = sentence.split()
     return sum(map(len, tokens)) / len(tokens) if tokens else 0.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.plans import reference_queries, wide_queries
+from pairlight.plans import operator_queries, reference_queries, wide_queries
 
-MODULES = (reference_queries, wide_queries)
+MODULES = (reference_queries, operator_queries, wide_queries)
 FLAGSHIP = "overall_summary"

@@ -164,6 +164,21 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
+def to_pairs(raw: DataFrame) -> DataFrame:
+    """Generated records as pairs: ``uid`` and ``sentence_*`` renamed, without an id an empty one, without a phenomenon
+    ``agreement``; fields that a file lacks are null."""
+    rows = raw.withColumnsRenamed({"uid": "pair_id", "sentence_good": "grammatical", "sentence_bad": "ungrammatical"})
+    text = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    default = {"pair_id": "", "phenomenon": "agreement"}
+    names = ("pair_id", "phenomenon", "subtype", "template_type", "dependency_distance", "attractor_count", "clause_depth", "grammatical", "ungrammatical")
+    return rows.select(*[(F.coalesce(text(c), F.lit(default[c])) if c in default else text(c)).alias(c) for c in names])
+
+
+def to_records(pairs: DataFrame) -> DataFrame:
+    """The other way: pairs under the names of generated records."""
+    return pairs.withColumnsRenamed({"pair_id": "uid", "grammatical": "sentence_good", "ungrammatical": "sentence_bad"})
+
+
 #: Repeated ids that an error message lists; where there are more, all of them are in a table that it names.
 LISTED_IDS = 1000
 

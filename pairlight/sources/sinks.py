@@ -53,7 +53,7 @@ def write_parts(df: DataFrame, path: str, kind: str = "parquet", columns: Sequen
     """A folder of files, written by the executors: parquet, csv (with header) or json."""
     rows = df.select(*columns) if columns else df
     writer = rows.write.mode("overwrite").partitionBy(*partition_by) if partition_by else rows.write.mode("overwrite")
-    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+    (writer.option("header", True).option("escape", '"') if kind == "csv" else writer).format(kind).save(path)
     return path
 
 
