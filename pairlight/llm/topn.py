@@ -1,8 +1,9 @@
 """The N lowest rows of every group, by simultaneous bisection of all groups' code ranges.
 
 Each row gets one code: an order-preserving encoding of its score followed by its identifier, as hexadecimal text whose
-text order is the wanted order. A pass cuts the open section of every unfinished group at 65,536 points at once (a
-bisection with that many midpoints), counts the rows of each part and keeps the part in which the N-th row lies. Only
+text order is the wanted order. A pass cuts the open section of every unfinished group at many points at once (a
+bisection with up to 65,536 midpoints that rows lie between), counts the rows of each part and keeps the part in which the
+N-th row lies. Only
 that part's rows go on to the next pass, which cuts behind the characters that all of them share. No group is ever
 sorted or gathered as a whole: a pass is a map-side combined count with at most 65,536 counters a group, so a group with
 a third of all rows costs what its rows cost to scan.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from pairlight.functions.names import as_col
 from pairlight.storage import materialize
 
-#: Hexadecimal digits that one pass resolves: 16 bits.
+#: Hexadecimal digits that one pass resolves: 16 bits, or 32 where a part holds too few rows for more counters than that.
 DIGITS = 4
+COUNTERS = 16**DIGITS
 
 
 def double_code(c: str | Column) -> Column:
@@ -53,10 +55,10 @@ def cutoffs(coded: DataFrame, groups: Sequence[str], code: str, n: str, small_se
     groups = list(groups)
     null_safe = F.expr(" AND ".join(f"r.{g} <=> o.{g}" for g in groups)) if groups else F.lit(True)
     rows = coded.select(*groups, F.col(code).alias("_code"), F.col(n).cast("long").alias("_n")).where("_n >= 1")
-    part, first = rows.withColumn("_at", F.lit(0)), True
+    part, first = rows.withColumn("_at", F.lit(0)).withColumn("_digits", F.lit(DIGITS)), True
     found: list[DataFrame] = []
     while True:
-        digit = F.expr(f"substring(_code, _at + 1, {DIGITS})").alias("_digit")
+        digit = F.expr("substring(_code, _at + 1, _digits)").alias("_digit")
         # the first count is over all rows and keeps to sums; the ends of a part are looked for among the few rows of later ones
         ends = [] if first else [F.min("_code").alias("_low"), F.max("_code").alias("_high")]
         counted = part.groupBy(*groups, digit).agg(F.count("*").alias("_rows"), F.max("_n").alias("_n"), *ends)
@@ -81,13 +83,14 @@ def cutoffs(coded: DataFrame, groups: Sequence[str], code: str, n: str, small_se
         # inner join on the group: the rows of a hot group are split by adaptive execution, the other side has one row a group
         inside = F.expr(f"left(r._code, {DIGITS}) = o._high" if first else "r._code BETWEEN o._low AND o._high")
         at = F.lit(DIGITS) if first else _shared_length("_low", "_high")
-        joined = part.drop("_n", "_at").alias("r").join(unfinished.withColumn("_at", at).alias("o"), null_safe).where(inside)
+        joined = part.drop("_n", "_at", "_digits").alias("r").join(unfinished.withColumn("_at", at).alias("o"), null_safe).where(inside)
         part = materialize(joined.select(*[F.col(f"r.{g}") for g in groups], "r._code", "o._n", "o._rows", "o._at"))
         if small_section:
             ranked = part.where(F.col("_rows") <= small_section).withColumn("_rank", F.row_number().over(W.partitionBy(*groups).orderBy("_code")))
             found.append(ranked.where(F.col("_rank") == F.col("_n")).select(*groups, F.lit(2**30).alias("cut_len"), F.col("_code").alias("cut")))
             part = part.where(F.col("_rows") > small_section)
-        part, first = part.drop("_rows"), False
+        digits = F.when(F.col("_rows") <= COUNTERS, 2 * DIGITS).otherwise(DIGITS)
+        part, first = part.withColumn("_digits", digits).drop("_rows"), False
     done = found[0]
     for more in found[1:]:
         done = done.unionByName(more)
