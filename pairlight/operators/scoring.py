@@ -113,6 +113,30 @@ def judge_scorer(client: Callable[[], Callable[[str], str]]) -> Scorer:
     return score
 
 
+#: What a judge is asked where a configuration does not say.
+INSTRUCTIONS = "Rate how grammatical the sentence is, from 0 to 1. Answer with JSON: {\"score\": number}."
+
+
+def is_judge(provider: str) -> bool:
+    return provider.strip().lower() in PROVIDERS["judge"]
+
+
+def remote_client(model: str, key_variable: str, instructions: str = INSTRUCTIONS, max_output_tokens: int = 32) -> Callable[[], Callable[[str], str]]:
+    """A client for ``judge_scorer`` over the remote library, which is imported on the worker; the key is read there from
+    an environment variable, so it is not part of the plan. Needs the library and a network."""
+
+    def client() -> Callable[[str], str]:
+        import os
+
+        import openai
+
+        remote = openai.OpenAI(api_key=os.environ[key_variable])
+        ask = lambda s: remote.responses.create(model=model, instructions=instructions, input=s, max_output_tokens=max_output_tokens)
+        return lambda s: response_text(ask(s))
+
+    return client
+
+
 def response_text(response: Any) -> str:
     """The text of a judge's answer object: its ``output_text``, else the texts of its output parts, a line each."""
     if whole := getattr(response, "output_text", None):

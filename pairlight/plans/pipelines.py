@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions.rewards import RewardWeights
-from pairlight.functions.text import distance_bucket, model_key
+from pairlight.functions.text import distance_bucket, model_key, parse_bool
 from pairlight.operators import compare, diagnostics, generate, quotas, scoring, search, summaries
 from pairlight.sources import records, sinks
 from pairlight.storage import materialize
@@ -52,6 +52,8 @@ def scorers(config: Config) -> dict[str, scoring.Scorer]:
         if not m.get("enabled", True):
             continue
         key = (m.get("id") or (m.get("name") or "").replace("/", "_").replace(":", "_") or "model").strip()
+        if scoring.is_judge(m.get("provider", "length")) and "client" not in m:
+            m = {**m, "client": scoring.remote_client(m.get("name") or "", m.get("api_key_env", "OPENAI_API_KEY"), m.get("instructions", scoring.INSTRUCTIONS), m.get("max_output_tokens", 32))}
         options = {k: v for k, v in {"normalize": m.get("normalize_by_token_count"), "device": m.get("device"), "dtype": m.get("torch_dtype"), "client": m.get("client"), "loader": m.get("loader")}.items() if v is not None}
         out[key] = scoring.build_scorer(scoring.ScorerOptions(m.get("provider", "length"), m.get("name"), options))
     return out
@@ -71,6 +73,11 @@ def _cap_of(config: Config, model: str) -> int | None:
     return config.get("evaluation", {}).get("max_examples_per_dataset")
 
 
+def as_pairs(rows: DataFrame) -> DataFrame:
+    """Records under the names of pairs, with all their columns."""
+    return rows.withColumnsRenamed({"uid": "pair_id", "sentence_good": "grammatical", "sentence_bad": "ungrammatical"})
+
+
 def score(pairs: DataFrame, config: Config) -> tuple[DataFrame, list[dict[str, str]]]:
     e = config.get("evaluation", {})
     out, errors = None, []
@@ -86,6 +93,11 @@ def score(pairs: DataFrame, config: Config) -> tuple[DataFrame, list[dict[str, s
     return out, errors
 
 
+def _matched_key(config: Config, *names: str) -> Any:
+    """The first of several names of a setting that is there and not blank."""
+    return next((config[n] for n in names if config.get(n) not in (None, "")), None)
+
+
 def run_comparison(spark: SparkSession, config: str | Config) -> Paths:
     """Benchmark against rl pairs under all enabled models, with every summary, comparison and the report."""
     config = configuration(config)
@@ -94,20 +106,22 @@ def run_comparison(spark: SparkSession, config: str | Config) -> Paths:
     paths: dict[str, Path] = {}
     if matched := config.get("matched_subset"):
         if matched.get("enabled", True):
-            field, asked = matched.get("group_by", "raw_subtype"), int(matched.get("examples_per_group", 2))
-            plan = materialize(quotas.matched_plan(pairs, field, asked, matched.get("max_total_examples")))
-            if plan.where("sampled > 0").isEmpty() and field != "template_type":
-                field = "template_type"
-                plan = materialize(quotas.matched_plan(pairs, field, asked, matched.get("max_total_examples")))
-            pairs = materialize(quotas.matched_sample(pairs, plan, field, str(config.get("experiment", {}).get("seed", 42))))
+            seed, asked, cap = config.get("experiment", {}).get("seed", 42), _matched_key(matched, "examples_per_shared_subtype", "examples_per_group") or 2, _matched_key(matched, "max_total_examples_per_dataset", "max_total_examples")
+            wanted = matched.get("group_by", "raw_subtype")
+            plan, field = quotas.matched_plan_or_fallback(pairs, int(asked), int(cap) if cap is not None else None, list(dict.fromkeys([wanted, "template_type"])))
+            pairs = materialize(quotas.matched_sample(pairs, plan, field, str(seed)))
             paths["matched_groups"] = sinks.write_csv(plan, out / "matched_subset_groups.csv")
-            paths["matched_pairs"] = sinks.write_jsonl(pairs.drop("dataset"), out / "matched_pairs.jsonl")
+            paths["matched_pairs"] = sinks.write_rows(pairs.drop("dataset"), out / "matched_pairs.jsonl", "json")
+            matched_summary = sinks.rows_of(quotas.matched_groups(plan, int(asked)))[0] | {"enabled": True, "seed": seed, "matching_field": field.removeprefix("raw_"), "exact_subtype_match": field == wanted, "fallback_to_template_type": field != wanted, "requested_examples_per_shared_subtype": int(asked), "max_total_examples_per_dataset": cap}
+            paths["matched_summary"] = sinks.write_json(matched_summary, out / "matched_subset_summary.json")
     results, errors = score(pairs, config)
     overall = materialize(summaries.summarize(results, ["model_id", "dataset"]))
     grouped = materialize(summaries.summarize_fields(results, e.get("group_by", FIELDS), ["model_id", "dataset"]))
     shared = materialize(compare.shared_subtypes(grouped))
+    paths["results"] = sinks.write_rows(results, out / "benchmark_vs_rl_results.csv")
+    orders = {f"order_by_{m}_delta": compare.ordered_by_mean_delta(shared, m) for m in ("accuracy", "failure_rate", "mean_preference_margin")}
     tables = {
-        "results": results, "overall_summary": overall, "grouped_summary": grouped, "shared_subtype_comparison": shared,
+        "overall_summary": overall, "grouped_summary": grouped, "shared_subtype_comparison": shared, **orders,
         "hardest_subtypes": compare.ranked(grouped.where("group_by = 'subtype'"), ["model_id", "dataset"], compare.HARDEST, e.get("hard_subtype_top_n", 5)),
         "easiest_subtypes": compare.ranked(grouped.where("group_by = 'subtype'"), ["model_id", "dataset"], compare.EASIEST, e.get("hard_subtype_top_n", 5)),
         "template_failure_share": compare.failure_share(grouped),
@@ -130,10 +144,22 @@ def run_comparison(spark: SparkSession, config: str | Config) -> Paths:
     lines += ["", "## Distribution", "", *([f"- {w['model_id']}: {w['subtype']} differs by {w['share_delta']:.3f}" for w in report["distribution_warnings"][:6]] or ["Subtype shares match at the threshold."])]
     lines += ["", "## Concentration of failures", "", *[f"- {c['model_id']}: {'' if c['concentrated'] else 'not '}concentrated; top share {c['top_failure_share']:.3f}" for c in report["concentration"]]]
     lines += ["", "## Shared subtypes", "", *sinks.markdown_table(report["shared_subtypes"], ["model_id", "subtype", "benchmark_accuracy", "rl_accuracy", "accuracy_delta", "rl_harder"])]
+    lines += ["", "## Harder in RL", "", *sinks.markdown_table(report["harder_in_rl"], ["model_id", "rank", "subtype", "accuracy_delta", "failure_rate_delta"])]
+    lines += ["", "## Coverage", "", *sinks.markdown_table(report["coverage"], ["group_by", "benchmark_count", "rl_count", "shared_count", "benchmark_only", "rl_only"])]
+    lines += ["", "## Errors", "", *([f"- {x['model_id']}: {x['error']}" for x in errors] or ["None."])]
     paths["report"] = sinks.write_text(lines, out / "benchmark_vs_rl_report.md")
     if figures := config["outputs"].get("figures_dir"):
-        got = sinks.bar_figure(report["overall"], "model_id", ["benchmark_accuracy", "rl_accuracy"], "Accuracy", Path(figures) / "overall_accuracy.png")
-        paths |= {"figure": got} if got else {}
+        folder, models = Path(figures), [r["model_id"] for r in report["overall"]]
+        for metric in ("accuracy", "failure_rate", "mean_preference_margin"):
+            title = metric.replace("_", " ").capitalize()
+            drawn = {f"overall_{metric}": sinks.bar_figure(report["overall"], "model_id", [f"benchmark_{metric}", f"rl_{metric}"], title, folder / f"overall_{metric}.png")}
+            place = {r["subtype"]: r["position"] for r in sinks.rows_of(orders[f"order_by_{metric}_delta"])}
+            by_subtype: dict[str, dict] = {}
+            for r in report["shared_subtypes"]:
+                by_subtype.setdefault(r["subtype"], {"subtype": r["subtype"]})[r["model_id"]] = r[f"{metric}_delta"]
+            rows = sorted(by_subtype.values(), key=lambda r: place[r["subtype"]])
+            drawn[f"shared_subtype_{metric}"] = sinks.bar_figure(rows, "subtype", models, f"{title}, RL less benchmark", folder / f"shared_subtype_{metric}.png")
+            paths |= {k: v for k, v in drawn.items() if v}
     return {k: str(v) for k, v in paths.items()}
 
 
@@ -145,21 +171,30 @@ def run_subtype_analysis(spark: SparkSession, config: str | Config) -> Paths:
     overall = compare.with_model_metadata(summaries.summarize(results, ["model_id"]), model_table(spark, config))
     grouped = materialize(summaries.summarize_fields(results, e.get("group_by", FIELDS), ["model_id"], nulls="literal"))
     n = e.get("hard_subtype_top_n", 3)
-    tables = {"results": results, "model_summary": overall, "grouped_summary": grouped, "cross_model_comparison": grouped.where(F.col("group_by").isin("subtype", "template_type"))}
+    across = grouped.where(F.col("group_by").isin("subtype", "template_type")).orderBy("group_by", "group_name", "model_id")
+    tables = {"model_summary": overall, "grouped_summary": grouped, "cross_model_comparison": across}
     for group in ("subtype", "template_type"):
         for metric in ("accuracy", "failure_rate", "mean_preference_margin"):
             tables[f"{metric}_by_{group}"] = compare.wide_metric(grouped, group, metric, models).withColumnRenamed("group_name", group)
     paths = {k: sinks.write_csv(df, out / f"subtype_analysis_{k}.csv") for k, df in tables.items()}
+    paths["results"] = sinks.write_rows(results, out / "subtype_analysis_results.csv")
+    if figures := config["outputs"].get("figures_dir"):
+        for group in ("subtype", "template_type"):
+            for metric in ("accuracy", "failure_rate", "mean_preference_margin"):
+                wide = compare.wide_metric(grouped, group, metric, models)
+                place = {r["group_name"]: r["position"] for r in sinks.rows_of(compare.ordered_by_mean(wide, metric))}
+                rows = sorted(sinks.rows_of(compare.dense_metric(wide, "group_name", models)), key=lambda r: place[r["group_name"]])
+                if got := sinks.bar_figure(rows, "group_name", models, metric.replace("_", " ").capitalize(), Path(figures) / f"{metric}_by_{group}.png"):
+                    paths[f"figure_{metric}_by_{group}"] = got
     subtypes = grouped.where("group_by = 'subtype'")
     summary = {
         "hardest": sinks.rows_of(compare.ranked(subtypes, ["model_id"], compare.HARDEST, n)), "easiest": sinks.rows_of(compare.ranked(subtypes, ["model_id"], compare.EASIEST, n)),
         "consistently_hard": [r["subtype"] for r in sinks.rows_of(compare.consistently_hard(grouped, n).orderBy("subtype"))],
-        "difficulty_change": sinks.rows_of(compare.difficulty_change(grouped, e.get("difficulty_change_delta", 0.25)).orderBy(F.desc("accuracy_range"), "subtype")), "errors": errors,
+        "difficulty_change": sinks.rows_of(compare.difficulty_change(grouped, e.get("difficulty_change_delta", 0.25))), "errors": errors,
     }
     paths["summary"] = sinks.write_json(summary, out / "subtype_analysis_summary.json")
     lines = ["# Subtypes by model", "", "Consistently hard: " + (", ".join(summary["consistently_hard"]) or "none"), "", *sinks.markdown_table(summary["hardest"], ["model_id", "rank", "group_name", "accuracy", "failure_rate", "mean_preference_margin"])]
-    across = grouped.where(F.col("group_by").isin("subtype", "template_type")).orderBy("group_by", "group_name", "model_id").limit(20)
-    lines += ["", "## Across models", "", *sinks.markdown_table(sinks.rows_of(across), ["group_by", "group_name", "model_id", "accuracy", "failure_rate"])]
+    lines += ["", "## Across models", "", *sinks.markdown_table(sinks.rows_of(across.limit(20)), ["group_by", "group_name", "model_id", "accuracy", "failure_rate"])]
     paths["report"] = sinks.write_text(lines, out / "subtype_analysis_summary.md")
     return {k: str(v) for k, v in paths.items()}
 
@@ -170,13 +205,13 @@ def run_sanity_check(spark: SparkSession, config: str | Config) -> Paths:
     config = configuration(config)
     out, n = Path(config["outputs"]["sanity_dir"]), int(config.get("sample_size", 20))
     both = load(spark, config["inputs"]["benchmark"], "benchmark").unionByName(load(spark, config["inputs"]["rl"], "rl"))
-    both = materialize(both.withColumnsRenamed({"pair_id": "uid", "grammatical": "sentence_good", "ungrammatical": "sentence_bad"}))
+    both = materialize(records.to_records(both))
     if path := config["inputs"].get("results"):
         raw = records.read_csv(spark, path)
         kinds = {"preference_margin": "double", "grammatical_score": "double", "ungrammatical_score": "double"}
-        results = raw.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else (F.lower(c) == "true").alias(c) if c in ("correct", "failure", "near_failure") else F.col(c) for c in raw.columns])
+        results = raw.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else parse_bool(c).alias(c) if c in ("correct", "failure", "near_failure") else F.col(c) for c in raw.columns])
     else:
-        results, _ = score(both.withColumnsRenamed({"uid": "pair_id", "sentence_good": "grammatical", "sentence_bad": "ungrammatical"}), config)
+        results, _ = score(as_pairs(both), config)
     results = materialize(results)
     rl = both.where("dataset = 'rl'")
     tables = {
@@ -209,9 +244,9 @@ def run_generation(spark: SparkSession, config: str | Config) -> Paths:
     else:
         rows = generate.generate_pairs(spark, count, balanced, str(seed))
     out = Path(config["outputs"]["path"])
-    paths = {"pairs": sinks.write_jsonl(rows, out)}
+    paths = {"pairs": sinks.write_rows(rows, out, "json")}
     if table := config["outputs"].get("csv_path"):
-        paths["csv"] = sinks.write_csv(rows, table, generate.PAIR_FIELDS)
+        paths["csv"] = sinks.write_rows(rows, table, columns=generate.PAIR_FIELDS)
     return {k: str(v) for k, v in paths.items()}
 
 
@@ -246,7 +281,7 @@ def run_quota_generation(spark: SparkSession, config: str | Config) -> Paths:
     scored = scoring.add_scores(rows, scorer, near)
     w = config.get("scoring", {})
     hard = quotas.candidate_hardness(scored, targets, ["attempt"], near, w.get("model_failure_weight", 1.0), w.get("boundary_weight", 0.5), w.get("margin_weight", 0.1), w.get("underrepresented_subtype_bonus", 0.25), w.get("overrepresented_subtype_penalty", 0.5))
-    chosen = materialize(quotas.select_candidates(hard))
+    chosen = materialize(quotas.select_candidates(hard, targets))
     # uid numbers run over all chosen pairs: a subtype's rank and the chosen of the subtypes before it (a row a subtype)
     sizes = chosen.groupBy("subtype").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("subtype").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -256,22 +291,28 @@ def run_quota_generation(spark: SparkSession, config: str | Config) -> Paths:
     achieved = chosen.groupBy("subtype").agg(F.count(F.lit(1)).alias("achieved_count"))
     extra = ["grammatical_score", "ungrammatical_score", "preference_margin", "model_failed", "boundary_score", "diversity_bonus", "over_quota_penalty", "hardness_score"]
     paths = {
-        "pairs": sinks.write_jsonl(chosen.select(*generate.PAIR_FIELDS), out / "pairs.jsonl"), "scores": sinks.write_csv(chosen.select(*generate.PAIR_FIELDS, *extra), out / "candidate_scores.csv"),
+        "pairs": sinks.write_rows(chosen.select(*generate.PAIR_FIELDS), out / "pairs.jsonl", "json"), "scores": sinks.write_rows(chosen, out / "candidate_scores.csv", columns=[*generate.PAIR_FIELDS, *extra]),
         "comparison": sinks.write_csv(quotas.compare_distribution(targets, achieved), out / "distribution_comparison.csv"),
         "target_distribution": sinks.write_csv(summaries.weighted_counts(targets, shapes, ["subtype", "template_type", "clause_depth"]), out / "target_distribution.csv"),
     }
     return {k: str(v) for k, v in paths.items()}
 
 
-def run_validation(spark: SparkSession, path: str) -> list[dict]:
-    """Invalid records of a generated JSONL file; bad JSON and non-objects are records with the uid ``<unknown>``."""
+def invalid_records(spark: SparkSession, path: str) -> DataFrame:
+    """``uid, errors`` of the invalid records of generated JSONL files; bad JSON and non-objects are records with the uid
+    ``<unknown>``."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     text = [f"{c} string" for c in generate.PAIR_FIELDS]
     parsed = F.from_json("value", ", ".join(text))
     bad = ~F.ltrim("value").startswith("{") | F.try_parse_json("value").isNull()
     broken = lines.where(bad).select(F.lit("<unknown>").alias("uid"), F.lit("Line is not a JSON object.").alias("errors"))
     checked = diagnostics.validate(lines.where(~bad).select(parsed.alias("r")).select("r.*")).where("not valid").select("uid", "errors")
-    return sinks.rows_of(broken.unionByName(checked))
+    return broken.unionByName(checked)
+
+
+def run_validation(spark: SparkSession, path: str) -> list[dict]:
+    """The invalid records of one file, on the driver; see ``invalid_records`` for more than fit there."""
+    return [r.asDict() for r in invalid_records(spark, path).toLocalIterator()]
 
 
 def run_baseline(spark: SparkSession, config: str | Config) -> Paths:
@@ -286,7 +327,7 @@ def run_baseline(spark: SparkSession, config: str | Config) -> Paths:
     out = Path(config["outputs"]["dir"])
     grouped = summaries.summarize_fields(results, fields, nulls="skip", rates=False)
     paths = {
-        "results": sinks.write_csv(results, out / "baseline_results.csv", ["pair_id", "phenomenon", "subtype", "grammatical", "ungrammatical", "grammatical_score", "ungrammatical_score", "preference_margin", "correct"]),
+        "results": sinks.write_rows(results, out / "baseline_results.csv", columns=["pair_id", "phenomenon", "subtype", "grammatical", "ungrammatical", "grammatical_score", "ungrammatical_score", "preference_margin", "correct"]),
         "grouped": sinks.write_csv(grouped.orderBy("group_by", "group_name"), out / "baseline_grouped.csv", ["group_by", "group_name", "total", "correct", "accuracy", "mean_preference_margin"]),
         "summary": sinks.write_json(sinks.rows_of(summaries.summarize(results, rates=False))[0], out / "baseline_summary.json"),
     }
@@ -311,9 +352,10 @@ def compare_policies(spark: SparkSession, q: dict, out: Path, episodes: int, see
     filled = runs.fillna("missing", ["template_type", "subtype"])
     collapse = [r | {"field": f} for f in ("template_type", "subtype") for r in sinks.rows_of(summaries.dominance(filled, ["policy"], f, "episode", threshold).withColumnRenamed("dominant", "value"))]
     paths = {
-        "trajectories": sinks.write_jsonl(runs, out / "trajectories.jsonl"), "pairs": sinks.write_jsonl(pairs, out / "final_pairs.jsonl"), "summary": sinks.write_csv(summaries.trajectory_summary(runs), out / "policy_summary.csv"),
+        "trajectories": sinks.write_rows(runs, out / "trajectories.jsonl", "json"), "pairs": sinks.write_rows(pairs, out / "final_pairs.jsonl", "json"), "summary": sinks.write_csv(summaries.trajectory_summary(runs), out / "policy_summary.csv"),
+        "histograms": sinks.write_json(sinks.rows_of(summaries.trajectory_histograms(runs)), out / "policy_histograms.json"),
         "distribution": sinks.write_csv(summaries.count_fields(filled, ["template_type", "subtype"], ["policy"]), out / "policy_distribution.csv"), "collapse": sinks.write_json(collapse, out / "policy_collapse.json"),
-        "q_top": sinks.write_csv(search.q_summary(search.q_rows(spark, q)), out / "q_top.csv") if q else None,
+        "q_top": sinks.write_csv(search.q_summary(search.q_rows(spark, q)), out / "q_top.csv") if q else None, "q_report": sinks.write_json(sinks.rows_of(search.q_report(search.q_rows(spark, q)))[0], out / "q_summary.json") if q else None,
     }
     return {k: str(v) for k, v in paths.items() if v}
 
@@ -322,7 +364,7 @@ def run_rollouts(spark: SparkSession, config: str | Config) -> Paths:
     config = configuration(config)
     r, out = config.get("rollout", {}), Path(config["outputs"]["dir"])
     runs = materialize(search.rollouts(spark, "random", int(r.get("episodes", 10)), int(config.get("experiment", {}).get("seed", 42)), int(r.get("max_steps", 8)), go_on=0.75))
-    return {"trajectories": str(sinks.write_jsonl(runs, out / "rollouts.jsonl")), "summary": str(sinks.write_csv(summaries.trajectory_summary(runs), out / "rollout_summary.csv"))}
+    return {"trajectories": str(sinks.write_rows(runs, out / "rollouts.jsonl", "json")), "summary": str(sinks.write_csv(summaries.trajectory_summary(runs), out / "rollout_summary.csv"))}
 
 
 def run_reevaluation(spark: SparkSession, config: str | Config) -> Paths:
@@ -330,10 +372,7 @@ def run_reevaluation(spark: SparkSession, config: str | Config) -> Paths:
     config = configuration(config)
     out, parts = Path(config["outputs"]["dir"]), []
     for policy, path in config["inputs"].items():
-        raw = records.read_plain_jsonl(spark, path)
-        rows = raw.withColumnsRenamed({"uid": "pair_id", "sentence_good": "grammatical", "sentence_bad": "ungrammatical"})
-        have = set(rows.columns)
-        rows = rows.select(F.coalesce("pair_id", F.lit("")).alias("pair_id") if "pair_id" in have else F.lit("").alias("pair_id"), F.coalesce("phenomenon", F.lit("agreement")).alias("phenomenon") if "phenomenon" in have else F.lit("agreement").alias("phenomenon"), *[F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("subtype", "template_type", "dependency_distance", "attractor_count", "clause_depth", "grammatical", "ungrammatical")])
+        rows = records.to_pairs(records.read_plain_jsonl(spark, path))
         parts.append(rows.withColumn("policy", F.lit(policy)).withColumn("dataset", F.lit(policy)))
     pairs = parts[0]
     for p in parts[1:]:
@@ -341,11 +380,11 @@ def run_reevaluation(spark: SparkSession, config: str | Config) -> Paths:
     results, errors = score(pairs, config)
     policies = list(config["inputs"])
     tables = {
-        "results": results, "policy_summary": summaries.policy_summary(results, policies), "policy_grouped": summaries.summarize_fields(results, ["phenomenon", "subtype", "template_type"], ["policy"], nulls="skip", rates=False),
+        "policy_summary": summaries.policy_summary(results, policies), "policy_grouped": summaries.summarize_fields(results, ["phenomenon", "subtype", "template_type"], ["policy"], nulls="skip", rates=False),
         "model_policy_comparison": summaries.summarize(results, ["model_id", "policy"]),
     }
     paths = {k: str(sinks.write_csv(df, out / f"reevaluation_{k}.csv")) for k, df in tables.items()}
-    return {**paths, "errors": str(sinks.write_json(errors, out / "reevaluation_errors.json"))}
+    return {**paths, "results": str(sinks.write_rows(results, out / "reevaluation_results.csv")), "errors": str(sinks.write_json(errors, out / "reevaluation_errors.json"))}
 
 
 def run_report(spark: SparkSession, config: str | Config) -> Paths:
@@ -356,11 +395,9 @@ def run_report(spark: SparkSession, config: str | Config) -> Paths:
     runs = spark.read.schema(search.EPISODE_SCHEMA).json(i["trajectories"])
     base = records.optional_document(i.get("baseline"))
     examples = sinks.rows_of(runs.where("sentence_good is not null").orderBy("policy", "episode").limit(int(config.get("examples", 5))))
-    key = lambda k: sinks.rows_of(q.where(F.col("state_key") == k).orderBy(F.desc("q"), "action"))
-    first = key("unset|0|0|0|0|0|0")
     report = {
-        "policies": sinks.rows_of(summaries.trajectory_summary(runs)), "first_actions": first, "relative_clause_actions": key("relative_clause|5|0|1|0|0|0"), "top_values": sinks.rows_of(search.q_summary(q)), "states": q.select("state_key").distinct().count(),
-        "stops_at_once": bool(first) and first[0]["action"] == "stop", "episodes": runs.count(), "baseline": base, "examples": examples,
+        "policies": sinks.rows_of(summaries.trajectory_summary(runs)), "histograms": sinks.rows_of(summaries.trajectory_histograms(runs)), "q_values": sinks.rows_of(search.q_report(q))[0],
+        "states": q.select("state_key").distinct().count(), "q_entries": q.count(), "episodes": runs.count(), "baseline": base, "examples": examples,
     }
     lines = ["# Training report", "", *sinks.markdown_table(report["policies"], ["policy", "episodes", "average_reward", "average_trajectory_length", "failure_rate", "near_failure_rate"], 6), "", f"States: {report['states']}"]
     return {"json": str(sinks.write_json(report, out / "report.json")), "report": str(sinks.write_text(lines, out / "report.md"))}

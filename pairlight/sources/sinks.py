@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import logging
+import shutil
 from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tables up to this size become one local file.
+ONE_FILE_BYTES = 1 << 30
+
+
 def out_path(path: str | Path, root: str | Path | None = None) -> Path:
     """The path, taken from ``root`` where relative, with its folder made."""
     p = Path(path)
@@ -57,6 +62,30 @@ def write_parts(df: DataFrame, path: str, kind: str = "parquet", columns: Sequen
     return path
 
 
+def write_rows(df: DataFrame, path: str | Path, kind: str = "csv", columns: Sequence[str] | None = None) -> str:
+    """A table with a row per pair, result or trajectory, under one file name: the executors write a folder of parts, which
+    are joined into the file where the storage is local and the whole is at most ``ONE_FILE_BYTES``. A larger table, or one
+    on shared storage, stays the folder of parts, which all readers take as well. Columns as in ``write_csv``."""
+    p = out_path(path) if "://" not in str(path) else str(path)
+    names = list(columns or (sorted(df.columns) if kind == "csv" else df.columns))
+    rows = df.select(*names)
+    if kind == "json":
+        rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{p}.parts")
+    else:
+        rows.select(*[(F.to_json(c) if t.startswith(("array", "struct", "map")) else F.col(c)).alias(c) for c, t in rows.dtypes]).write.mode("overwrite").option("escape", '"').csv(f"{p}.parts")
+    parts = sorted(Path(f"{p}.parts").glob("part-*")) if isinstance(p, Path) else []
+    if not parts or sum(f.stat().st_size for f in parts) > ONE_FILE_BYTES:
+        return f"{p}.parts"
+    with p.open("wb") as out:
+        if kind == "csv":
+            out.write((",".join(names) + "\n").encode())
+        for f in parts:
+            with f.open("rb") as part:
+                shutil.copyfileobj(part, out)
+    shutil.rmtree(f"{p}.parts")
+    return str(p)
+
+
 def write_jsonl(df: DataFrame, path: str | Path) -> Path:
     """One object a line, keys in column order, nulls kept."""
     p = out_path(path)
