@@ -46,6 +46,17 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample
 
 
+#: Pairs of a run in the sample of a given size.
+RUN_SAMPLE = 200
+
+
+def p1_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of ``RUN_SAMPLE`` pairs a run in the proportions of its targets, floors kept within that size: its report."""
+    targets = _targets(spark, sf_dir).withColumn("size", F.lit(RUN_SAMPLE))
+    _, report = sampling.match_targets(_valid_pairs(spark, sf_dir), targets, ["run_id"], "subtype", "pair_key", total="size", keep_total=True)
+    return report.select("run_id", "subtype", "quota", "available", "achieved_count", "missing_count")
+
+
 def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sanity_check_tiny_extreme_failures").where(is_finite("preference_margin"))
     rows = rows.dropna(subset=["run_id", "subtype", "pair_id"])
@@ -163,7 +174,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.find_segments(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_found, p3_terms, p4_found, p4_percentiles, p6_found, p6_clean, p7_found, p7_report, p7_mix, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_scaled, p2_found, p3_found, p3_terms, p4_found, p4_percentiles, p6_found, p6_clean, p7_found, p7_report, p7_mix, p8_found, p8_segments)}
 
 
 def _name(c: str) -> str:
@@ -216,7 +227,28 @@ _P3 = f"""WITH cells AS ({" UNION ALL ".join(_list_cells(f) for f in LISTS)}
   SELECT *, CASE WHEN records * 100 >= 40 * (SELECT count(DISTINCT record_id) FROM sanity_check_lexical_by_subtype) THEN 'common' WHEN records < 3 THEN 'rare' END AS mark FROM counted
 )"""
 
+_RUN = "PARTITION BY run_id"
+_FALLING = f"{_RUN} ORDER BY ratio DESC, subtype"
+_P1_SCALED = f"""t AS (
+  SELECT run_id, subtype, available, greatest(coalesce(target_count, 0), 0)::HUGEINT AS target, greatest(coalesce(min_count, 0), 0)::HUGEINT AS least_count FROM report
+), r AS (
+  SELECT *, CASE WHEN target > 0 THEN least_count / target ELSE 'inf'::DOUBLE END AS ratio FROM t
+), w AS (
+  SELECT *, {RUN_SAMPLE} - coalesce(sum(least_count) OVER ({_FALLING} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(target) OVER ({_FALLING} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind FROM r
+), f AS (
+  SELECT *, bool_and(target = 0 OR least_count * behind > target * rest) OVER ({_FALLING} ROWS UNBOUNDED PRECEDING) AS fixed FROM w
+), s AS (
+  SELECT *, sum(CASE WHEN fixed THEN 0 ELSE target END) OVER ({_RUN}) AS free, greatest({RUN_SAMPLE} - sum(CASE WHEN fixed THEN least_count ELSE 0 END) OVER ({_RUN}), 0) AS size FROM f
+), b AS (
+  SELECT *, CASE WHEN fixed OR free = 0 THEN 0 ELSE (target * size) // free END AS base, CASE WHEN fixed OR free = 0 THEN 0 ELSE (target * size) % free END AS remainder FROM s
+), q AS (
+  SELECT *, size - sum(base) OVER ({_RUN}) AS units, row_number() OVER ({_RUN} ORDER BY remainder DESC, subtype) AS rk FROM b
+), quotas AS (
+  SELECT run_id, subtype, available, CASE WHEN fixed THEN least_count ELSE base + CASE WHEN rk <= units AND remainder > 0 THEN 1 ELSE 0 END END::BIGINT AS quota FROM q
+)"""
+
 ORACLE = {
+    "p1_scaled": f"{_P1}, {_P1_SCALED} SELECT *, least(quota, available) AS achieved_count, quota - least(quota, available) AS missing_count FROM quotas",
     "p1_sample": f"{_P1}, {_P1_ITEMS} SELECT run_id, subtype, pair_key FROM ranked WHERE rn <= achieved",
     "p3_found": f"{_P3} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": f"{_P3} SELECT * FROM marked",
