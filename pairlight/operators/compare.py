@@ -134,8 +134,9 @@ def ordered_by_mean(wide: DataFrame, metric: str) -> DataFrame:
 
 def ordered_by_mean_delta(shared: DataFrame, metric: str) -> DataFrame:
     """``subtype, mean_delta, position``: subtypes of ``shared_subtypes`` by the models' mean delta of a metric and name,
-    the whole key reversed for failure rates. One row a subtype, so one window holds them."""
-    means = shared.groupBy("subtype").agg(F.avg(F.col(f"rl_{metric}") - F.col(f"benchmark_{metric}")).alias("mean_delta"))
+    the whole key reversed for failure rates. Means are taken to 12 digits: they are sums of fractions in any order, and
+    equal ones must tie. One row a subtype, so one window holds them."""
+    means = shared.groupBy("subtype").agg(F.round(F.avg(F.col(f"rl_{metric}") - F.col(f"benchmark_{metric}")), 12).alias("mean_delta"))
     order = [F.col(k).desc() if metric == "failure_rate" else F.col(k).asc() for k in ("mean_delta", "subtype")]
     return means.select("subtype", "mean_delta", F.row_number().over(W.orderBy(*order)).cast("long").alias("position"))
 

@@ -178,7 +178,7 @@ def scalar_rewards(spark, d):
 # --- comparisons and summaries ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {MODEL_SCORES}, {GROUPED}, {SHARED}, m AS (SELECT subtype, avg(accuracy_delta) AS a, avg(failure_rate_delta) AS f FROM shared GROUP BY 1) SELECT 'accuracy' AS metric, subtype, round(a, 9) AS mean_delta, row_number() OVER (ORDER BY a, subtype) AS position FROM m UNION ALL SELECT 'failure_rate', subtype, round(f, 9), row_number() OVER (ORDER BY f DESC, subtype DESC) FROM m")
+@query(f"WITH {MODEL_SCORES}, {GROUPED}, {SHARED}, m AS (SELECT subtype, round(avg(accuracy_delta), 12) AS a, round(avg(failure_rate_delta), 12) AS f FROM shared GROUP BY 1) SELECT 'accuracy' AS metric, subtype, round(a, 9) + 0.0::DOUBLE AS mean_delta, row_number() OVER (ORDER BY a, subtype) AS position FROM m UNION ALL SELECT 'failure_rate', subtype, round(f, 9) + 0.0::DOUBLE, row_number() OVER (ORDER BY f DESC, subtype DESC) FROM m")
 def mean_delta_order(spark, d):
     """Shared subtypes in the order of the models' mean delta."""
     shared = materialize(compare.shared_subtypes(_grouped(spark, d)))
